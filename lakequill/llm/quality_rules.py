@@ -62,6 +62,7 @@ class Figures:
         "lines": lambda f: [x for x in f.text.split(b"\n") if x and not x.isspace()],
         "n_dup_lines": lambda f: len(f.lines) - len(set(f.lines)),
         "n_repeat_words": lambda f: repeated_words(f.words),
+        "n_same_words": lambda f: sum(map(bytes.__eq__, f.words, f.words[1:])),
         "n_upper": lambda f: count(f.text, UPPER),
         "n_lower": lambda f: count(f.text, LOWER),
         "n_bars": lambda f: f.text.count(b"|"),
@@ -92,12 +93,13 @@ BASE = (
     Rule("few_words", lambda f: f.n_words < 20),
     Rule("repeats", lambda f: 100 * f.n_repeat_words > 30 * f.n_words),
 )
-#: And when marks, capitals, table bars or repeated lines take up too much of it.
+#: And when marks, capitals, table bars, or words or lines said again take up too much of it.
 RULES = (
     Rule("symbols", lambda f: 100 * f.n_symbols > 15 * f.word_chars),
     Rule("capitals", lambda f: 100 * f.n_upper > 40 * (f.n_upper + f.n_lower)),
     Rule("bars", lambda f: 100 * f.n_bars > 15 * f.n_words),
     Rule("bangs", lambda f: 100 * f.n_bangs > 15 * f.n_words),
+    Rule("same_words", lambda f: 100 * f.n_same_words > 20 * f.n_words),
     Rule("same_lines", lambda f: 100 * f.n_dup_lines > 40 * len(f.lines)),
 )
 

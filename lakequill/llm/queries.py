@@ -70,7 +70,7 @@ r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM t, LATERAL (SELECT unnest(r
 f AS (SELECT m.*, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM m LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 15 * word_chars OR 100 * n_upper > 40 * (n_upper + n_lower) OR 100 * n_bars > 15 * n_words OR 100 * n_bangs > 15 * n_words OR 100 * n_dup_lines > 40 * len(lines)) AS kept
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 15 * word_chars OR 100 * n_upper > 40 * (n_upper + n_lower) OR 100 * n_bars > 15 * n_words OR 100 * n_bangs > 15 * n_words OR 100 * len(list_filter(words[2:], lambda w, i: w = words[i])) > 20 * n_words OR 100 * n_dup_lines > 40 * len(lines)) AS kept
 FROM f
 """
 
