@@ -32,6 +32,7 @@ class WordEncoder:
     that hold a special token's marks or control separators, which the libraries split differently, go whole.
     """
 
+    MARK = "\u00a4"
     ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str, room: int = 200_000):
@@ -39,6 +40,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model, self.room, self.new, self.old = Tokenizer.from_file(path), room, {}, {}
+        self.between = np.frombuffer(self.batch([self.MARK])[0], np.uint32)
+
+    def words(self, some: list[str]) -> list[bytes]:
+        """Ids of each word: all are encoded as one text, with a mark between them, unless a word holds it."""
+        ids = np.frombuffer(self.batch([f" {self.MARK} ".join(some)])[0], np.uint32)
+        k, hit = len(self.between), ids == self.between[-1]
+        for i in range(1, k):
+            hit[i:] &= ids[:-i] == self.between[k - 1 - i]
+            hit[:i] = False
+        ends = np.flatnonzero(hit)
+        if len(ends) != len(some) - 1:
+            return self.batch(some)
+        raw, starts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+        return [raw[a:b] for a, b in zip(starts, [*(4 * (ends + 1 - k)).tolist(), len(raw)], strict=True)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         out = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -48,13 +63,14 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         whole = {i: b for i, t in enumerate(texts) if any(x in t for x in self.ODD) for b in self.batch([t])}
         split = [() if i in whole else t.split() for i, t in enumerate(texts)]
-        new, missing = self.new, []
-        for w in {w for words in split for w in words}.difference(new):
-            if (ids := self.old.get(w)) is None:
-                missing.append(w)
-            else:
-                new[w] = ids
-        new.update(zip(missing, self.batch(missing), strict=True))
+        new, old = self.new, self.old
+        missing = set().union(*split).difference(new)
+        known = {w: ids for w in missing if (ids := old.get(w)) is not None}
+        fresh = [*missing.difference(known)]
+        new.update(known)
+        for at in range(0, len(fresh), 512):
+            some = fresh[at : at + 512]
+            new.update(zip(some, self.words(some), strict=True))
         out = [whole[i] if i in whole else b"".join(map(new.__getitem__, words)) for i, words in enumerate(split)]
         if len(new) > self.room:
             self.new, self.old = {}, new
