@@ -18,24 +18,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakequill.llm.text import doc_bytes, pieces
 
-#: Rounds until fixpoint; s holds the rows of pieces that changed in the last round.
+#: Rounds until fixpoint: s holds the rows of pieces that changed in the last round, each with its next token and
+#: that token's position. A piece's last rows are its ids.
 ENCODE = """
 WITH RECURSIVE s AS (
-    SELECT w, p, t, 0 AS round FROM start
+    SELECT w, p, t, lead(t) OVER win AS next, lead(p) OVER win AS next_p, 0 AS round FROM start WINDOW win AS (PARTITION BY w ORDER BY p)
   UNION ALL
-    SELECT w, p, CASE WHEN p = least_p THEN merged ELSE t END, round + 1
+    SELECT w, p, t, lead(t) OVER win, lead(p) OVER win, round + 1
     FROM (
-        SELECT s.w, s.p, s.t, s.round, best.least_p, best.merged, lag(s.p) OVER (PARTITION BY s.w ORDER BY s.p) AS before
+        SELECT s.w, s.p, CASE WHEN s.p = best.k % 1048576 THEN (best.k // 1048576)::INTEGER ELSE s.t END AS t, s.round
         FROM s JOIN (
-            SELECT w, (min(m * 1048576 + p) % 1048576)::INTEGER AS least_p, (min(m * 1048576 + p) // 1048576)::INTEGER AS merged
-            FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS next FROM s) JOIN merges ON pair = t::BIGINT * 4294967296 + next
-            GROUP BY w
+            SELECT w, min(m * 1048576 + p) AS k, arg_min(next_p, m * 1048576 + p) AS gone
+            FROM s JOIN merges ON pair = t::BIGINT * 4294967296 + next WHERE next IS NOT NULL GROUP BY w
         ) best ON s.w = best.w
-    ) WHERE before IS NULL OR before <> least_p
+        WHERE s.p <> best.gone
+    ) WINDOW win AS (PARTITION BY w ORDER BY p)
 )
-SELECT w, p, t FROM s QUALIFY round = max(round) OVER (PARTITION BY w) ORDER BY w, p
+SELECT s.w, s.p, s.t FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) last ON s.w = last.w AND s.round = last.round
 """
-DECODE = "SELECT w, unhex(string_agg(hex(bytes), '' ORDER BY p)) AS bytes FROM encoded JOIN vocab USING (t) GROUP BY w ORDER BY w"
+#: Of each piece: its ids in order, a comma after each, and the bytes that the ids stand for, in the same order.
+DECODE = "SELECT string_agg(t, ',' ORDER BY p) || ',' AS ids, unhex(string_agg(bytes, '' ORDER BY p)) AS raw FROM encoded JOIN vocab USING (t) GROUP BY w ORDER BY w"
 #: Positions have 20 bits in ENCODE; longer pieces are merged by a heap over linked tokens.
 LONGEST = 256
 #: Sum of squared lengths of the pieces of one query, which bounds its rows.
@@ -78,44 +80,43 @@ class ByteBpe:
     or with runs of it, are one unit each.
     """
 
-    def __init__(self, path: str, pattern: str, room: int = 120_000):
+    def __init__(self, path: str, pattern: str, room: int = 100_000):
         import duckdb
         import regex
 
         self.ranks, self.find, self.room = read_ranks(path), regex.compile(pattern).findall, room
-        self.new, self.old = {}, {}
+        self.new, self.old, self.known = {}, {}, {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(a << 32 | z, r) for b, r in self.ranks.items() for i in range(1, len(b)) if (a := self.ranks.get(b[:i])) is not None and (z := self.ranks.get(b[i:])) is not None]
         self.con.register("given", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "m": pa.array([m for _, m in pairs], pa.int64())}))
         self.con.execute("CREATE TABLE merges AS FROM given")
-        self.con.register("given", pa.table({"t": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())}))
+        self.con.register("given", pa.table({"t": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array([b.hex() for b in self.ranks], pa.string())}))
         self.con.execute("CREATE TABLE vocab AS FROM given")
         self.one = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
 
-    def query(self, found: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
-        """Ids of each piece, and the bytes that these decode to."""
+    def query(self, found: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Of each piece: its ids in decimal, a comma after each, and the bytes that these decode to."""
         lengths = np.array([len(x) for x in found], np.int64)
         w = np.repeat(np.arange(len(found)), lengths)
         p = np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.con.register("start", pa.table({"w": w.astype(np.int32), "p": p.astype(np.int32), "t": self.one[np.frombuffer(b"".join(found), np.uint8)]}))
-        got = self.con.execute(ENCODE).to_arrow_table() if found else None
-        ids = np.split(got["t"].to_numpy(), np.flatnonzero(np.diff(got["w"].to_numpy())) + 1) if found else []
-        return [x.tolist() for x in ids], self.decode(got) if found else []
+        self.con.execute(f"CREATE OR REPLACE TEMP TABLE encoded AS {ENCODE}")
+        return self.decode()
 
-    def decode(self, encoded: pa.Table) -> list[bytes]:
-        """The bytes of each w of (w, p, t) rows."""
-        self.con.register("encoded", encoded)
-        return self.con.execute(DECODE).to_arrow_table()["bytes"].to_pylist()
+    def decode(self) -> list[tuple[bytes, bytes]]:
+        """For each w of the rows (w, p, t) in `encoded`."""
+        got = self.con.sql(DECODE).to_arrow_table()
+        return [*zip(got["ids"].cast(pa.binary()).to_pylist(), got["raw"].to_pylist(), strict=True)]
 
     def learn(self, units: list[str]) -> None:
         """Put (ids in decimal with a comma after each, decoded bytes) of these units into the memory."""
-        split = [[x.encode() for x in self.find(u)] for u in units]
-        distinct = list({x for xs in split for x in xs if 0 < len(x) <= LONGEST})
-        known: dict[bytes, tuple[bytes, bytes]] = {}
+        split = [self.split(u) for u in units]
+        known = self.known
+        distinct = list({x for xs in split for x in xs if len(x) <= LONGEST}.difference(known))
         turn = np.cumsum([len(x) ** 2 for x in distinct]) // QUERY_ROWS
-        for at in np.split(np.arange(len(distinct)), np.flatnonzero(np.diff(turn)) + 1):
+        for at in np.split(np.arange(len(distinct)), np.flatnonzero(np.diff(turn)) + 1) if distinct else ():
             part = [distinct[i] for i in at]
-            known.update((x, (b"%s," % ",".join(map(str, ids)).encode(), raw)) for x, ids, raw in zip(part, *self.query(part), strict=True))
+            known.update(zip(part, self.query(part), strict=True))
         vocab = None
         for u, xs in zip(units, split, strict=True):
             for x in xs:
@@ -123,7 +124,18 @@ class ByteBpe:
                     vocab = vocab or {r: b for b, r in self.ranks.items()}
                     ids = merge_long(x, self.ranks)
                     known[x] = "".join(f"{i}," for i in ids).encode(), b"".join(vocab[i] for i in ids)
-            self.new[u] = known[xs[0]] if len(xs) == 1 else (b"".join(known[x][0] for x in xs), b"".join(known[x][1] for x in xs))
+            self.new[u] = known[xs[0]] if len(xs) == 1 else (b"".join([known[x][0] for x in xs]), b"".join([known[x][1] for x in xs]))
+        if len(known) > self.room:
+            self.known = {}
+
+    def split(self, unit: str) -> list[bytes]:
+        """The pattern's matches; a space with letters, and a comma or full stop after them, needs no search."""
+        if unit[0] == " ":
+            if (word := unit[1:]).isalpha():
+                return [unit.encode()]
+            if word[-1] in ",." and word[:-1].isalpha():
+                return [unit[:-1].encode(), word[-1].encode()]
+        return [x.encode() for x in self.find(unit)]
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -145,8 +157,8 @@ class ByteBpe:
         self.learn(missing)
         new, out = self.new, []
         for us in split:
-            got = [new[u] for u in us]
-            out.append((b"".join([x[0] for x in got])[:-1], b"".join([x[1] for x in got])))
+            ids, raw = zip(*map(new.__getitem__, us), strict=True) if us else ((), ())
+            out.append((b"".join(ids)[:-1], b"".join(raw)))
         if len(new) > self.room:
             self.new, self.old = {}, {u: v for u, v in new.items() if len(u) < 64}
         return out
