@@ -1,8 +1,8 @@
 """Jaccard similarity join on word shingles, exact, by size-banded tiles with bitmap signatures.
 
 Each document is the set of its distinct shingles (64-bit hashes); documents with one set are one node. Two sets
-can link only when they share two shingles among the first of each in a fixed order (rarest first, by a counter
-table of fixed size), so those shingles are the keys under which nodes meet. Under a key, nodes meet in tiles of
+can link only when they share several shingles (SHARED, or all that they need) among the first of each in a fixed
+order (rarest first, by a counter table of fixed size), so those are the keys under which nodes meet. Under a key, nodes meet in tiles of
 neighbouring size bands. A pair's overlap is bounded from above by the bit counts of two bitmap signatures, and
 what passes is settled by intersecting the sorted sets.
 
@@ -25,6 +25,8 @@ from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept,
 COUNTERS = 20
 SIGNATURE = 1024
 INVOLVED = 23
+#: Keys that two nodes must share, unless the overlap they need is smaller.
+SHARED = 4
 
 
 def sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -63,7 +65,7 @@ def counters(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def sets_with_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, node (null if n is 0) and keys: the first n - ceil(n * num / den) + 2 shingles in the order."""
+    """doc_id, n, node (null if n is 0) and keys: the first n - ceil(n * num / den) + SHARED shingles in the order."""
     level = docs.sparkSession.sparkContext.broadcast(np.log2(counters(docs, k) + 1).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +75,7 @@ def sets_with_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 for s in sets(part, k):
                     n = len(s)
                     rank = (level.value[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-                    p = min(n, n - -(-n * num // den) + 2)
+                    p = min(n, n - -(-n * num // den) + SHARED)
                     sizes.append(n)
                     names.append(node(s) if n else None)
                     keys.append(s[np.argpartition(rank, p - 1)[:p]] if p < n else s)
@@ -83,6 +85,22 @@ def sets_with_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, node long, keys array<long>")
 
 
+def keyed(base: DataFrame, shared: np.ndarray) -> DataFrame:
+    """(key, node, n) for the keys that the bitmap `shared` may hold."""
+    bits = base.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            some = in_bitmap(keys, bits.value) if len(keys) else np.zeros(0, bool)
+            at = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some], pa.int64()), batch.column("node").take(at), batch.column("n").take(at)], ["key", "node", "n"])
+
+    return base.where("n > 0").select("node", "n", "keys").mapInArrow(run, "key long, node long, n long")
+
+
 def contents(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     """node, sig, items (binary) of the sets whose node the bitmap `wanted` may hold, once each."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -139,10 +157,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
     """
     rows = doc_bytes(docs)
     base = kept(sets_with_keys(rows, k, num, den))
-    nodes = base.where("n > 0").select("node", "n", "keys").dropDuplicates(["node"])
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = kept(keyed.join(shared, "key").select("key", "node", "n"))
+    need = lambda n: f"least({SHARED}, ceil({n} * {num} / {den}))"
+    shared = base.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    found = keyed(base, bitmap(shared, "key", INVOLVED)).join(shared, "key").distinct()
+    enough = found.groupBy("node", "n").count().where(f"count >= {need('n')}").select("node")
+    members = kept(found.join(enough, "node", "left_semi").select("key", "node", "n"))
     known = kept(contents(rows, k, bitmap(members.select("node"), "node", INVOLVED)))
     links = members.limit(0).selectExpr("node as a", "node as b")
     now = members.withColumn("component", F.col("node"))
@@ -154,7 +173,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
 
     for turn in range(hub_rounds):
         apart = mixed(now, turn)
-        tries = apart.where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub").count().groupBy("node").agg(F.max(F.struct("count", "hub")).alias("h"))
+        tries = apart.where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub", "n", "hub_n").count().where(f"count >= least({need('n')}, {need('hub_n')})").groupBy("node").agg(F.max(F.struct("count", "hub")).alias("h"))
         got = kept(verified(tries.selectExpr("node as a", "h.hub as b"), known, num, den))
         if got.isEmpty():
             break
@@ -166,7 +185,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
     left = apart.where("component <> main").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).selectExpr("key", "band", "node as a", "n as na", "component as ca")
     right = apart.withColumn("band", band).selectExpr("key", "band", "node as b", "n as nb", "component as cb", "main")
     met = left.join(right, ["key", "band"]).where(f"ca <> cb and (cb = main or a < b) and least(na, nb) * {den} >= greatest(na, nb) * {num}")
-    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("na", "nb")).alias("n")).where(f"c >= 2 or n * {num} <= {den}")
+    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("na", "nb")).alias("n")).where(f"c >= {need('n')}")
     links = links.union(verified(pairs, known, num, den))
     named = components(links)
     least = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
