@@ -147,6 +147,22 @@ def neighbours(contexts: DataFrame, by: list[str], need: int, least: int) -> Dat
     return sides.where("match is not null").select("match.*").union(sides.where("task >= 0").drop("match").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(join_ends, FOUND))
 
 
+def with_first(contexts: DataFrame, need: int, least: int) -> DataFrame:
+    """Matches of each row with the key's earliest place: a neighbour may be a later place while an earlier one
+    stands further off in the order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            a, b, c, d = (np.frombuffer(b"".join(pdf[x]), ">u4").reshape(-1, SIDE) for x in ("left", "a_left", "right", "a_right"))
+            l, r = common(a, b), common(c, d)
+            good = l + r + need >= least
+            yield pd.DataFrame({"around": pdf["around"].to_numpy()[good], "l": l[good], "r": r[good], "later": True})
+
+    first = contexts.groupBy("key").agg(F.min_by(F.struct("around", "left", "right"), F.struct("f_doc", "f_row", "f_pos")).alias("a"))
+    both = contexts.join(first.select("key", F.col("a.around").alias("a_around"), F.col("a.left").alias("a_left"), F.col("a.right").alias("a_right")), "key").where("around <> a_around")
+    return both.select("around", "left", "right", "a_left", "a_right").mapInPandas(run, FOUND)
+
+
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, row, start, stop, later: the words [start, stop) of a text stand elsewhere too.
 
@@ -164,7 +180,7 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     contexts = kept(surroundings(rows, need, recur, True).groupBy("key", "left", "right", "around").agg(F.min(order).alias("f"), F.count("*").alias("n")).selectExpr("key", "left", "right", "around", "n", "f.doc as f_doc", "f.row as f_row", "f.pos as f_pos"))
     several = contexts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     distinct = contexts.join(several, "key", "left_semi")
-    found = neighbours(distinct, ["key", "right", "left"], need, least).union(neighbours(distinct, ["key", "left", "right"], need, least))
+    found = neighbours(distinct, ["key", "right", "left"], need, least).union(neighbours(distinct, ["key", "left", "right"], need, least)).union(with_first(distinct, need, least))
     l, r = (words_in(F.col(s)) for s in ("left", "right"))
     copies = contexts.where("n > 1").select("around", l.alias("l"), r.alias("r"), "f_row", "f_pos").where(F.col("l") + F.col("r") + need >= least)
     every = found.selectExpr("around", "l", "r", "later", "cast(null as long) f_row", "cast(null as long) f_pos").union(copies.selectExpr("around", "l", "r", "cast(null as boolean) later", "f_row", "f_pos"))
