@@ -1,0 +1,241 @@
+import base64
+import hashlib
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lakequill.llm import byte_bpe, components, jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup, topk_search, url_filters
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, row int"
+WORDS, VOCAB = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
+
+def prose(seed, n=120, size=400):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefgilmnorstu"), rng.integers(2, 8))) for _ in range(size)]
+    return " ".join(rng.choice(words, n))
+
+
+def frame(spark, texts, ids=None):
+    ids = ids or range(len(texts))
+    return spark.createDataFrame([(i, t, "en", "s", None, 1.0, "x", 3) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+ODD = [None, "", " \n\t ", "the", "The, the.\n\nThe  the x\x1c y", "it's <|endoftext|> é́ İ Σς 12345", "x" * 700, "a\n b\n", "naïve café " * 9, prose(1), prose(1), prose(2, 9000)]
+
+
+def test_packing_covers_each_id_once(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORDS)
+    want = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], np.uint32) for t in ODD]
+    rows = packing.pack(frame(spark, ODD), WORDS, 2, 4096).collect()
+    at = defaultdict(list)
+    for r in rows:
+        assert np.array_equal(np.frombuffer(r.ids, np.uint32), want[r.doc_id][r.start : r.start + r.length]) and r.doc_tokens == len(want[r.doc_id])
+        at[r.sequence_id].append((r.offset, r.length))
+    assert sum(r.length for r in rows) == sum(map(len, want))
+    for parts in at.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 4096
+    assert packing.pack(frame(spark, ODD).limit(0), WORDS, 2).count() == 0
+    assert packing.pack(frame(spark, ["a"], [None]), WORDS, 2).first().doc_id is None
+
+
+def test_cuts_are_the_best():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(20, 90))
+        docs = np.append(np.unique(rng.integers(1, n, 4)), n)
+        inner = np.unique(rng.integers(1, n, 8))
+        cost = {**dict.fromkeys(inner.tolist(), 3), **dict.fromkeys(docs.tolist(), 0)}
+        got = packing.cuts(n, docs, inner, 16, 3, 9, 4)
+        assert got[-1] == n and all(0 < b - a <= 16 for a, b in zip([0, *got], got))
+        body = [p for p in got if p <= n - 16]
+        price = sum(16 - (b - a) + cost.get(b, 9) for a, b in zip([0, *body], body))
+        if body:  # no cheaper way to the last cut of the body through the same kinds of places
+            best = {0: 0}
+            for p in range(1, body[-1] + 1):
+                ways = [best[q] + 16 - (p - q) + cost.get(p, 9) for q in best if p - 16 <= q < p]
+                if ways and (p in cost or p == body[-1]):
+                    best[p] = min(ways)
+            assert body[-1] not in best or price <= best[body[-1]] + 9
+
+
+def test_byte_bpe_equals_the_library(spark):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCAB, "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = byte_bpe.digest(byte_bpe.encode(frame(spark, ODD), VOCAB, PATTERN)).collect()
+    for r in rows:
+        ids = coder.encode_ordinary(ODD[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((ODD[r.doc_id] or "").encode()).hexdigest())
+    assert len(rows) == len(ODD) and byte_bpe.encode(frame(spark, []), VOCAB, PATTERN).count() == 0
+
+
+def brute_components(texts, k, num, den):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return {i: (len(s), root[i]) for i, s in enumerate(sets)}
+
+
+def test_jaccard_join_equals_all_pairs(spark):
+    rng = np.random.default_rng(0)
+    texts = [None, "", "one two", "ONE  two", "one two three", *ODD[3:6]]
+    for seed in range(6):
+        words = prose(seed, int(rng.integers(30, 160))).split()
+        for _ in range(6):
+            copy = list(words)
+            for i in rng.integers(0, len(copy), rng.integers(0, 4)):
+                copy[i] = f"w{rng.integers(99)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(words[: len(words) - 3]))
+    for k, num in ((4, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame(spark, texts), k, num, 100).collect()}
+        assert got == brute_components(texts, k, num, 100)
+    assert jaccard_join.join(frame(spark, []), 4, 85, 100).count() == 0
+    assert jaccard_join.join(frame(spark, ["a b c d e", "a b c d e"], [None, 7]), 4).where("doc_id is null").first().component_id == 7
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 3)], "a long, b long")
+    got = {r.node: r.component for r in components.components(links).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_suffix_dedup_equals_all_windows(spark):
+    shared, tail = prose(50, 70), prose(51, 40)
+    texts = [prose(1, 90), prose(2, 60) + " " + shared + " " + prose(3, 60), shared + "\n" + tail, prose(4, 30) + " " + shared, prose(5) + " " + tail, None, "", "short", prose(1, 90), shared + " x " + shared]
+    words = [(t or "").encode().lower().split() for t in texts]
+    at = defaultdict(list)
+    for j, w in enumerate(words):
+        for p in range(len(w) - 49):
+            at[tuple(w[p : p + 50])].append((j, p))
+    want, got, later = ([np.zeros(len(w), bool) for w in words] for _ in range(3))
+    for places in at.values():
+        for j, p in places if len(places) > 1 else ():
+            want[j][p : p + 50] = True
+    for r in suffix_dedup.repeats(frame(spark, texts)).collect():
+        (later if r.later else got)[r.doc_id][r.start : r.stop] = True
+    assert all(np.array_equal(a, b) for a, b in zip(want, got)) and not any(x.any() for x in (later[0], later[1], later[4]))
+    left = {r.doc_id: r for r in suffix_dedup.without_repeats(frame(spark, texts)).collect()}
+    assert left[8].text == "" and left[0].text == texts[0] and left[1].text == texts[1] and left[5].text is None and left[3].text.split() == texts[3].split()[:30]
+    assert len(left) == len(texts) and left[0].node == "x" and suffix_dedup.repeats(frame(spark, [])).count() == 0
+
+
+def test_topk_equals_all_scores(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(0, 1, (90, 8)), 2)
+    x[10:20] = x[0]
+    rows = [(i, [float(v) for v in a]) for i, a in enumerate(x)] + [(200, None), (220, [1.0] * 7 + [None]), (240, [float("nan")] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = np.floor(64 * x)
+    want = set()
+    for i in range(0, 90, 20):
+        s = q @ q[i]
+        order = [j for j in sorted(range(90), key=lambda j: (-s[j], j)) if j != i][:20]
+        want |= {(i, r + 1, j, int(s[j])) for r, j in enumerate(order)}
+    for shard in (16, 4096):
+        assert {tuple(r) for r in topk_search.search(v, F.col("vec_id") % 20 == 0, 20, 64, 2, shard).collect()} == want
+    assert topk_search.search(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_quality_rules(spark):
+    same = "line of words here\n" * 12
+    texts = [prose(1), same, "*** $$$ %%% " * 20, prose(2, 40).upper(), None, "", " | ".join(prose(3, 60).split())]
+    rows = {r.doc_id: r for r in quality_rules.cascade(frame(spark, texts)).collect()}
+    assert [rows[i].kept for i in range(7)] == [True] + [False] * 6
+    assert rows[1].n_dup_lines == 11 and rows[1].n_repeat_words == 48 and rows[1].base_failed and rows[4].n_words == 0
+    assert rows[2].n_symbols == 180 and not rows[3].base_failed
+    assert {r.doc_id for r in quality_rules.accepted(frame(spark, texts)).collect()} == {0} and quality_rules.cascade(frame(spark, [])).count() == 0
+
+
+def test_quality_classifier(spark):
+    texts = [prose(i, 60) if i % 2 else " ".join(f"{w}$$$" for w in prose(i, 60).split()) for i in range(60)] + [None, ""]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (61, None, 0)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r.score for r in quality_classifier.score(frame(spark, texts), labels, (4, 2)).collect()}
+    assert all((rows[i] > 0.5) == bool(i % 2) for i in range(60)) and all(0 <= s <= 1 for s in rows.values()) and len(rows) == 62
+    assert {r.score for r in quality_classifier.score(frame(spark, texts), labels.limit(0)).collect()} == {0.5}
+    assert quality_classifier.accepted(frame(spark, texts), labels, 0.5).where("doc_id < 60 and doc_id % 2 = 0").count() == 0
+
+
+def test_url_filters(spark):
+    urls = ["https://a.example.org/es/1", "http://example.org/en/12?x", "https://example.org/en/2", "https://EXAMPLE.com/de/", "https://x.com/fr/1#t", "https://cheap-pills.example.net/en/1", "https://ththnd.example.net/en/1", None, "nothing", "https://x.org"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r.page_id: r for r in url_filters.judge(pages, url_filters.labelled(spark)).collect()}
+    assert [rows[i]["rule"] for i in range(7)] == ["example.org/es/", "example.org/en/1", "org/", "com/de/", "com/fr/", None, None]
+    assert [rows[i].verdict for i in range(7)] == ["block", "block", "allow", "block", "allow", "block", "allow"]
+    assert (rows[7].host, rows[7].path, rows[8].host, rows[9].host, rows[9]["rule"]) == ("", "", "", "x.org", None)
+
+
+def test_language_gradients():
+    net = language_id.Network(3, 4, 0)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = np.array([[1, 2], [3, 4], [5, 0]], np.uint8), np.array([0, 2])
+    mask = np.array([[1, 1], [1, 1], [1, 0]], bool)
+    loss = lambda: -np.log(net.label(x, mask)[:, [0, 1], y])[mask].mean()
+    g = net.gradients(x, mask, y)
+    for k, at in (("o", (1, 2)), ("uf", (2, 5)), ("ub", (0, 9)), ("xf", (3, 1)), ("xb", (5, 7))):
+        old = net.p[k][at]
+        net.p[k][at] = old + 1e-3
+        up = loss()
+        net.p[k][at] = old - 1e-3
+        down = loss()
+        net.p[k][at] = old
+        assert g[k][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-5)
+
+
+def test_language_id(spark):
+    one, two = ["the", "house", "with", "thing"], ["der", "häuser", "mit", "über"]
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice(two if i % 2 else one, 12)), "de" if i % 2 else "en") for i in range(40)] + [(90, None, None), (91, "12 34", None)]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), (4, 2), steps=80).collect()}
+    assert all(got[i].lang_pred == ("de" if i % 2 else "en") for i in range(40)) and got[90].lang_pred == got[91].lang_pred == "und"
+
+
+def test_lm_scores(spark):
+    texts = [prose(i % 5, 50, 60) for i in range(30)] + [None, "Brand new wordsx"]
+    rows = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), (7, 2)).collect()}
+    c, train = defaultdict(int), [i for i in range(32) if zlib.crc32(str(i).encode()) % 7 != 2]
+    words = [(t or "").lower().split() + ["\n"] for t in texts]
+    for i in train:
+        for w in words[i]:
+            c[w] += 1
+    n, v = sum(c.values()), len(c)
+    for i, r in rows.items():
+        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1 if w in c else 1) / (n + v + 1)) for w in words[i])) and r.train_tokens == n and r.n_tokens == len(words[i])
+        assert r.n_known == sum(w in c for w in words[i]) and r.held_out == (i not in train) and r.score < 0
+    assert rows[0].score > rows[31].score * len(words[0]) / len(words[31]) and lm_scoring.score(frame(spark, []), (7, 2)).count() == 0
+
+
+def test_lm_is_a_distribution():
+    rng = np.random.default_rng(0)
+    tables = [np.zeros(max(lm_scoring.PACK, 1 << b), np.uint8) for b in lm_scoring.BITS]
+    model = lm_scoring.Model([t + rng.integers(0, 9, len(t)).astype(np.uint8) for t in tables], [t + 9 for t in tables], rng.normal(0, 0.3, (lm_scoring.GATES, lm_scoring.INPUTS)).astype(np.float32), rng.random((256, lm_scoring.STEPS)))
+    context = np.uint64(0x61626300) | np.arange(256, dtype=np.uint64)
+    assert (10.0 ** model.log_probability(context)).sum() == pytest.approx(1, rel=1e-6)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = frame(spark, [prose(i, 80) for i in range(30)] + [prose(3, 80), "$$$ ### " * 30, prose(7, 80) + " " + prose(99, 60)]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i != 31)) for i in range(32)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in rows}
+    assert 30 not in ids and 31 not in ids and set(range(30)) <= ids and 32 in ids
+    assert [len(corpus_pipeline.STAGES), corpus_pipeline.STAGES[0][0]] == [5, "quality classifier"]
