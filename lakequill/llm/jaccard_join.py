@@ -1,7 +1,7 @@
 """Jaccard similarity join on word shingles, exact, by size-banded tiles with bitmap signatures.
 
 Each document is the set of its distinct shingles (64-bit hashes); documents with one set are one node. Two sets
-can link only when they share several shingles (SHARED, or all that they need) among the first of each in a fixed
+can link only when they share several shingles (SHARED or more, or all that they need) among the first of each in a fixed
 order (rarest first, by a counter table of fixed size), so those are the keys under which nodes meet. Under a key, nodes meet in tiles of
 neighbouring size bands. A pair's overlap is bounded from above by the bit counts of two bitmap signatures, and
 what passes is settled by intersecting the sorted sets.
@@ -25,8 +25,8 @@ from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept,
 COUNTERS = 20
 SIGNATURE = 1024
 INVOLVED = 23
-#: Keys that two nodes must share, unless the overlap they need is smaller.
-SHARED = 4
+#: Keys that two nodes must share, unless the overlap they need is smaller: 4, and one in 50 of a large set.
+SHARED, PART = 4, 50
 
 
 def sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -65,7 +65,7 @@ def counters(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def sets_with_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, node (null if n is 0) and keys: the first n - ceil(n * num / den) + SHARED shingles in the order."""
+    """doc_id, n, node (null if n is 0) and keys: the first shingles in the order, of which a link shares max(SHARED, n / PART)."""
     level = docs.sparkSession.sparkContext.broadcast(np.log2(counters(docs, k) + 1).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +75,7 @@ def sets_with_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 for s in sets(part, k):
                     n = len(s)
                     rank = (level.value[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-                    p = min(n, n - -(-n * num // den) + SHARED)
+                    p = min(n, n - -(-n * num // den) + max(SHARED, n // PART))
                     sizes.append(n)
                     names.append(node(s) if n else None)
                     keys.append(s[np.argpartition(rank, p - 1)[:p]] if p < n else s)
@@ -157,7 +157,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
     """
     rows = doc_bytes(docs)
     base = kept(sets_with_keys(rows, k, num, den))
-    need = lambda n: f"least({SHARED}, ceil({n} * {num} / {den}))"
+    need = lambda n: f"least(greatest({SHARED}, {n} div {PART}), ceil({n} * {num} / {den}))"
     shared = base.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     found = keyed(base, bitmap(shared, "key", INVOLVED)).join(shared, "key").distinct()
     enough = found.groupBy("node", "n").count().where(f"count >= {need('n')}").select("node")
