@@ -102,13 +102,15 @@ def keyed(base: DataFrame, shared: np.ndarray) -> DataFrame:
 
 
 def contents(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
-    """node, sig, items (binary) of the sets whose node the bitmap `wanted` may hold, once each."""
+    """node, sig, items (binary) of the sets whose place (node and doc_id) the bitmap `wanted` may hold: one for each
+    wanted node, and by chance a few copies, which only repeat links."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                found = {name: s for s in sets(part, k) if len(s) and in_bitmap(np.array([name := node(s)]), shared.value)[0]}
+                ids = part.column("doc_id").fill_null(-1).to_numpy()
+                found = {name: s for s, i in zip(sets(part, k), ids, strict=True) if len(s) and in_bitmap(np.array([(name := node(s)) ^ int(i) ^ (int(i) << 11)]).astype(np.int64), shared.value)[0]}
                 sigs = []
                 for s in found.values():
                     bits = np.zeros(SIGNATURE, bool)
@@ -116,7 +118,7 @@ def contents(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
                     sigs.append(np.packbits(bits).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["node", "sig", "items"])
 
-    return docs.mapInArrow(run, "node long, sig binary, items binary").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node long, sig binary, items binary")
 
 
 def verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
@@ -146,7 +148,7 @@ def verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds: int = 3) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; two link when den * overlap >= num * union.
 
     docs: doc_id, text; other columns are ignored. A-Z count in lower case; with fewer than k words the whole
@@ -162,7 +164,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
     found = keyed(base, bitmap(shared, "key", INVOLVED)).join(shared, "key").distinct()
     enough = found.groupBy("node", "n").count().where(f"count >= {need('n')}").select("node")
     members = kept(found.join(enough, "node", "left_semi").select("key", "node", "n"))
-    known = kept(contents(rows, k, bitmap(members.select("node"), "node", INVOLVED)))
+    first = base.groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("i"))
+    places = first.join(members.select("node").distinct(), "node").selectExpr("node ^ i ^ shiftleft(i, 11) as place")
+    known = kept(contents(rows, k, bitmap(places, "place", INVOLVED)))
     links = members.limit(0).selectExpr("node as a", "node as b")
     now = members.withColumn("component", F.col("node"))
 
@@ -179,7 +183,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
             break
         links = links.union(got)
         named = components(links)
-        now = members.join(named, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        now = apart.select("key", "node", "n").join(named, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     apart = mixed(now, hub_rounds)
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9) if num < den else F.col("n")
     left = apart.where("component <> main").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).selectExpr("key", "band", "node as a", "n as na", "component as ca")

@@ -16,9 +16,15 @@ SPACES = b" \t\n\r\x0b\x0c"
 
 def doc_bytes(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id as long and text as UTF-8 bytes (null text: empty); every other column is left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python 2,000 at a time (for the rest of the session), which bounds a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def fold(of: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts (null id: null)."""
     return F.crc32(F.col(of).cast("string") if isinstance(of, str) else of.cast("string")) % parts
