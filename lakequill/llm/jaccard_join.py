@@ -110,7 +110,7 @@ def contents(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
                 ids = part.column("doc_id").fill_null(-1).to_numpy()
-                found = {name: s for s, i in zip(sets(part, k), ids, strict=True) if len(s) and in_bitmap(np.array([(name := node(s)) ^ int(i) ^ (int(i) << 11)]).astype(np.int64), shared.value)[0]}
+                found = {name: s for s, i in zip(sets(part, k), ids, strict=True) if len(s) and in_bitmap(np.array([((name := node(s)) ^ int(i) ^ (int(i) << 11)) & ((1 << INVOLVED) - 1)]), shared.value)[0]}
                 sigs = []
                 for s in found.values():
                     bits = np.zeros(SIGNATURE, bool)
