@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -164,6 +165,12 @@ class ByteBpe:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, pattern: str) -> ByteBpe:
+    """A worker's encoder, whose memory of units serves all tasks that the worker runs."""
+    return ByteBpe(path, pattern)
+
+
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by commas, binary) and decoded (binary) of every document.
 
@@ -172,7 +179,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(vocabulary_path, pattern)
+        bpe = encoder(vocabulary_path, pattern)
         for batch in batches:
             for part in pieces(batch, 8 << 20):
                 got = bpe([t.decode("utf-8", "replace") for t in part.column("text").to_pylist()])
