@@ -14,6 +14,7 @@ import re
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder, whose memory of words serves all tasks that the worker runs."""
+    return WordEncoder(path)
+
+
 def sentence_ends(path: str) -> np.ndarray:
     """For each id of the vocabulary, whether it ends a sentence."""
     vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
@@ -144,7 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, window: int = 4096,
     ends = sentence_ends(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         eos, sequence = array("I", [eos_id]).tobytes(), TaskContext.get().partitionId() << 32
         ids, encoded, size = [], [], 0
 
