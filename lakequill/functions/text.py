@@ -82,3 +82,22 @@ def public_url(url: Column) -> Column:
     six = host.startswith("[")
     bad6 = host.rlike(r"^\[(?:::|::1|f[cd][0-9a-f:]*|fe[89ab][0-9a-f:]*|ff[0-9a-f:]*|::ffff:.*)\]$")
     return F.coalesce((F.length(host) > 0) & ~host.rlike(r"(^|\.)localhost$") & ~(dotted & host.rlike(private)) & ~(six & bad6), F.lit(False))
+
+
+#: Punctuation of Han texts and what stands for it, character by character (fixed values); an ellipsis is three stops.
+HAN_MARKS, PLAIN_MARKS = "。、《》【】「」『』“”‘’—–―　", ".,<>[]\"\"''\"\"''--- "
+#: White space in the widest sense, which normal_ocr takes out.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def normal_ocr(c: Column, underscores: bool = False) -> Column:
+    """Only the characters that OCR has to get right: full-width forms and Han punctuation become ASCII; table rules,
+    leading # and >, the marks *, ~, ` and |, and all white space go. underscores: take them out too."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    narrow = "".join(map(chr, range(0x21, 0x7F)))
+    t = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("——"), F.lit("—")), F.lit("……"), F.lit("…"))
+    t = F.replace(F.translate(t, HAN_MARKS + wide, PLAIN_MARKS + narrow), F.lit("…"), F.lit("..."))
+    rule = lambda x: x.rlike(rf"^(?:[|:-]|{SPACE})+$") & x.contains("-")
+    kept = F.filter(F.split(t, "\n"), lambda x: ~rule(x))
+    bare = F.transform(kept, lambda x: F.regexp_replace(x, rf"^{SPACE}*(?:#{{1,6}}{SPACE}*|>+{SPACE}*)+", ""))
+    return F.regexp_replace(F.array_join(bare, ""), rf"[*~`|{'_' if underscores else ''}]|{SPACE}", "")

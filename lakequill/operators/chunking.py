@@ -135,3 +135,29 @@ def render_tables(cells: DataFrame) -> DataFrame:
     line = F.concat(F.lit("| "), F.array_join(F.concat("c", F.array_repeat(F.lit(""), F.col("w") - F.size("c"))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("w")), " | "), F.lit(" |"))
     return wide.withColumn("line", F.when(F.col("n") == 1, F.concat(line, rule)).otherwise(line)).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n").alias("content"))
+
+
+def tables_to_prose(docs: DataFrame, lead: str = "{subject}的全部{heading}如下：", blank_heading: str = "内容", between: str = "，", end: str = "。") -> DataFrame:
+    """docs (doc_id, content, subject, heading) with each pipe table as a sentence: a lead, then its rows with cells
+    joined by spaces. A block of pipe lines whose second line is no separator stays, without leading white space; a
+    table without a filled row goes. Lines of one document share a window, never the table."""
+    lines = docs.select("doc_id", "subject", "heading", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    bare = F.regexp_replace("text", r"(?U)^\s+", "")
+    lines = lines.withColumn("bar", bare.startswith("|")).withColumn("text", F.when(F.col("bar"), bare).otherwise(F.col("text")))
+    lines = lines.withColumn("block", F.when(F.col("bar"), F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "bar").orderBy("pos"))).otherwise(-2 - F.col("pos")))
+    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), r"^\|", ""), r"\|$", "")
+    separator = inner.rlike(r"^[\s:|-]*$") & inner.contains("-")
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("pos")))
+    lines = lines.withColumn("table", F.max(F.col("bar") & (F.col("n") == 2) & separator).over(Window.partitionBy("doc_id", "block")))
+    cells = F.filter(F.transform(F.split(inner, r"\|"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: F.length(x) > 0)
+    rows = lines.withColumn("row", F.when(F.col("table") & (F.col("n") > 2) & (F.size(cells) > 0), F.array_join(cells, " ")))
+    noun = F.regexp_replace(F.regexp_replace(F.coalesce("heading", F.lit("")), r"^[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\s]+", ""), r"^[\d一二三四五六七八九十]+[、.．:：]\s*", "")
+    noun = F.coalesce(F.nullif(F.trim(noun), F.lit("")), F.lit(blank_heading))
+    before, after = lead.split("{heading}")
+    has = F.length(F.coalesce("subject", F.lit(""))) > 0
+    bare_lead = before.replace("{subject}的", "").replace("{subject}", "")
+    opening = F.concat(F.when(has, F.replace(F.lit(before), F.lit("{subject}"), F.coalesce("subject", F.lit("")))).otherwise(bare_lead), noun, F.lit(after))
+    ordered = lambda value: F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("pos", value.alias("v"))))), lambda s: s["v"])
+    blocks = rows.groupBy("doc_id", "subject", "heading", "block", "table").agg(F.min("pos").alias("pos"), ordered(F.col("row")).alias("rows"), F.array_join(ordered(F.col("text")), "\n").alias("plain"))
+    text = F.when(~F.col("table"), F.col("plain")).when(F.size("rows") > 0, F.concat(opening, F.array_join("rows", between), F.lit(end)))
+    return blocks.withColumn("text", text).groupBy("doc_id").agg(F.array_join(ordered(F.col("text")), "\n").alias("content"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakequill.functions.text import char_error_rate
@@ -75,3 +77,11 @@ def details(queries: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     return queries.select(F.col("id").alias("query_id")).join(docs, "query_id", "left")
 
 
+
+
+def ablation(configs: dict[str, DataFrame], gold: DataFrame, k: int) -> DataFrame:
+    """config, queries, hits and precision at k of each configuration's hits (query_id, doc_id, rank); gold: query_id, doc_id."""
+    every = reduce(DataFrame.union, [h.where(F.col("rank") <= k).select(F.lit(name).alias("config"), "query_id", "doc_id") for name, h in configs.items()])
+    marked = every.join(gold.select("query_id", "doc_id", F.lit(1).alias("right")).distinct(), ["query_id", "doc_id"], "left")
+    each = marked.groupBy("config", "query_id").agg(F.count("*").alias("n"), F.count("right").alias("right"))
+    return each.groupBy("config").agg(F.count("*").alias("queries"), F.sum("n").alias("hits"), F.round(F.avg(F.col("right") / F.col("n")), 6).alias("precision"))

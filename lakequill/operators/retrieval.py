@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -213,3 +214,25 @@ def new_by_round(hits: DataFrame, rounds: DataFrame) -> DataFrame:
     added = rounds.select("question", "round").distinct().join(first.groupBy("question", "round").agg(F.count("*").alias("added")), ["question", "round"], "left").fillna(0, ["added"])
     stop = F.min(F.when((F.col("round") > 1) & (F.col("added") == 0), F.col("round"))).over(Window.partitionBy("question"))
     return added.withColumn("stop", stop).where("round <= 5 and (stop is null or round <= stop)").drop("stop")
+
+
+def hits_or_none(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id and its chunks in order of rank; a query without hits, or whose search failed, has an empty list."""
+    got = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda s: s["chunk_id"]).alias("chunks"))
+    return queries.select(F.col("id").alias("query_id")).join(got, "query_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<bigint>")))
+
+
+def prompts(asked: DataFrame, history: DataFrame, system: str, style: str = "", with_context: str = "Context:\n{context}\n\nQuestion:\n{query}", without: str = "Question: {query}\n\n(No context was found.)") -> DataFrame:
+    """query_id and messages (role, content): the system text with its style, the trimmed history (query_id, turn, role,
+    text) and the question in its context, from asked (query_id, query, context)."""
+    past = history.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.struct(s["role"].alias("role"), s["text"].alias("content"))).alias("past"))
+    message = lambda role, text: F.array(F.struct(F.lit(role).alias("role"), text.alias("content")))
+
+    def filled(template: str) -> Column:
+        parts = re.split(r"(\{query\}|\{context\})", template)
+        return F.concat(*[F.coalesce(F.col(p[1:-1]), F.lit("")) if p in ("{query}", "{context}") else F.lit(p) for p in parts])
+
+    user = F.when(F.length(F.coalesce("context", F.lit(""))) > 0, filled(with_context)).otherwise(filled(without))
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    opening = F.lit(f"{system}\n{style}" if style else system)
+    return asked.join(past, "query_id", "left").select("query_id", F.concat(message("system", opening), F.coalesce("past", none), message("user", user)).alias("messages"))

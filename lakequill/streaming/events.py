@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -45,3 +47,24 @@ def request_figures(requests: DataFrame, latest: int = 200) -> DataFrame:
 def stage_timings(rows: DataFrame) -> DataFrame:
     """Calls, mean and greatest time of each stage (stage, ms)."""
     return rows.groupBy("stage").agg(F.count("*").alias("calls"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.max("ms"), 6).alias("max_ms"))
+
+
+def expired_keys(events: DataFrame, by: str, idle_seconds: int) -> DataFrame:
+    """by, last, expired: keys whose last event is more than idle_seconds before the latest event of all."""
+    last = events.groupBy(by).agg(F.max("ts").alias("last"))
+    now = last.agg(F.max("last").alias("now"))
+    gap = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))
+    return last.join(F.broadcast(now)).select(by, "last", (gap > idle_seconds * 1_000_000).alias("expired"))
+
+
+def stream_first_events(events: DataFrame, by: str, idle: str = "300 seconds") -> DataFrame:
+    """The first event of each key in a stream; a key's state is dropped once the watermark has left it `idle` behind."""
+    return events.withWatermark("ts", idle).dropDuplicatesWithinWatermark([by])
+
+
+def ingest(source: DataFrame, chunked: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Runs what a stream of documents holds now through `chunked` into a Parquet sink under folder, once each, and
+    returns the sink's table; a later call with the same folder goes on from there."""
+    rows = chunked(source)
+    rows.writeStream.format("parquet").option("path", f"{folder}/chunks").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return source.sparkSession.read.schema(rows.schema).parquet(f"{folder}/chunks")

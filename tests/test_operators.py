@@ -3,7 +3,8 @@ import datetime
 from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
-from lakequill.operators import chunking, evaluation, retrieval, sessions, sync
+from lakequill.operators import chunking, evaluation, indexing, retrieval, sessions, sync
+from lakequill.sources import datasets, files, html
 from lakequill.streaming import events
 
 
@@ -98,3 +99,74 @@ def test_stream_bursts_match_batch(spark, tmp_path):
     q.awaitTermination()
     got = {(r.start, r.n) for r in spark.table("bursts").collect()}
     assert got <= {(r.start, r.n) for r in events.bursts(rows, "user_id", 5).collect()} and len(got) == 2
+
+
+def test_scan_skips_folders(spark, tmp_path):
+    for name in ("a.md", "b/c.TXT", "b/d.pdf", "wiki/e.md", ".git/f.md", "b/node_modules/g.md"):
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text(name)
+    assert {r.relative for r in files.scan(spark, str(tmp_path / "root")).collect()} == {"a.md", "b/c.TXT"}
+
+
+def test_decoding_chain(spark):
+    raw = ["né".encode(), "检索系统".encode("gb18030"), b"caf\xe9", b"", None]
+    rows = files.decoded(spark.createDataFrame(list(enumerate(raw)), "i int, content binary")).orderBy("i").collect()
+    assert [r.text for r in rows] == ["né", "检索系统", "café", "", None]
+
+
+def test_markdown_source(spark):
+    def parse(c):
+        r = one(spark, c, files.markdown_source)
+        return r.content, r.title, r.metadata
+
+    assert parse("---\ntitle: A\nk: 'v'\nk: w\n---\n## x\n# y\nz") == ("## x\n# y\nz", "y", {"title": "A", "k": "w"})
+    assert parse("## x\nz") == ("## x\nz", "x", {"title": "x"})
+    assert parse("---\nno end") == ("---\nno end", None, {})
+    assert parse("") == ("", None, {})
+
+
+def test_pages_to_markdown(spark):
+    page = "<html><head><title>T</title></head><body><nav>no</nav><main><h2>A <b>b</b></h2><p>x <a href='/u'>y</a><br>z `</p><ul><li>1<ol><li>2</li></ol></li></ul><table><tr><th>a</th></tr><tr><td>b|</td><td>c</td></tr></table><pre class='lang-py'>  f\n    g</pre><blockquote><p>q</p></blockquote></main></body></html>"
+    want = "## A **b**\n\nx [y](/u)\nz `\n\n- 1\n  1. 2\n\n| a |  |\n| --- | --- |\n| b\\| | c |\n\n```py\nf\n  g\n```\n\n> q\n"
+    rows = html.to_markdown(spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, "")], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert (rows[0].title, rows[0].markdown, rows[0].n_fences) == ("T", want, 1)
+    assert [(r.title, r.markdown) for r in rows[1:]] == [(None, "")] * 2
+
+
+def test_tables_to_prose(spark):
+    text = "p\n| h | i |\n|---|:-:|\n| a | b |\n|  | |\n| c |\nq\n  |--|\n| x |\n| - |"
+    made = chunking.tables_to_prose(spark.createDataFrame([(1, text, "S", "🚀 二、API"), (2, text, None, None)], "doc_id long, content string, subject string, heading string"))
+    got = {r.doc_id: r.content for r in made.collect()}
+    assert got[1] == "p\nS的全部API如下：a b，c。\nq\n|--|\n| x |\n| - |" and "全部内容如下：a b，c。" in got[2]
+
+
+def test_normal_ocr(spark):
+    cases = {"# 标题： Ａ——Ｂ……": "标题:A-B...", "|---|:--|\n| *a_b* |": "a_b", "> ## x　y": "xy", "-5 是": "-5是", None: ""}
+    for raw, want in cases.items():
+        assert one(spark, raw, T.normal_ocr) == want == one(spark, want, T.normal_ocr)
+    assert one(spark, "a_b", lambda c: T.normal_ocr(c, True)) == "ab"
+
+
+def test_dataset_violations(spark):
+    raw = ['{"id": "a", "question": "q", "gold_docs": ["/x/d.md", "d.md"]}', '{"id": "a", "question": "q", "gold_docs": []}', "[1]", '{"id": "b"}', "broken", None]
+    checked = datasets.items(spark.createDataFrame(list(enumerate(raw)), "row int, raw string"))
+    assert {(r.row, r.rule) for r in datasets.violations(checked).collect()} == {(1, "no gold documents"), (1, "repeated id"), (2, "not an object"), (3, "missing field"), (4, "not an object"), (5, "not an object")}
+    assert [r.doc for r in datasets.gold(checked.where("row = 0")).collect()] == ["d.md"]
+
+
+def test_index_versions(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, v string")
+    indexing.build(rows.limit(0), str(tmp_path / "i"))
+    assert indexing.build(rows, str(tmp_path / "i")).count() == 2
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "doc_id long, v string")
+    assert {r.v for r in indexing.add(rows, new).collect()} == {"a", "b", "d"} and {r.v for r in indexing.add(rows, new, True).collect()} == {"a", "c", "d"}
+
+
+def test_stream_ingest_goes_on(spark, tmp_path):
+    rows = lambda a, b: spark.range(a, b).selectExpr("id as doc_id", "'x' as text").write.mode("append").parquet(str(tmp_path / "in"))
+    rows(0, 3)
+    for n in (3, 3, 5):
+        if n == 5:
+            rows(3, 5)
+        source = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+        assert events.ingest(source, lambda d: d.select("doc_id"), str(tmp_path / "out")).count() == n
