@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from lakequill.llm.components import components
 from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept, mix64, pieces, shingle_hashes
 
-COUNTERS = 20
+COUNTERS = 21
 SIGNATURE = 1024
 INVOLVED = 23
 #: Keys that two nodes must share, unless the overlap they need is smaller: 4, and one in 50 of a large set.
@@ -42,7 +42,8 @@ def node(s: np.ndarray) -> int:
 
 
 def counters(docs: DataFrame, k: int) -> np.ndarray:
-    """How many (document, shingle) pairs fall on each of 2**COUNTERS counters, by the shingle's leading bits."""
+    """How many (document, shingle) pairs fall on each of 2**COUNTERS counters, by the shingle's leading bits (at most
+    65,535 from each task: the counters choose an order, and any order gives the same links)."""
     chunk = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,10 +54,10 @@ def counters(docs: DataFrame, k: int) -> np.ndarray:
                     n += np.bincount((np.concatenate(got) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(n))
         for i in range(0, len(n), chunk):
             if n[i : i + chunk].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([n[i : i + chunk].tobytes()])], ["i", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([np.minimum(n[i : i + chunk], 65_535).astype(np.uint16).tobytes()])], ["i", "n"])
 
     def add(pdf):
-        return pdf.iloc[:1].assign(n=[np.sum([np.frombuffer(x, np.int64) for x in pdf["n"]], 0).tobytes()])
+        return pdf.iloc[:1].assign(n=[np.sum([np.frombuffer(x, np.uint16) for x in pdf["n"]], 0, np.int64).tobytes()])
 
     out = np.zeros(1 << COUNTERS, np.int64)
     for r in docs.mapInArrow(run, "i long, n binary").groupBy("i").applyInPandas(add, "i long, n binary").toLocalIterator():
@@ -66,7 +67,7 @@ def counters(docs: DataFrame, k: int) -> np.ndarray:
 
 def sets_with_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n, node (null if n is 0) and keys: the first shingles in the order, of which a link shares max(SHARED, n / PART)."""
-    level = docs.sparkSession.sparkContext.broadcast(np.log2(counters(docs, k) + 1).astype(np.uint8))
+    level = docs.sparkSession.sparkContext.broadcast((1000 * np.log2(counters(docs, k) + 1)).astype(np.uint16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +75,7 @@ def sets_with_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 sizes, names, keys = [], [], []
                 for s in sets(part, k):
                     n = len(s)
-                    rank = (level.value[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                    rank = (level.value[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s & np.uint64((1 << 48) - 1))
                     p = min(n, n - -(-n * num // den) + max(SHARED, n // PART))
                     sizes.append(n)
                     names.append(node(s) if n else None)
@@ -121,6 +122,18 @@ def contents(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "node long, sig binary, items binary")
 
 
+def needed(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of items whose node the pairs hold (and by chance a few more), so that no other set is shuffled."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    bits = items.sparkSession.sparkContext.broadcast(bitmap(ends, "node", INVOLVED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(batch.column("node").to_numpy(), bits.value)))
+
+    return items.mapInArrow(run, items.schema)
+
+
 def verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) of pairs whose sets link: bit counts first, then sorted intersection."""
 
@@ -142,8 +155,8 @@ def verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFram
 
     sigs = known.selectExpr("node", "sig", "length(items) div 8 as n")
     with_sigs = pairs.select("a", "b").join(sigs.toDF("a", "sa", "na"), "a").join(sigs.toDF("b", "sb", "nb"), "b")
-    few = with_sigs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(bounded, "a long, b long")
-    items = known.select("node", "items")
+    few = kept(with_sigs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(bounded, "a long, b long"))
+    items = needed(known.select("node", "items"), few)
     both = few.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
     return both.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long")
 
@@ -160,7 +173,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
     rows = doc_bytes(docs)
     base = kept(sets_with_keys(rows, k, num, den))
     need = lambda n: f"least(greatest({SHARED}, {n} div {PART}), ceil({n} * {num} / {den}))"
-    shared = base.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    shared = kept(base.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
     found = keyed(base, bitmap(shared, "key", INVOLVED)).join(shared, "key").distinct()
     enough = found.groupBy("node", "n").count().where(f"count >= {need('n')}").select("node")
     members = kept(found.join(enough, "node", "left_semi").select("key", "node", "n"))
