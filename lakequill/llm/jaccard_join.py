@@ -24,7 +24,8 @@ from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept,
 
 COUNTERS = 21
 SIGNATURE = 1024
-INVOLVED = 23
+#: Bits of the bitmaps of nodes and of keys (1 and 8 MB), which let through more by chance as they fill.
+INVOLVED, MET = 23, 26
 #: Keys that two nodes must share, unless the overlap they need is smaller: 4, and one in 50 of a large set.
 SHARED, PART = 4, 50
 
@@ -161,7 +162,7 @@ def verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds: int = 2) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds: int = 2, tries_each: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; two link when den * overlap >= num * union.
 
     docs: doc_id, text; other columns are ignored. A-Z count in lower case; with fewer than k words the whole
@@ -174,9 +175,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
     base = kept(sets_with_keys(rows, k, num, den))
     need = lambda n: f"least(greatest({SHARED}, {n} div {PART}), ceil({n} * {num} / {den}))"
     shared = kept(base.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
-    found = keyed(base, bitmap(shared, "key", INVOLVED)).join(shared, "key").distinct()
-    enough = found.groupBy("node", "n").count().where(f"count >= {need('n')}").select("node")
-    members = kept(found.join(enough, "node", "left_semi").select("key", "node", "n"))
+    found = keyed(base, bitmap(shared, "key", MET)).join(shared, "key").distinct()
+    enough = found.groupBy("node", "n").count().where(f"count >= {need('n')}").selectExpr("node", "count / n as share")
+    members = kept(found.join(enough, "node").select("key", "node", "n", "share"))
     first = base.groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("i"))
     places = first.join(members.select("node").distinct(), "node").selectExpr("node ^ i ^ shiftleft(i, 11) as place")
     known = kept(contents(rows, k, bitmap(places, "place", INVOLVED)))
@@ -184,19 +185,21 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
     now = members.withColumn("component", F.col("node"))
 
     def mixed(labelled: DataFrame, turn: int) -> DataFrame:
-        """Members of keys that still hold several components, with the key's hub and its component."""
-        hub = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component", "n")).alias("hub")).where("lo < hi")
+        """Members of keys that still hold several components, with the key's hub and its component. The first hubs
+        are those with the largest share of shared keys, as originals have among their edited copies; later ones any."""
+        order = [-F.col("share")] if not turn else []
+        hub = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(*order, F.xxhash64("node", F.lit(turn)), "node", "component", "n")).alias("hub")).where("lo < hi")
         return kept(labelled.join(hub.selectExpr("key", "hub.node as hub", "hub.component as main", "hub.n as hub_n"), "key"))
 
     for turn in range(hub_rounds):
         apart = mixed(now, turn)
-        tries = apart.where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub", "n", "hub_n").count().where(f"count >= least({need('n')}, {need('hub_n')})").groupBy("node").agg(F.max(F.struct("count", "hub")).alias("h"))
-        got = kept(verified(tries.selectExpr("node as a", "h.hub as b"), known, num, den))
+        tries = apart.where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub", "n", "hub_n").count().where(f"count >= least({need('n')}, {need('hub_n')})").groupBy("node").agg(F.expr(f"slice(sort_array(collect_list(struct(count, hub)), false), 1, {tries_each})").alias("h"))
+        got = kept(verified(tries.selectExpr("node as a", "explode(h.hub) as b"), known, num, den))
         if got.isEmpty():
             break
         links = links.union(got)
         named = components(links)
-        now = apart.select("key", "node", "n").join(named, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        now = apart.select("key", "node", "n", "share").join(named, "node", "left").select("key", "node", "n", "share", F.coalesce("component", "node").alias("component"))
     apart = mixed(now, hub_rounds)
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9) if num < den else F.col("n")
     left = apart.where("component <> main").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).selectExpr("key", "band", "node as a", "n as na", "component as ca")
