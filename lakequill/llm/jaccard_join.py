@@ -7,7 +7,8 @@ neighbouring size bands. A pair's overlap is bounded from above by the bit count
 what passes is settled by intersecting the sorted sets.
 
 A key's nodes don't all meet: first each is held against a few hubs of the key, and nodes that links have joined
-need no further links among themselves, so only pairs across components meet in tiles. Copies and large groups
+need no further links among themselves, so only pairs across components meet in tiles, and of nodes held against
+one hub only those whose overlap with it leaves a link possible. Copies and large groups
 of near copies thus cost about as many pairs as documents.
 """
 
@@ -23,7 +24,8 @@ from lakequill.llm.components import components
 from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept, mix64, pieces, shingle_hashes
 
 COUNTERS = 21
-SIGNATURE = 1024
+#: Bits of a signature, and of its fold that goes into the tiles.
+SIGNATURE, FOLD = 1024, 512
 #: Bits of the bitmaps of nodes and of keys (1 and 8 MB), which let through more by chance as they fill.
 INVOLVED, MET = 23, 26
 #: Keys that two nodes must share, unless the overlap they need is smaller: 4, and one in 50 of a large set.
@@ -104,7 +106,7 @@ def keyed(base: DataFrame, shared: np.ndarray) -> DataFrame:
 
 
 def contents(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
-    """node, sig, items (binary) of the sets whose place (node and doc_id) the bitmap `wanted` may hold: one for each
+    """node, sig, items (binary) and fold (the signature in longs) of the sets whose place (node and doc_id) the bitmap `wanted` may hold: one for each
     wanted node, and by chance a few copies, which only repeat links."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -113,14 +115,15 @@ def contents(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
             for part in pieces(batch, 2 << 20):
                 ids = part.column("doc_id").fill_null(-1).to_numpy()
                 found = {name: s for s, i in zip(sets(part, k), ids, strict=True) if len(s) and in_bitmap(np.array([((name := node(s)) ^ int(i) ^ (int(i) << 11)) & ((1 << INVOLVED) - 1)]), shared.value)[0]}
-                sigs = []
+                sigs, folds = [], []
                 for s in found.values():
                     bits = np.zeros(SIGNATURE, bool)
                     bits[(s & np.uint64(SIGNATURE - 1)).astype(np.int64)] = True
                     sigs.append(np.packbits(bits).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["node", "sig", "items"])
+                    folds.append(np.packbits(bits.reshape(-1, FOLD).any(0)).view(np.int64).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary()), pa.array(folds, pa.list_(pa.int64()))], ["node", "sig", "items", "fold"])
 
-    return docs.mapInArrow(run, "node long, sig binary, items binary")
+    return docs.mapInArrow(run, "node long, sig binary, items binary, fold array<long>")
 
 
 def needed(items: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -135,34 +138,39 @@ def needed(items: DataFrame, pairs: DataFrame) -> DataFrame:
     return items.mapInArrow(run, items.schema)
 
 
-def verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of pairs whose sets link: bit counts first, then sorted intersection."""
+def overlaps(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, low, up, links) of pairs: bounds of the overlap and whether the sets link. Bit counts come first; what
+    they leave open is settled by sorted intersection, where both bounds are the overlap itself."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE // 8) for c in ("sa", "sb"))
             n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
             most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            yield batch.select(["a", "b"]).filter(pa.array((num + den) * most >= num * (n + m)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(most), pa.array((num + den) * most >= num * (n + m))], ["a", "b", "up", "open"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            shared, keep = [], []
             for a, b in zip(batch.column("ia"), batch.column("ib"), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
+                shared.append(common)
                 keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            common = pa.array(shared, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), common, common, pa.array(keep, pa.bool_())], ["a", "b", "low", "up", "links"])
 
     sigs = known.selectExpr("node", "sig", "length(items) div 8 as n")
     with_sigs = pairs.select("a", "b").join(sigs.toDF("a", "sa", "na"), "a").join(sigs.toDF("b", "sb", "nb"), "b")
-    few = kept(with_sigs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(bounded, "a long, b long"))
+    bounds = kept(with_sigs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(bounded, "a long, b long, up long, open boolean"))
+    few = bounds.where("open").select("a", "b")
     items = needed(known.select("node", "items"), few)
     both = few.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
-    return both.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long")
+    settled = both.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long, low long, up long, links boolean")
+    return settled.union(bounds.where("not open").selectExpr("a", "b", "0L as low", "up", "false as links"))
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds: int = 2, tries_each: int = 3) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds: int = 3, tries_each: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; two link when den * overlap >= num * union.
 
     docs: doc_id, text; other columns are ignored. A-Z count in lower case; with fewer than k words the whole
@@ -182,31 +190,40 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds:
     places = first.join(members.select("node").distinct(), "node").selectExpr("node ^ i ^ shiftleft(i, 11) as place")
     known = kept(contents(rows, k, bitmap(places, "place", INVOLVED)))
     links = members.limit(0).selectExpr("node as a", "node as b")
-    now = members.withColumn("component", F.col("node"))
+    now = members.selectExpr("*", "node as component", "cast(null as long) as pivot", "cast(null as long) as low", "cast(null as long) as up")
 
     def mixed(labelled: DataFrame, turn: int) -> DataFrame:
         """Members of keys that still hold several components, with the key's hub and its component. The first hubs
-        are those with the largest share of shared keys, as originals have among their edited copies; later ones any."""
-        order = [-F.col("share")] if not turn else []
-        hub = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(*order, F.xxhash64("node", F.lit(turn)), "node", "component", "n")).alias("hub")).where("lo < hi")
+        are those with the largest share of shared keys, as originals have among their edited copies; later ones any,
+        and each key's its own."""
+        order = [] if turn else [-F.col("share")]
+        hub = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(*order, F.xxhash64("node", "key", F.lit(turn)), "node", "component", "n")).alias("hub")).where("lo < hi")
         return kept(labelled.join(hub.selectExpr("key", "hub.node as hub", "hub.component as main", "hub.n as hub_n"), "key"))
 
     for turn in range(hub_rounds):
         apart = mixed(now, turn)
-        tries = apart.where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub", "n", "hub_n").count().where(f"count >= least({need('n')}, {need('hub_n')})").groupBy("node").agg(F.expr(f"slice(sort_array(collect_list(struct(count, hub)), false), 1, {tries_each})").alias("h"))
-        got = kept(verified(tries.selectExpr("node as a", "explode(h.hub) as b"), known, num, den))
-        if got.isEmpty():
+        tries = apart.where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub", "n", "hub_n").count().where("true" if turn else f"count >= least({need('n')}, {need('hub_n')})").groupBy("node").agg(F.expr(f"slice(sort_array(collect_list(struct(count, hub)), false), 1, {tries_each})").alias("h"))
+        got = kept(overlaps(tries.selectExpr("node as a", "explode(h.hub) as b"), known, num, den))
+        linked = got.where("links").select("a", "b")
+        if turn and linked.isEmpty():
             break
-        links = links.union(got)
+        links = links.union(linked)
         named = components(links)
-        now = apart.select("key", "node", "n", "share").join(named, "node", "left").select("key", "node", "n", "share", F.coalesce("component", "node").alias("component"))
-    apart = mixed(now, hub_rounds)
+        now = apart.drop("component", "hub", "main", "hub_n").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if not turn:  # what each node shares with its nearest hub bounds what it shares with that hub's other nodes
+            nearest = got.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("low", "up", "b")).alias("h")).selectExpr("node", "h.b as pivot", "h.low", "h.up")
+            now = now.drop("pivot", "low", "up").join(nearest, "node", "left")
+    words = range(FOLD // 64)
+    apart = mixed(now, hub_rounds).join(known.select("node", *[F.col("fold")[i].alias(f"f{i}") for i in words]).dropDuplicates(["node"]), "node", "left")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9) if num < den else F.col("n")
-    left = apart.where("component <> main").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).selectExpr("key", "band", "node as a", "n as na", "component as ca")
-    right = apart.withColumn("band", band).selectExpr("key", "band", "node as b", "n as nb", "component as cb", "main")
-    met = left.join(right, ["key", "band"]).where(f"ca <> cb and (cb = main or a < b) and least(na, nb) * {den} >= greatest(na, nb) * {num}")
+    left = apart.where("component <> main").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).selectExpr("key", "band", "node as a", "n as na", "component as ca", "pivot as pa", "low as la", "up as ua", *[f"f{i} as x{i}" for i in words])
+    right = apart.withColumn("band", band).selectExpr("key", "band", "node as b", "n as nb", "component as cb", "main", "pivot as pb", "low as lb", "up as ub", *[f"f{i} as y{i}" for i in words])
+    most = "least(ua, ub) + least(na - la, nb - lb)"  # of the overlap, where both have one pivot
+    only = lambda x, y: " + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in words)
+    bits = f"least(na - ({only('x', 'y')}), nb - ({only('y', 'x')}))"
+    met = left.join(right, ["key", "band"]).where(f"ca <> cb and (cb = main or a < b) and least(na, nb) * {den} >= greatest(na, nb) * {num} and coalesce(pa <> pb or ({most}) * {num + den} >= {num} * (na + nb), true) and coalesce({bits} * {num + den} >= {num} * (na + nb), true)")
     pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("na", "nb")).alias("n")).where(f"c >= {need('n')}")
-    links = links.union(verified(pairs, known, num, den))
+    links = links.union(overlaps(pairs, known, num, den).where("links").select("a", "b"))
     named = components(links)
     least = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = least.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
