@@ -223,6 +223,20 @@ def test_lm_scores(spark):
     assert rows[0].score > rows[31].score * len(words[0]) / len(words[31]) and lm_scoring.score(frame(spark, []), (7, 2)).count() == 0
 
 
+def test_lm_topics_come_from_all_texts(spark):
+    rng = np.random.default_rng(5)
+    early, late = ([f"{c}{i}" for i in range(40)] for c in "ab")
+    texts = [" ".join(rng.choice(late if i >= 600 else early, 12)) for i in range(660)]
+    up = frame(spark, texts).coalesce(1)
+    down = frame(spark, texts[::-1], [*range(660)][::-1]).repartition(3)
+    got = [{r.doc_id: r.score for r in lm_scoring.score(x, (7, 2)).collect()} for x in (up, down)]
+    assert got[0] == pytest.approx(got[1], rel=1e-4)
+    words = [w.encode() for w in sorted({w for t in texts for w in t.split()})]
+    topics = lm_scoring.clustered(up.selectExpr("cast(text as binary) text"), words)
+    a, b = ([int(topics.before([[w.encode()] * 3])[-1]) for w in some] for some in (early, late))
+    assert set(a).isdisjoint(b) and np.array_equal(topics.table, lm_scoring.clustered(down.selectExpr("cast(text as binary) text"), words).table)
+
+
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(0)
     tables = [np.zeros(max(lm_scoring.PACK, 1 << b), np.uint8) for b in lm_scoring.BITS]
