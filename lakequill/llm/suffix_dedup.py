@@ -163,6 +163,18 @@ def with_first(contexts: DataFrame, need: int, least: int) -> DataFrame:
     return both.select("around", "left", "right", "a_left", "a_right").mapInPandas(run, FOUND)
 
 
+def in_windows(contexts: DataFrame, need: int, least: int) -> DataFrame:
+    """Matches of each row with the earliest place of every run of `least` words around its key. Neighbours and the
+    key's earliest place may all miss that place where a key has three contexts or more."""
+    more = least - need
+    cut = lambda c, n: F.substring(c, 1, 4 * n)
+    one = lambda n: F.when((F.col("lw") >= n) & (F.col("rw") >= more - n), F.struct(F.lit(n).cast("long").alias("l"), F.xxhash64("key", cut("left", n), cut("right", more - n)).alias("w")))
+    sides = contexts.select("key", "left", "right", "around", F.struct("f_doc", "f_row", "f_pos").alias("f"), words_in(F.col("left")).alias("lw"), words_in(F.col("right")).alias("rw"))
+    windows = sides.select("around", "f", F.explode(F.array(*[one(n) for n in range(more + 1)])).alias("x")).where("x is not null").select("around", "f", "x.l", "x.w")
+    first = windows.groupBy("w").agg(F.min("f").alias("a"), F.count("*").alias("many")).where("many > 1")
+    return windows.join(first, "w").select("around", "l", (more - F.col("l")).alias("r"), (F.col("f") > F.col("a")).alias("later"))
+
+
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, row, start, stop, later: the words [start, stop) of a text stand elsewhere too.
 
@@ -181,6 +193,7 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     several = contexts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     distinct = contexts.join(several, "key", "left_semi")
     found = neighbours(distinct, ["key", "right", "left"], need, least).union(neighbours(distinct, ["key", "left", "right"], need, least)).union(with_first(distinct, need, least))
+    found = found.union(in_windows(contexts.join(several.where("many > 2"), "key", "left_semi"), need, least))
     l, r = (words_in(F.col(s)) for s in ("left", "right"))
     copies = contexts.where("n > 1").select("around", l.alias("l"), r.alias("r"), "f_row", "f_pos").where(F.col("l") + F.col("r") + need >= least)
     every = found.selectExpr("around", "l", "r", "later", "cast(null as long) f_row", "cast(null as long) f_pos").union(copies.selectExpr("around", "l", "r", "cast(null as boolean) later", "f_row", "f_pos"))

@@ -138,6 +138,15 @@ def test_suffix_dedup_equals_all_windows(spark):
     assert len(left) == len(texts) and left[0].node == "x" and suffix_dedup.repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_many_edited_copies(spark):
+    passage = prose(60, 50).split()
+    early = [" ".join(passage[:42]) + " " + prose(61, 40), prose(62, 40) + " " + " ".join(passage[8:])]
+    own = lambda i, side: " ".join(f"{side}{i}x{j}" for j in range(30))
+    texts = early + [own(i, "a") + " " + " ".join(passage) + " " + own(i, "z") for i in range(60)]
+    later = {r.doc_id: (r.start, r.stop) for r in suffix_dedup.repeats(frame(spark, texts)).where("later").collect()}
+    assert later == dict.fromkeys(range(3, 62), (30, 80))
+
+
 def test_topk_equals_all_scores(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(0, 1, (90, 8)), 2)
