@@ -134,7 +134,7 @@ class ByteBpe:
         if unit[0] == " ":
             if (word := unit[1:]).isalpha():
                 return [unit.encode()]
-            if word[-1] in ",." and word[:-1].isalpha():
+            if word[-1:] in {",", "."} and word[:-1].isalpha():
                 return [unit[:-1].encode(), word[-1].encode()]
         return [x.encode() for x in self.find(unit)]
 

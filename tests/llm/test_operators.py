@@ -80,6 +80,16 @@ def test_byte_bpe_equals_the_library(spark):
     assert len(rows) == len(ODD) and byte_bpe.encode(frame(spark, []), VOCAB, PATTERN).count() == 0
 
 
+def test_byte_bpe_of_short_texts(spark):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCAB, "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [" ", "  ", "\n", " \n", "\n ", " a", " .", " ,.", "a ", ". ", " a."]
+    rows = byte_bpe.encode(frame(spark, texts), VOCAB, PATTERN).collect()
+    assert {r.doc_id: bytes(r.ids).decode() for r in rows} == {i: ",".join(map(str, coder.encode_ordinary(t))) for i, t in enumerate(texts)}
+
+
 def brute_components(texts, k, num, den):
     sets = []
     for t in texts:
