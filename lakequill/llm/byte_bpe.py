@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lakequill.llm.text import doc_bytes, pieces
+from lakequill.llm.text import Memo, distinct, doc_bytes, pieces
 
 #: Rounds until fixpoint: s holds the rows of pieces that changed in the last round, each with its next token and
 #: that token's position. A piece's last rows are its ids.
@@ -39,11 +39,13 @@ SELECT s.w, s.p, s.t FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY
 """
 #: Of each piece: its ids in order, a comma after each, and the bytes that the ids stand for, in the same order.
 DECODE = "SELECT string_agg(t, ',' ORDER BY p) || ',' AS ids, unhex(string_agg(bytes, '' ORDER BY p)) AS raw FROM encoded JOIN vocab USING (t) GROUP BY w ORDER BY w"
-#: Positions have 20 bits in ENCODE; longer pieces are merged by a heap over linked tokens.
-LONGEST = 256
+#: Rounds grow with a piece's length and the rows with its square; longer pieces are merged by a heap over linked tokens.
+LONGEST = 2048
 #: Sum of squared lengths of the pieces of one query, which bounds its rows.
 QUERY_ROWS = 8_000_000
 ODD_SPACE = re.compile(r"[^\S \n]")
+#: White space of ASCII but for space and line feed, with the separators that some libraries count.
+ODD_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,12 +83,11 @@ class ByteBpe:
     or with runs of it, are one unit each.
     """
 
-    def __init__(self, path: str, pattern: str, room: int = 100_000):
+    def __init__(self, path: str, pattern: str, room: int = 250_000):
         import duckdb
         import regex
 
-        self.ranks, self.find, self.room = read_ranks(path), regex.compile(pattern).findall, room
-        self.new, self.old, self.known = {}, {}, {}
+        self.ranks, self.find, self.memo = read_ranks(path), regex.compile(pattern).findall, Memo(self.learn, room)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(a << 32 | z, r) for b, r in self.ranks.items() for i in range(1, len(b)) if (a := self.ranks.get(b[:i])) is not None and (z := self.ranks.get(b[i:])) is not None]
         self.con.register("given", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "m": pa.array([m for _, m in pairs], pa.int64())}))
@@ -109,60 +110,70 @@ class ByteBpe:
         got = self.con.sql(DECODE).to_arrow_table()
         return [*zip(got["ids"].cast(pa.binary()).to_pylist(), got["raw"].to_pylist(), strict=True)]
 
-    def learn(self, units: list[str]) -> None:
-        """Put (ids in decimal with a comma after each, decoded bytes) of these units into the memory."""
-        split = [self.split(u) for u in units]
-        known = self.known
-        distinct = list({x for xs in split for x in xs if len(x) <= LONGEST}.difference(known))
-        turn = np.cumsum([len(x) ** 2 for x in distinct]) // QUERY_ROWS
-        for at in np.split(np.arange(len(distinct)), np.flatnonzero(np.diff(turn)) + 1) if distinct else ():
-            part = [distinct[i] for i in at]
+    def learn(self, some: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids in decimal with a comma after each, decoded bytes) of these units."""
+        split = [self.split(u) for u in some]
+        new, old, known = self.memo.new, self.memo.old, {}
+        for x in {x for xs in split for x in xs}:
+            if (got := new.get(x) or old.get(x)) is not None:
+                known[x] = got
+            elif len(x) > LONGEST:
+                ids = merge_long(x, self.ranks)
+                vocab = {r: b for b, r in self.ranks.items()}
+                known[x] = "".join(f"{i}," for i in ids).encode(), b"".join(vocab[i] for i in ids)
+            else:
+                known[x] = None
+        missing = sorted((x for x, got in known.items() if got is None), key=len)
+        turn = np.cumsum([len(x) ** 2 for x in missing]) // QUERY_ROWS
+        for at in np.split(np.arange(len(missing)), np.flatnonzero(np.diff(turn)) + 1) if missing else ():
+            part = missing[at[0] : at[-1] + 1]
             known.update(zip(part, self.query(part), strict=True))
-        vocab = None
-        for u, xs in zip(units, split, strict=True):
-            for x in xs:
-                if len(x) > LONGEST and x not in known:
-                    vocab = vocab or {r: b for b, r in self.ranks.items()}
-                    ids = merge_long(x, self.ranks)
-                    known[x] = "".join(f"{i}," for i in ids).encode(), b"".join(vocab[i] for i in ids)
-            self.new[u] = known[xs[0]] if len(xs) == 1 else (b"".join([known[x][0] for x in xs]), b"".join([known[x][1] for x in xs]))
-        if len(known) > self.room:
-            self.known = {}
-
-    def split(self, unit: str) -> list[bytes]:
+        return [known[xs[0]] if len(xs) == 1 else (b"".join([known[x][0] for x in xs]), b"".join([known[x][1] for x in xs])) for xs in split]
+
+    def split(self, unit: bytes) -> list[bytes]:
         """The pattern's matches; a space with letters, and a comma or full stop after them, needs no search."""
-        if unit[0] == " ":
-            if (word := unit[1:]).isalpha():
-                return [unit.encode()]
+        text = unit.decode("utf-8", "replace")
+        if text[0] == " ":
+            if (word := text[1:]).isalpha():
+                return [unit]
             if word[-1:] in {",", "."} and word[:-1].isalpha():
-                return [unit[:-1].encode(), word[-1].encode()]
-        return [x.encode() for x in self.find(unit)]
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        """Parts of a text that the pattern never joins. A space goes with what follows it; after a line feed comes a unit of its own."""
-        parts = text.replace("\n", " \n").split(" ")
-        if all(parts[1:]) and "\n" not in parts and not ODD_SPACE.search(text):
-            return [*parts[: len(parts[0]) > 0], *[x if x[0] == "\n" else " " + x for x in parts[1:]]]
-        return [text] if text else []
-
-    def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+                return [unit[:-1], unit[-1:]]
+        return [x.encode() for x in self.find(text)]
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Of each text: ids in decimal joined by commas, and the bytes they decode to."""
-        split = [self.units(t) for t in texts]
-        missing = []
-        for u in {u for us in split for u in us}.difference(self.new):
-            if u in self.old:
-                self.new[u] = self.old[u]
-            else:
-                missing.append(u)
-        self.learn(missing)
-        new, out = self.new, []
-        for us in split:
-            ids, raw = zip(*map(new.__getitem__, us), strict=True) if us else ((), ())
-            out.append((b"".join(ids)[:-1], b"".join(raw)))
-        if len(new) > self.room:
-            self.new, self.old = {}, {u: v for u, v in new.items() if len(u) < 64}
-        return out
+        data, starts, at = units(texts)
+        if not data:
+            return [(b"", b"")] * len(texts)
+        found, back = distinct(data, starts, np.append(starts[1:], len(data)))
+        got = self.memo(found)
+        out = []
+        for column in (0, 1):  # the units' values in a row: a text's are next to each other
+            row = pa.array([x[column] for x in got], pa.large_binary()).take(pa.array(back))
+            ends = np.frombuffer(row.buffers()[1], np.int64)[row.offset : row.offset + len(row) + 1][at]
+            raw = row.buffers()[2].to_pybytes()
+            out.append([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+        return [(ids[:-1], raw) for ids, raw in zip(*out, strict=True)]
+
+
+def units(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts in a row, where their units begin there, and each text's first unit (one more entry than texts)."""
+    data = b"".join(texts)
+    b = np.frombuffer(data, np.uint8)
+    edge = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    space = (b == 32) | (b == 10)
+    last = np.zeros(len(b) + 1, bool)
+    last[edge] = True
+    odd = ODD_BYTE[b] | (space & (np.append(space[1:], True)[: len(b)] | last[1:]))
+    whole = np.zeros(len(texts) + 1, bool)
+    whole[np.searchsorted(edge, np.flatnonzero(odd), "right") - 1] = True
+    for i, t in enumerate(texts):
+        if not t.isascii() and ODD_SPACE.search(t.decode("utf-8", "replace")):
+            whole[i] = True
+    begin = space & ~np.repeat(whole[:-1], np.diff(edge))
+    begin[edge[:-1][np.diff(edge) > 0]] = True
+    starts = np.flatnonzero(begin)
+    return data, starts, np.searchsorted(starts, edge)
 
 
 @lru_cache(maxsize=1)
@@ -182,7 +193,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
         bpe = encoder(vocabulary_path, pattern)
         for batch in batches:
             for part in pieces(batch, 8 << 20):
-                got = bpe([t.decode("utf-8", "replace") for t in part.column("text").to_pylist()])
+                got = bpe(part.column("text").to_pylist())
                 counts = [x.count(b",") + (len(x) > 0) for x, _ in got]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 

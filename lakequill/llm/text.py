@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,17 +94,59 @@ def window_sums(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np
     return mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
 
 
-def hashed_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, in order, and where each text's begin (one more entry than texts)."""
+def word_spans(texts: list[bytes], lower: bool = True) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in a row, where words begin and end there, and the first word of each text (one more entry than texts)."""
     data = b" ".join([*texts, b""])
-    b = np.frombuffer(data.lower() if lower else data, np.uint8)
-    space = _SPACE[b]
+    data = data.lower() if lower else data
+    space = _SPACE[np.frombuffer(data, np.uint8)]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(b) and not space[0]:
+    if len(data) and not space[0]:
         edge = np.concatenate(([0], edge))
-    starts, stops = edge[::2], edge[1::2]
     at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
-    return window_sums(_BYTES[b], starts, stops), np.searchsorted(starts, at)
+    return data, edge[::2], edge[1::2], np.searchsorted(edge[::2], at)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:stop]."""
+    return window_sums(_BYTES[np.frombuffer(data, np.uint8)], starts, stops)
+
+
+def hashed_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and where each text's begin (one more entry than texts)."""
+    data, starts, stops, at = word_spans(texts, lower)
+    return span_hashes(data, starts, stops), at
+
+
+def distinct(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct ones (by hash) of all data[start:stop], and for each its place among them."""
+    _, first, back = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
+    return [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)], back
+
+
+class Memo:
+    """What `learn` makes of pieces of bytes, kept for recent ones: two generations of about `room` pieces."""
+
+    def __init__(self, learn: Callable[[list[bytes]], list], room: int):
+        self.learn, self.room, self.new, self.old = learn, room, {}, {}
+
+    def __call__(self, found: list[bytes]) -> list:
+        new, old = self.new, self.old
+        out = [*map(new.get, found)]
+        fresh = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            if (x := old.get(found[i])) is None:
+                fresh.append(i)
+            else:
+                out[i] = new[found[i]] = x
+        if fresh:
+            some = [found[i] for i in fresh]
+            got = self.learn(some)
+            new.update(zip(some, got, strict=True))
+            for i, x in zip(fresh, got, strict=True):
+                out[i] = x
+        if len(new) > self.room:
+            self.new, self.old = {}, new
+        return out
 
 
 def bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -124,10 +167,12 @@ def in_bitmap(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; where that is unset, as in local tests, a temporary one."""
+    """The shared folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error elsewhere."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         named = context.getCheckpointDir()
     return named

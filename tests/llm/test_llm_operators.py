@@ -50,22 +50,21 @@ def test_packing_covers_each_id_once(spark):
 
 def test_cuts_are_the_best():
     rng = np.random.default_rng(3)
-    for _ in range(40):
-        n = int(rng.integers(20, 90))
-        docs = np.append(np.unique(rng.integers(1, n, 4)), n)
-        inner = np.unique(rng.integers(1, n, 8))
-        cost = {**dict.fromkeys(inner.tolist(), 3), **dict.fromkeys(docs.tolist(), 0)}
+    for turn in range(60):
+        n = int(rng.integers(1, 90))
+        docs = np.append(np.unique(rng.integers(1, n, 4)), n) if n > 1 else np.array([n])
+        inner = np.unique(rng.integers(1, n + 1, 8 if turn % 2 else 0))
         got = packing.cuts(n, docs, inner, 16, 3, 9, 4)
         assert got[-1] == n and all(0 < b - a <= 16 for a, b in zip([0, *got], got))
-        body = [p for p in got if p <= n - 16]
-        price = sum(16 - (b - a) + cost.get(b, 9) for a, b in zip([0, *body], body))
-        if body:  # no cheaper way to the last cut of the body through the same kinds of places
-            best = {0: 0}
-            for p in range(1, body[-1] + 1):
-                ways = [best[q] + 16 - (p - q) + cost.get(p, 9) for q in best if p - 16 <= q < p]
-                if ways and (p in cost or p == body[-1]):
-                    best[p] = min(ways)
-            assert body[-1] not in best or price <= best[body[-1]] + 9
+        cost = {**dict.fromkeys(inner.tolist(), 3), **dict.fromkeys(docs.tolist(), 0)}
+        spots = [0, *sorted(p for p in cost if p < n), n]
+        for a, b in zip(spots, spots[1:]):
+            cost |= {p: 9 for p in range(a + 4, b, 4)}
+        best = {0: 0}  # by trying every window before each place
+        for p in sorted(p for p in cost if p < n):
+            best[p] = min(best[q] + 16 - (p - q) + cost[p] for q in best if p - 16 <= q < p)
+        ends = lambda path: sum(16 - (b - a) + cost[b] for a, b in zip([0, *path], path)) + 32 * (n - (path[-1] if path else 0)).bit_count()
+        assert min(ends([p for p in got if p <= k]) for k in (0, *got) if n - 16 <= k < n and all(p in cost for p in got if p <= k)) == min(f + 32 * (n - p).bit_count() for p, f in best.items() if n - 16 <= p)
 
 
 def test_byte_bpe_equals_the_library(spark):
@@ -85,7 +84,7 @@ def test_byte_bpe_of_short_texts(spark):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCAB, "rb"))}
     coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [" ", "  ", "\n", " \n", "\n ", " a", " .", " ,.", "a ", ". ", " a."]
+    texts = [" ", "  ", "\n", " \n", "\n ", " a", " .", " ,.", "a ", ". ", " a.", "a\u00a0b c", "\u2028", "a\x1cb", "é\nü x", "a" * 2500 + " b", "x\n\ny", "don't we'll 1234 5,6"]
     rows = byte_bpe.encode(frame(spark, texts), VOCAB, PATTERN).collect()
     assert {r.doc_id: bytes(r.ids).decode() for r in rows} == {i: ",".join(map(str, coder.encode_ordinary(t))) for i, t in enumerate(texts)}
 
