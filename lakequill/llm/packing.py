@@ -3,7 +3,8 @@
 Order-preserving dynamic programming: documents keep their order within a partition, and the cuts of a run
 of documents are those with the least sum of padding and truncation penalties. With f(j) the least cost of
 all windows before cut j, f(j) = penalty(j) + window - j + min over i in [j - window, j) of f(i) + i, and
-the minimum comes from a monotone queue, so a run costs time in proportion to its possible cuts.
+the minimum comes from a monotone queue, so a run costs time in proportion to its possible cuts: the ends of all
+documents and sentences.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lakequill.llm.text import doc_bytes, pieces
+from lakequill.llm.text import Memo, distinct, doc_bytes, pieces, word_spans
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -34,15 +35,20 @@ class WordEncoder:
     """
 
     MARK = "\u00a4"
-    ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    ODD = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 
-    def __init__(self, path: str, room: int = 200_000):
+    def __init__(self, path: str, room: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.room, self.new, self.old = Tokenizer.from_file(path), room, {}, {}
+        self.model, self.memo = Tokenizer.from_file(path), Memo(self.learn, room)
         self.between = np.frombuffer(self.batch([self.MARK])[0], np.uint32)
 
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        return [x for at in range(0, len(texts), 512) for x in self.words(texts[at : at + 512])]
+
     def words(self, some: list[str]) -> list[bytes]:
         """Ids of each word: all are encoded as one text, with a mark between them, unless a word holds it."""
         ids = np.frombuffer(self.batch([f" {self.MARK} ".join(some)])[0], np.uint32)
@@ -60,22 +66,17 @@ class WordEncoder:
         out = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in out]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        whole = {i: b for i, t in enumerate(texts) if any(x in t for x in self.ODD) for b in self.batch([t])}
-        split = [() if i in whole else t.split() for i, t in enumerate(texts)]
-        new, old = self.new, self.old
-        missing = set().union(*split).difference(new)
-        known = {w: ids for w in missing if (ids := old.get(w)) is not None}
-        fresh = [*missing.difference(known)]
-        new.update(known)
-        for at in range(0, len(fresh), 512):
-            some = fresh[at : at + 512]
-            new.update(zip(some, self.words(some), strict=True))
-        out = [whole[i] if i in whole else b"".join(map(new.__getitem__, words)) for i, words in enumerate(split)]
-        if len(new) > self.room:
-            self.new, self.old = {}, new
-        return out
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. The vocabulary is in lower case, so A-Z are lowered first."""
+        whole = {i: self.batch([t.decode("utf-8", "replace")])[0] for i, t in enumerate(texts) if any(x in t for x in self.ODD)}
+        data, starts, stops, at = word_spans([b"" if i in whole else t for i, t in enumerate(texts)])
+        if not len(starts):
+            return [whole.get(i, b"") for i in range(len(texts))]
+        found, back = distinct(data, starts, stops)
+        row = pa.array(self.memo(found), pa.large_binary()).take(pa.array(back))
+        ends = np.frombuffer(row.buffers()[1], np.int64)[row.offset : row.offset + len(row) + 1][at].tolist()
+        raw = row.buffers()[2].to_pybytes()
+        return [whole[i] if i in whole else raw[ends[i] : ends[i + 1]] for i in range(len(texts))]
 
 
 @lru_cache(maxsize=1)
@@ -92,39 +93,45 @@ def sentence_ends(path: str) -> np.ndarray:
     return ends
 
 
-def cuts(n: int, doc_ends: np.ndarray, inner: np.ndarray, window: int, inner_cost: int, hard_cost: int, gap: int) -> list[int]:
-    """Ends of the windows over n tokens. doc_ends: cuts without penalty; inner: sentence ends, in order.
+def places(n: int, doc_ends: np.ndarray, inner: np.ndarray, inner_cost: int, hard_cost: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Possible cuts of n tokens and their penalties: none at a document's end, `inner_cost` at a sentence's end, and
+    `hard_cost` at every `gap`-th token where neither comes for longer."""
+    cost = np.full(n + 1, -1, np.int32)
+    cost[inner] = inner_cost
+    cost[doc_ends] = 0
+    at = np.flatnonzero(cost[1:n] >= 0) + 1
+    before = np.concatenate(([0], at))
+    steps = np.diff(np.append(before, n))
+    for s in np.flatnonzero(steps > gap):
+        cost[before[s] + gap : before[s] + steps[s] : gap] = hard_cost
+    at = np.flatnonzero(cost[1:n] >= 0) + 1
+    return at, cost[at]
 
-    Where neither comes for `gap` tokens, cuts at `hard_cost` stand in, so a window is always possible. What
-    remains after the last cut has windows of powers of two, which need no padding.
+
+def cuts(n: int, doc_ends: np.ndarray, inner: np.ndarray, window: int, inner_cost: int, hard_cost: int, gap: int) -> list[int]:
+    """Ends of the windows over n tokens: those of least padding and penalties among all sequences of places() that end
+    within a window of n. What remains after the last cut has windows of powers of two, which need no padding; each
+    counts as 32 tokens.
     """
-    at = np.union1d(doc_ends, inner)
-    at = at[(at > 0) & (at < n)]
-    steps = np.diff(np.concatenate(([0], at, [n])))
-    extra = [np.arange(gap, s, gap) + start for s, start in zip(steps[steps > gap], np.concatenate(([0], at))[steps > gap], strict=True)]
-    cost = np.full(n + 1, hard_cost, np.int32) if n < 1 << 16 else None
-    place = np.union1d(at, np.concatenate(extra)) if extra else at
-    if cost is None:
-        pen = np.where(np.isin(place, doc_ends), 0, np.where(np.isin(place, inner), inner_cost, hard_cost))
-    else:
-        cost[inner[inner <= n]] = inner_cost
-        cost[doc_ends[doc_ends <= n]] = 0
-        pen = cost[place]
-    place, pen = [0, *place.tolist()], [0, *pen.tolist()]
+    at, penalty = places(n, doc_ends, inner, inner_cost, hard_cost, gap)
+    place, price = [0, *at.tolist()], [0, *(penalty + window).tolist()]
     best, back = [0] * len(place), [0] * len(place)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + i, index), values ascending
+    queue = deque([(0, 0, 0)])  # (cost up to a place plus the place, the place, its index), values ascending
+    pop, push, left = queue.pop, queue.append, queue.popleft
     for j in range(1, len(place)):
         p = place[j]
-        while place[queue[0][1]] < p - window:
-            queue.popleft()
-        value, back[j] = queue[0]
-        best[j] = f = value + window - p + pen[j]
-        f += p
-        while queue and queue[-1][0] >= f:
-            queue.pop()
-        queue.append((f, j))
+        low = p - window
+        head = queue[0]
+        while head[1] < low:
+            left()
+            head = queue[0]
+        value = head[0] + price[j]
+        back[j], best[j] = head[2], value
+        while queue and queue[-1][0] >= value:
+            pop()
+        push((value, p, j))
     first = next(i for i in range(len(place)) if place[i] >= n - window)
-    last = min(range(first, len(place)), key=lambda i: best[i] + 32 * (n - place[i]).bit_count())
+    last = min(range(first, len(place)), key=lambda i: best[i] - place[i] + 32 * (n - place[i]).bit_count())
     out, i = [], last
     while i:
         out.append(place[i])
@@ -137,7 +144,7 @@ def cuts(n: int, doc_ends: np.ndarray, inner: np.ndarray, window: int, inner_cos
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, window: int = 4096, run_tokens: int = 4_000_000, inner_cost: int = 8, hard_cost: int = 64, stride: int = 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, window: int = 4096, run_tokens: int = 4_000_000, inner_cost: int = 8, hard_cost: int = 64, gap: int = 256) -> DataFrame:
     """Pieces of documents, packed into sequences of at most `window` tokens.
 
     docs: doc_id, text; other columns are ignored. Returns a row for each piece: doc_id, start (ids of its
@@ -146,7 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, window: int = 4096,
     kept as null; repeated rows are packed each; an empty table gives no rows. A document longer than a window
     spans as many as it needs. Needs no shuffle: runs of `run_tokens` tokens within a partition are cut apart,
     which bounds a task's memory. `inner_cost` and `hard_cost` are the padding that a cut at a sentence's end
-    or inside one is worth; sentence ends count once in `stride` tokens.
+    or inside one is worth; cuts inside one are possible at every `gap`-th token without another place.
     """
     ends = sentence_ends(tokenizer_path)
 
@@ -161,8 +168,7 @@ def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, window: int = 4096,
             lengths = np.array([len(x) // 4 for x in encoded], np.int64)
             doc_ends = np.cumsum(lengths)
             inner = np.flatnonzero(ends[np.minimum(all_ids, len(ends) - 1)]) + 1
-            inner = inner[np.append(np.diff(inner // stride) > 0, True)] if len(inner) else inner
-            at = np.array(cuts(len(all_ids), doc_ends, inner, window, inner_cost, hard_cost, 8 * stride), np.int64)
+            at = np.array(cuts(len(all_ids), doc_ends, inner, window, inner_cost, hard_cost, gap), np.int64)
             stop = np.union1d(at, doc_ends)
             start = np.concatenate(([0], stop[:-1]))
             doc, seq = np.searchsorted(doc_ends, start, "right"), np.searchsorted(at, start, "right")
@@ -178,7 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, window: int = 4096,
         for batch in batches:
             for part in pieces(batch):
                 ids += part.column("doc_id").to_pylist()
-                got = [x + eos for x in encode([t.decode("utf-8", "replace") for t in part.column("text").to_pylist()])]
+                got = [x + eos for x in encode(part.column("text").to_pylist())]
                 encoded += got
                 size += sum(map(len, got)) // 4
                 if size >= run_tokens:
