@@ -20,7 +20,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), 50).select("doc_id", "start", "stop", "later")
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), 50).select("doc_id", "start", "stop", "later", "twin")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,260 +1,243 @@
 """Removal of repeated passages by sparse suffix arrays.
 
 Of all suffixes of a text only those that begin at content-selected positions are kept: the minimisers of word
-k-grams, one at least in every `window` grams, chosen alike wherever a passage stands. Suffixes whose first words
-recur are sorted by the words that follow (and, a second time, by the words before, read backwards); neighbours
-are compared, and their match is extended to the left and right. Suffixes with the same surroundings are one row
-of the sort, so copies cost no more than their number.
+k-grams. Each window of `least` words has one anchor, the least gram among its first WINDOW ones (the leftmost of
+equal ones), chosen alike wherever the window stands, so two equal windows have equal anchors. Suffixes whose first
+words (as many as every window has from its anchor on) recur are candidates. A candidate is extended to the left and
+right: all windows that it anchors are sorted, and each is compared with its neighbours in that order. Equal
+neighbours are a match, and the matched windows of an anchor, which overlap, make one passage.
+
+Places whose windows are all the same are one row of the sort, so copies cost no more than their number. A place is
+named by the row's id, a hash of its text and the word's position, so no numbering of rows has to hold between
+scans, and rows of one id and text need no telling apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept, pieces, shingle_hashes, window_sums
 
 GRAM = 8
 WINDOW = 16
-RECUR = 25
-#: Words of context on either side, as 32-bit hashes; 0 stands past a text's end.
-SIDE = WINDOW
+#: Bits of the filter of recurring keys: 16 for each key, within these powers of two (64 KB and 128 MB).
+FEWEST, MOST = 19, 30
+NO_ID = -(1 << 63)
 
 
-def minimisers(words: np.ndarray, at: np.ndarray, need: int) -> np.ndarray:
-    """Positions of the least gram in each run of WINDOW grams of one text (the leftmost of equal ones), with
-    `need` words of the text from there on. at: where texts begin, and the end."""
-    n = len(words) - GRAM + 1
+def anchors(words: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor its position and the first and last window (by position) that it anchors. at: where texts
+    begin, and the end. Every window of `least` words of a text has one anchor, and an anchor's windows lie in a row."""
+    n = len(words) - least + 1
     if n < 1:
-        return np.zeros(0, np.int64)
-    g = shingle_hashes(words, GRAM)
-    ends = np.repeat(at[1:], np.diff(at))
-    valid = np.arange(n) + GRAM <= ends[:n]
-    order = np.where(valid, g >> np.uint64(1), ~np.uint64(0))
-    size = n - WINDOW + 1
-    if size < 1:
-        return np.zeros(0, np.int64)
-    least, place = order[:size].copy(), np.zeros(size, np.int64)
+        return (np.zeros(0, np.int64),) * 3
+    gram = shingle_hashes(words, GRAM)
+    low, place = gram[:n].copy(), np.arange(n)
     for i in range(1, WINDOW):
-        low = order[i : i + size] < least
-        least[low], place[low] = order[i : i + size][low], i
-    inside = np.arange(size) + WINDOW + GRAM - 1 <= ends[:size]
-    picks = np.unique((np.arange(size) + place)[inside])
-    return picks[picks + need <= ends[picks]]
+        less = gram[i : i + n] < low
+        low[less] = gram[i : i + n][less]
+        place[less] = np.flatnonzero(less) + i
+    whole = np.flatnonzero(np.arange(n) + least <= np.repeat(at[1:], np.diff(at))[:n])
+    anchor, first, many = np.unique(place[whole], return_index=True, return_counts=True)
+    return anchor, whole[first], whole[first] + many - 1
 
 
-def suffixes(part: pa.RecordBatch, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and text starts of a batch, its minimiser positions and a hash of the `need` words at each."""
+def candidates(part: pa.RecordBatch, least: int) -> tuple[np.ndarray, ...]:
+    """Word hashes and text starts of a batch; of each anchor its position, first and last window and key."""
     words, at = hashed_words(part.column("text").to_pylist())
-    picks = minimisers(words, at, need)
-    return words, at, picks, window_sums(words, picks, picks + need)
+    anchor, first, last = anchors(words, at, least)
+    return words, at, anchor, first, last, window_sums(words, anchor, anchor + least - WINDOW + 1)
 
 
-def keys(rows: DataFrame, need: int) -> DataFrame:
+def keys(rows: DataFrame, least: int) -> DataFrame:
+    """(key, n) of all anchors, partly summed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                key = suffixes(part, need)[3]
-                key, n = np.unique(key, return_counts=True)
+                key, n = np.unique(candidates(part, least)[5], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], ["key", "n"])
 
-    return rows.mapInArrow(run, "key long, n long")
+    return rows.select("text").mapInArrow(run, "key long, n long")
 
 
-def surroundings(rows: DataFrame, need: int, recur: np.ndarray, whole: bool) -> DataFrame:
-    """Suffixes whose key may recur: row, pos, around (a hash of key and context) and, if whole, key, left (read
-    backwards) and right, as bytes that sort as their hashed words do."""
+def places(rows: DataFrame, least: int, recur: np.ndarray, whole: bool) -> DataFrame:
+    """Anchors whose key may recur: around (a hash of all words in the anchor's windows), doc, name, pos and, if whole,
+    key, lo (least reach to the left) and windows (a hash of each, from the reach `lo` up)."""
     shared = rows.sparkSession.sparkContext.broadcast(recur)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                words, at, picks, key = suffixes(part, need)
+                words, at, anchor, first, last, key = candidates(part, least)
                 some = in_bitmap(key, shared.value)
-                picks, key = picks[some], key[some]
-                text = np.searchsorted(at, picks, "right") - 1
-                short = np.concatenate(((words >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.zeros(1, np.uint32)))
-                steps = np.arange(SIDE)
-                back, on = picks[:, None] - 1 - steps, picks[:, None] + need + steps
-                left = short[np.where(back >= at[text][:, None], back, len(words))].astype(">u4")
-                right = short[np.where(on < at[text + 1][:, None], on, len(words))].astype(">u4")
-                both = np.concatenate([left, right], 1).astype(np.uint64)
-                starts = np.arange(len(picks)) * 2 * SIDE
-                around = window_sums(both.ravel(), starts, starts + 2 * SIDE) ^ key
-                columns = [part.column("row").take(pa.array(text)), part.column("doc_id").take(pa.array(text)), pa.array(picks - at[text]), pa.array(around.astype(np.int64))]
+                anchor, first, last, key = anchor[some], first[some], last[some], key[some]
+                text = pa.array(np.searchsorted(at, anchor, "right") - 1)
+                around = window_sums(words, first, last + least)
+                columns = [pa.array(around.astype(np.int64)), part.column("doc").take(text), part.column("name").take(text), pa.array(anchor - at[text])]
                 if whole:
-                    columns += [pa.array(key.astype(np.int64)), *[pa.Array.from_buffers(pa.binary(), len(picks), [None, pa.py_buffer(np.arange(len(picks) + 1, dtype=np.int32) * 4 * SIDE), pa.py_buffer(np.ascontiguousarray(x))]) for x in (left, right)]]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "pos", "around", "key", "left", "right"][: len(columns)])
-
-    return rows.mapInArrow(run, "row long, doc_id long, pos long, around long" + ", key long, left binary, right binary" * whole)
-
+                    many = last - first + 1
+                    ends = np.cumsum(many)
+                    starts = np.repeat(last, many) - (np.arange(many.sum()) - np.repeat(ends - many, many))
+                    windows = window_sums(words, starts, starts + least)
+                    columns += [pa.array(key.astype(np.int64)), pa.array((anchor - last).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(windows.astype(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, ["around", "doc", "name", "pos", "key", "lo", "windows"][: len(columns)])
 
-def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words that rows of hashed words share from the start (0 ends a text)."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(1), a.shape[1], (~same).argmax(1))
+    return rows.mapInArrow(run, "around long, doc long, name long, pos long" + ", key long, lo int, windows array<long>" * whole)
 
 
-def compared(pdf: pd.DataFrame, need: int, least: int) -> pd.DataFrame:
-    """Matches of each row with the next of the same key: around, reach to the left and right, later."""
-    left, right = (np.frombuffer(b"".join(pdf[c]), ">u4").reshape(-1, SIDE) for c in ("left", "right"))
-    key = pdf["key"].to_numpy()
-    same = np.flatnonzero(key[1:] == key[:-1])
-    l, r = common(left[same], left[same + 1]), common(right[same], right[same + 1])
-    good = l + r + need >= least
-    same, l, r = same[good], l[good], r[good]
-    around = pdf["around"].to_numpy()
-    doc, row, pos = (pdf[c].to_numpy() for c in ("f_doc", "f_row", "f_pos"))
-    a, b = same, same + 1
-    above = (doc[a] > doc[b]) | (doc[a] == doc[b]) & ((row[a] > row[b]) | (row[a] == row[b]) & (pos[a] > pos[b]))
-    return pd.DataFrame({"around": np.concatenate([around[a], around[b]]), "l": np.concatenate([l, l]), "r": np.concatenate([r, r]), "later": np.concatenate([above, ~above])})
+SORTED = ["w", "doc", "name", "pos"]
 
 
-FOUND = "around long, l long, r long, later boolean"
-CONTEXT = ["key", "left", "right", "around", "f_doc", "f_row", "f_pos"]
+def neighbours(windows: DataFrame) -> DataFrame:
+    """(around, l, later) of the windows that stand elsewhere too; windows: around, l, w, n and the first place that has
+    the row's surroundings (doc, name, pos). later: an earlier place has the window.
 
-
-def neighbours(contexts: DataFrame, by: list[str], need: int, least: int) -> DataFrame:
-    """Matches between neighbours in one order of the contexts.
-
-    Ranges of the order go to tasks, so a key of any size is split; each task passes its first and last row
-    on, and those, two for each task, are compared among themselves.
+    Ranges of the sorted order go to tasks, so a window of any number of places is split. A task sees its
+    neighbours' last and first window in a table of two numbers a task, read back from the sorted rows.
     """
+    rows = kept(windows.repartitionByRange(*SORTED).sortWithinPartitions(*SORTED))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, first, last = TaskContext.get().partitionId(), None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
-            first, last = (pdf.iloc[:1] if first is None else first), pdf.iloc[-1:]
-            yield pd.DataFrame({"match": compared(pdf, need, least).to_dict("records")}).assign(task=-1, side=0, **dict.fromkeys(CONTEXT))
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for batch in batches:
+            if batch.num_rows:
+                last = batch.column("w")[batch.num_rows - 1].as_py()
+                first = batch.column("w")[0].as_py() if first is None else first
         if first is not None:
-            yield pd.concat([first, last], ignore_index=True).assign(task=task, side=[0, 1], match=None)
+            yield pa.RecordBatch.from_pydict({"task": [TaskContext.get().partitionId()], "first": [first], "last": [last]})
 
-    def join_ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["task", "side"])
-        turns = [compared(pdf.iloc[i : i + 2].reset_index(drop=True), need, least) for i in range(1, len(pdf) - 1, 2)]
-        return pd.concat([pd.DataFrame({"around": [], "l": [], "r": [], "later": []}), *turns])
+    edge = sorted(tuple(r) for r in rows.select("w").mapInArrow(ends, "task long, first long, last long").collect())
+    before = {t: (edge[i - 1][2] if i else None, edge[i + 1][1] if i + 1 < len(edge) else None) for i, (t, _, _) in enumerate(edge)}
+    shared = rows.sparkSession.sparkContext.broadcast(before)
 
-    schema = "match struct<around:long,l:long,r:long,later:boolean>, task int, side int, key long, left binary, right binary, around long, f_doc long, f_row long, f_pos long"
-    sides = kept(contexts.select(*CONTEXT).repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(run, schema))
-    return sides.where("match is not null").select("match.*").union(sides.where("task >= 0").drop("match").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(join_ends, FOUND))
-
-
-def with_first(contexts: DataFrame, need: int, least: int) -> DataFrame:
-    """Matches of each row with the key's earliest place: a neighbour may be a later place while an earlier one
-    stands further off in the order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            a, b, c, d = (np.frombuffer(b"".join(pdf[x]), ">u4").reshape(-1, SIDE) for x in ("left", "a_left", "right", "a_right"))
-            l, r = common(a, b), common(c, d)
-            good = l + r + need >= least
-            yield pd.DataFrame({"around": pdf["around"].to_numpy()[good], "l": l[good], "r": r[good], "later": True})
-
-    first = contexts.groupBy("key").agg(F.min_by(F.struct("around", "left", "right"), F.struct("f_doc", "f_row", "f_pos")).alias("a"))
-    both = contexts.join(first.select("key", F.col("a.around").alias("a_around"), F.col("a.left").alias("a_left"), F.col("a.right").alias("a_right")), "key").where("around <> a_around")
-    return both.select("around", "left", "right", "a_left", "a_right").mapInPandas(run, FOUND)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(batch: pa.RecordBatch, last: int | None, after: int | None) -> pa.RecordBatch:
+            w = batch.column("w").to_numpy()
+            same = w[1:] == w[:-1]
+            later = np.concatenate(([last is not None and w[0] == last], same))
+            twice = later | np.concatenate((same, [after is not None and w[-1] == after])) | (batch.column("n").to_numpy() > 1)
+            return pa.RecordBatch.from_arrays([batch.column("around"), batch.column("l"), pa.array(later)], ["around", "l", "later"]).filter(pa.array(twice))
+
+        last, after = shared.value.get(TaskContext.get().partitionId(), (None, None))
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                if held is not None:
+                    yield compared(held, last, batch.column("w")[0].as_py())
+                    last = held.column("w")[held.num_rows - 1].as_py()
+                held = batch
+        if held is not None:
+            yield compared(held, last, after)
+
+    return rows.select("w", "around", "l", "n").mapInArrow(run, "around long, l int, later boolean")
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc (id, NO_ID for null), name (a hash of the text) and text as bytes."""
+    return doc_bytes(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("name"), "text")
+
+
+def found_spans(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, name, start, stop, later) of the first row of each id and text, in merged spans; and (doc, name, many) of
+    the rows that share both."""
+    if least < WINDOW + GRAM:
+        raise ValueError(f"a passage must have {WINDOW + GRAM} words or more")
+    rows = named(docs)
+    twins = kept(rows.groupBy("doc", "name").agg(F.count("*").alias("many")).where("many > 1"))
+    recurring = kept(keys(rows, least).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
+    bits = min(max(math.ceil(math.log2(16 * recurring.count() + 1)), FEWEST), MOST)
+    recur = bitmap(recurring, "key", bits)
+    place = F.struct("doc", "name", "pos")
+    groups = kept(places(rows, least, recur, True).groupBy("around").agg(F.min(place).alias("f"), F.count("*").alias("n"), F.first("key").alias("key"), F.first("lo").alias("lo"), F.first("windows").alias("windows")))
+    several = groups.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    apart = groups.join(several, "key", "left_semi").select("around", "n", "f.*", "lo", F.posexplode("windows").alias("i", "w"))
+    matched = neighbours(apart.selectExpr("around", "lo + i as l", "w", "n", "doc", "name", "pos"))
+    copies = groups.where("n > 1").select("around", F.explode(F.array(F.col("lo"), F.expr("lo + size(windows) - 1"))).alias("l"), F.lit(False).alias("later"))
+    reach = matched.union(copies).groupBy("around").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.min(F.when(F.col("later"), F.col("l"))).alias("late_lo"), F.max(F.when(F.col("later"), F.col("l"))).alias("late_hi"))
+    best = kept(reach.join(groups.select("around", "f"), "around"))
+    # of places with the same surroundings all but the first go; the first goes where another one comes before it
+    first = F.col("f") == place
+    late = lambda c: F.when(first, F.col(f"late_{c}")).otherwise(F.col(c))
+    span = lambda lo, hi, later: F.struct((F.col("pos") - hi).alias("start"), (F.col("pos") + least - lo).alias("stop"), F.lit(later).alias("later"))
+    spans = places(rows, least, recur, False).join(best, "around").select("doc", "name", F.explode(F.array(span(F.col("lo"), F.col("hi"), False), span(late("lo"), late("hi"), True))).alias("s"))
+    return merged(spans.select("doc", "name", "s.*").where("start is not null")), twins
 
 
-def in_windows(contexts: DataFrame, need: int, least: int) -> DataFrame:
-    """Matches of each row with the earliest place of every run of `least` words around its key. Neighbours and the
-    key's earliest place may all miss that place where a key has three contexts or more."""
-    more = least - need
-    cut = lambda c, n: F.substring(c, 1, 4 * n)
-    one = lambda n: F.when((F.col("lw") >= n) & (F.col("rw") >= more - n), F.struct(F.lit(n).cast("long").alias("l"), F.xxhash64("key", cut("left", n), cut("right", more - n)).alias("w")))
-    sides = contexts.select("key", "left", "right", "around", F.struct("f_doc", "f_row", "f_pos").alias("f"), words_in(F.col("left")).alias("lw"), words_in(F.col("right")).alias("rw"))
-    windows = sides.select("around", "f", F.explode(F.array(*[one(n) for n in range(more + 1)])).alias("x")).where("x is not null").select("around", "f", "x.l", "x.w")
-    first = windows.groupBy("w").agg(F.min("f").alias("a"), F.count("*").alias("many")).where("many > 1")
-    return windows.join(first, "w").select("around", "l", (more - F.col("l")).alias("r"), (F.col("f") > F.col("a")).alias("later"))
+def merged(spans: DataFrame) -> DataFrame:
+    """Overlapping or touching (start, stop) of a doc, name and kind joined into one."""
+    order = Window.partitionBy("doc", "name", "later").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("start") <= reach, 0).otherwise(1)
+    run = spans.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy("doc", "name", "later", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
-    """doc_id, row, start, stop, later: the words [start, stop) of a text stand elsewhere too.
-
-    docs: doc_id, text; other columns are ignored. Every passage is part of a match of `least` words or more
-    with another text or another place of the same text. Words are A-Z in lower case, split at ASCII white
-    space. `later` tells whether an earlier place (in order of doc_id, then of row) has the passage, so that
-    it can go; a passage can have both kinds of rows, and rows of a kind don't overlap. row numbers the rows
-    of docs, so rows that share a doc_id, or have none, stay apart. A null, empty or short text has no rows; a
-    null doc_id comes first in order; repeated rows match each other; an empty table gives no rows.
+    """doc_id, start, stop, later, twin: the words [start, stop) of a text stand elsewhere too.
+
+    docs: doc_id, text; other columns are ignored. Every word of a passage lies in a run of `least` words that
+    another text or another place of the same text has, and all such words are found. Words are A-Z in lower case,
+    split at ASCII white space. `later` tells whether an earlier place (in order of doc_id, then of a hash of the
+    text, then of position) has the passage, so that it can go; a passage can have both kinds of rows, and rows of a
+    kind don't overlap. Rows of docs that share id and text are one text here; where that has `least` words, a row
+    with `twin` stands for all but one of them. A null, empty or short text has no rows; a null doc_id comes
+    first in order; an empty table gives no rows. A text of any length is one text.
     """
-    need = least - WINDOW + 1
-    rows = doc_bytes(docs, F.monotonically_increasing_id().alias("row"))
-    recur = bitmap(keys(rows, need).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key", RECUR)
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "row", "pos")
-    contexts = kept(surroundings(rows, need, recur, True).groupBy("key", "left", "right", "around").agg(F.min(order).alias("f"), F.count("*").alias("n")).selectExpr("key", "left", "right", "around", "n", "f.doc as f_doc", "f.row as f_row", "f.pos as f_pos"))
-    several = contexts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    distinct = contexts.join(several, "key", "left_semi")
-    found = neighbours(distinct, ["key", "right", "left"], need, least).union(neighbours(distinct, ["key", "left", "right"], need, least)).union(with_first(distinct, need, least))
-    found = found.union(in_windows(contexts.join(several.where("many > 2"), "key", "left_semi"), need, least))
-    l, r = (words_in(F.col(s)) for s in ("left", "right"))
-    copies = contexts.where("n > 1").select("around", l.alias("l"), r.alias("r"), "f_row", "f_pos").where(F.col("l") + F.col("r") + need >= least)
-    every = found.selectExpr("around", "l", "r", "later", "cast(null as long) f_row", "cast(null as long) f_pos").union(copies.selectExpr("around", "l", "r", "cast(null as boolean) later", "f_row", "f_pos"))
-    of_copies = F.col("f_row").isNotNull()
-    best = every.groupBy("around").agg(
-        *[F.max(c).alias(c) for c in ("l", "r", "f_row", "f_pos")],
-        *[F.max(F.when(F.col("later"), F.col(c))).alias("l" + c) for c in ("l", "r")],
-        *[F.max(F.when(of_copies, F.col(c))).alias("c" + c) for c in ("l", "r")],
-    )
-    places = surroundings(rows, need, recur, False).join(best, "around")
-    # of rows with the same surroundings all but the first go; the first goes if a neighbour comes before it
-    other = of_copies & ((F.col("row") != F.col("f_row")) | (F.col("pos") != F.col("f_pos")))
-    lost_l, lost_r = (F.greatest("l" + c, F.when(other, F.col("c" + c))) for c in ("l", "r"))
-    span = lambda l, r, later: F.struct((F.col("pos") - l).alias("start"), (F.col("pos") + need + r).alias("stop"), F.lit(later).alias("later"))
-    spans = places.select("row", "doc_id", F.explode(F.array(span(F.col("l"), F.col("r"), False), span(lost_l, lost_r, True))).alias("s"))
-    return merged(spans.select("row", "doc_id", "s.*").where("start is not null"))
-
-
-def words_in(side: Column) -> Column:
-    """Words of a context before its first zero. Hashed words are odd, so a zero word is four zero bytes at its place."""
-    places = F.array(*[F.when(F.substring(side, 4 * i + 1, 4) == F.unhex(F.lit("00000000")), F.lit(i)).otherwise(SIDE) for i in range(SIDE)])
-    return F.array_min(places).cast("long")
+    spans, twins = found_spans(docs, least)
+    spans = kept(spans)
+    copies = spans.where("not later").join(twins, ["doc", "name"], "left_semi").select("doc", "name", F.lit(True).alias("later"), "start", "stop", F.lit(True).alias("twin"))
+    every = spans.select("doc", "name", "later", "start", "stop", F.lit(False).alias("twin")).union(copies)
+    return every.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "start", "stop", "later", "twin")
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """Overlapping or touching (row, doc_id, start, stop, later) of a text and kind joined into one."""
+def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """The texts without the words of their spans; the words around a cut keep the white space before them."""
+    import re
 
-    order = Window.partitionBy("row", "later").orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("start") <= reach, 0).otherwise(1)
-    run = spans.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy("row", "later", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop")).select("doc_id", "row", "start", "stop", "later")
+    def one(text: str | None, where) -> str | None:
+        if text is None or where is None:
+            return text
+        parts = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)
+        gone = np.zeros(len(parts), bool)
+        for s in where:
+            gone[s["start"] : s["stop"]] = True
+        left = "".join([p for p, g in zip(parts, gone, strict=True) if not g])
+        return left + text[sum(map(len, parts)) :] if left else ""
+
+    return pd.Series([one(t, w) for t, w in zip(texts, spans, strict=True)], dtype=object)
 
 
 def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """docs with every passage that an earlier place has cut out of text (and n_chars, if there, counted anew).
 
     The words around a cut stay as they were, with the white space before each; a text that is all repeats
-    becomes empty, and its row stays. All other columns and rows are unchanged.
+    becomes empty, and its row stays. All other columns, of whatever names, and rows are unchanged; of rows with one
+    id and text any one keeps its text. Nulls, empty texts and tables: see repeats().
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    cuts = repeats(docs, least).where("later").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts")).withColumnRenamed("row", "__row")
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        import re
-
-        def one(text: str | None, where) -> str | None:
-            if text is None or where is None:
-                return text
-            parts = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)
-            tail = text[sum(map(len, parts)) :]
-            gone = np.zeros(len(parts), bool)
-            for s in where:
-                gone[s["start"] : s["stop"]] = True
-            left = "".join(p for p, g in zip(parts, gone, strict=True) if not g)
-            return left + tail if left else ""
-
-        return pd.Series([one(t, w) for t, w in zip(texts, spans, strict=True)], dtype=object)
-
-    joined = numbered.join(cuts, "__row", "left").withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(cut("text", "__cuts")))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+    spans, twins = found_spans(docs, least)
+    cuts = kept(spans.where("later").groupBy("doc", "name").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("name"))
+
+    def cut(some: DataFrame) -> DataFrame:
+        text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.pandas_udf(without, "string")("row.text", "spans"))
+        joined = some.select("row", "spans", text.alias("text"))
+        size = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+        new = {"text": F.col("text"), "n_chars": size}
+        return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+    if twins.isEmpty():
+        return cut(rows.join(cuts, ["doc", "name"], "left"))
+    long = spans.where("not later and start = 0").join(twins, ["doc", "name"], "left_semi").select("doc", "name", F.array(F.struct("start", "stop")).alias("whole"))
+    both = rows.join(cuts, ["doc", "name"], "left").join(kept(long), ["doc", "name"], "left")
+    same = kept(both.where("whole is not null").withColumn("i", F.monotonically_increasing_id()))
+    first = same.groupBy("doc", "name").agg(F.min("i").alias("first"))
+    told = same.join(first, ["doc", "name"]).withColumn("spans", F.when(F.col("i") == F.col("first"), F.col("spans")).otherwise(F.col("whole")))
+    return cut(both.where("whole is null").select("row", "spans").union(told.select("row", "spans")))

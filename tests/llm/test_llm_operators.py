@@ -127,24 +127,37 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
-def test_suffix_dedup_equals_all_windows(spark):
-    shared, tail = prose(50, 70), prose(51, 40)
-    texts = [prose(1, 90), prose(2, 60) + " " + shared + " " + prose(3, 60), shared + "\n" + tail, prose(4, 30) + " " + shared, prose(5) + " " + tail, None, "", "short", prose(1, 90), shared + " x " + shared]
+def brute_repeats(texts, least=50):
+    """Per text: which words repeat, and which an earlier place (by index, then position) has."""
     words = [(t or "").encode().lower().split() for t in texts]
     at = defaultdict(list)
     for j, w in enumerate(words):
-        for p in range(len(w) - 49):
-            at[tuple(w[p : p + 50])].append((j, p))
-    want, got, later = ([np.zeros(len(w), bool) for w in words] for _ in range(3))
-    for places in at.values():
-        for j, p in places if len(places) > 1 else ():
-            want[j][p : p + 50] = True
-    for r in suffix_dedup.repeats(frame(spark, texts)).collect():
-        (later if r.later else got)[r.doc_id][r.start : r.stop] = True
-    assert all(np.array_equal(a, b) for a, b in zip(want, got)) and not any(x.any() for x in (later[0], later[1], later[4]))
+        for p in range(len(w) - least + 1):
+            at[tuple(w[p : p + least])].append((j, p))
+    any_, late = ([np.zeros(len(w), bool) for w in words] for _ in range(2))
+    for spots in at.values():
+        for i, (j, p) in enumerate(spots if len(spots) > 1 else ()):
+            any_[j][p : p + least] = True
+            if i:
+                late[j][p : p + least] = True
+    return any_, late
+
+
+def same_repeats(spark, texts):
+    want = brute_repeats(texts)
+    got = [[np.zeros(len(w), bool) for w in want[0]] for _ in range(2)]
+    for r in suffix_dedup.repeats(frame(spark, texts)).where("not twin").collect():
+        got[r.later][r.doc_id][r.start : r.stop] = True
+    return all(np.array_equal(a, b) for kind in (0, 1) for a, b in zip(want[kind], got[kind]))
+
+
+def test_suffix_dedup_equals_all_windows(spark):
+    shared, tail = prose(50, 70), prose(51, 40)
+    texts = [prose(1, 90), prose(2, 60) + " " + shared + " " + prose(3, 60), shared + "\n" + tail, prose(4, 30) + " " + shared, prose(5) + " " + tail, None, "", "short", prose(1, 90), shared + " x " + shared, "a b " * 300, prose(8, 50), prose(8, 50), prose(9, 49), prose(9, 49)]
+    assert same_repeats(spark, texts)
     left = {r.doc_id: r for r in suffix_dedup.without_repeats(frame(spark, texts)).collect()}
     assert left[8].text == "" and left[0].text == texts[0] and left[1].text == texts[1] and left[5].text is None and left[3].text.split() == texts[3].split()[:30]
-    assert len(left) == len(texts) and left[0].node == "x" and suffix_dedup.repeats(frame(spark, [])).count() == 0
+    assert len(left) == len(texts) and left[0].node == "x" and suffix_dedup.repeats(frame(spark, [])).count() == 0 and suffix_dedup.without_repeats(frame(spark, [])).count() == 0
 
 
 def test_suffix_dedup_of_many_edited_copies(spark):
@@ -152,8 +165,48 @@ def test_suffix_dedup_of_many_edited_copies(spark):
     early = [" ".join(passage[:42]) + " " + prose(61, 40), prose(62, 40) + " " + " ".join(passage[8:])]
     own = lambda i, side: " ".join(f"{side}{i}x{j}" for j in range(30))
     texts = early + [own(i, "a") + " " + " ".join(passage) + " " + own(i, "z") for i in range(60)]
-    later = {r.doc_id: (r.start, r.stop) for r in suffix_dedup.repeats(frame(spark, texts)).where("later").collect()}
-    assert later == dict.fromkeys(range(3, 62), (30, 80))
+    assert same_repeats(spark, texts)
+    rng = np.random.default_rng(4)
+    base = prose(70, 200).split()
+    for i in range(40):  # near copies with edits anywhere
+        copy = list(base)
+        for j in rng.integers(0, 200, 3):
+            copy[j] = f"e{rng.integers(5)}"
+        texts.append(" ".join(copy))
+    assert same_repeats(spark, texts)
+
+
+def test_suffix_dedup_with_decoys(spark):
+    """Others share 47 or 48 words with one of two texts that share 50, and one text has the key alone."""
+    passage = prose(80, 50).split()
+    sides = [(prose(81 + i, 40).split(), prose(181 + i, 40).split()) for i in range(2)]
+    texts = [" ".join(passage[8:43]) + " " + prose(300, 30)]
+    for left, right in sides:
+        texts.append(" ".join([*left, *passage, *right]))
+    for i in range(24):
+        left, right = sides[i % 2]
+        own = [f"o{i}x{j}" for j in range(20)]
+        texts.append(" ".join([*own, *passage[7:], *right[:5], *own] if i % 4 < 2 else [*own, *left[-5:], *passage[:42], *own]))
+    assert same_repeats(spark, texts) and brute_repeats(texts)[1][2].sum() == 50
+
+
+def test_suffix_dedup_without_matches(spark):
+    shared = prose(90, 35)
+    texts = [f"{prose(400 + i, 40)} {shared} {prose(500 + i, 40)}" for i in range(27)]
+    for n in (1, 4):
+        assert suffix_dedup.repeats(frame(spark, texts).repartition(n)).count() == 0
+
+
+def test_suffix_dedup_of_odd_rows(spark):
+    a, b = prose(95, 80), prose(96, 5000)
+    rows = [(None, a, 1, "x"), (None, a, 2, "y"), (7, a, 3, "z"), (7, b, 4, "z"), (7, b, 5, "u"), (8, None, 6, None), (8, b + " end", 7, "v"), (9, "few words", 8, "w"), (9, "few words", 9, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row long, __cuts string").withColumn("doc", F.lit("d")).withColumn("row", F.lit(5)).withColumn("spans", F.lit("s"))
+    left = {r["__row"]: r for r in suffix_dedup.without_repeats(docs).collect()}
+    assert sorted((left[1].text, left[2].text)) == ["", a] and left[3].text == "" and sorted((left[4].text, left[5].text)) == ["", b]
+    assert left[7].text == " end" and left[6].text is None and left[8].text == left[9].text == "few words"
+    assert all((left[i]["__cuts"], left[i].doc, left[i].row, left[i].spans) == (rows[i - 1][3], "d", 5, "s") for i in left)
+    twins = [r for r in suffix_dedup.repeats(docs).collect() if r.twin]
+    assert sorted((r.doc_id is None, r.start, r.stop) for r in twins) == [(False, 0, 5000), (True, 0, 80)]
 
 
 def test_topk_equals_all_scores(spark):
