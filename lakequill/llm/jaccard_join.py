@@ -1,19 +1,19 @@
 """Jaccard similarity join on word shingles, exact, by size-banded tiles with bitmap signatures.
 
-Each document is the set of its distinct shingles (64-bit hashes); documents with one set are one node. Two sets
-can link only when they share several shingles (SHARED or more, or all that they need) among the first of each in a fixed
-order (rarest first, by a counter table of fixed size), so those are the keys under which nodes meet. Under a key, nodes meet in tiles of
-neighbouring size bands. A pair's overlap is bounded from above by the bit counts of two bitmap signatures, and
+Each document is the set of its distinct shingles (64-bit hashes); documents with one set are one node. In one order of
+all shingles (rare ones first) two sets that link share one at least of the first n - ceil(n * threshold) + 1 of each:
+the keys under which nodes can meet. Nodes of a key and of neighbouring size bands meet in a tile of bounded size. A
+pair's overlap is bounded from above by what both share with one hub and by the bit counts of two bitmap signatures;
 what passes is settled by intersecting the sorted sets.
 
-A key's nodes don't all meet: first each is held against a few hubs of the key, and nodes that links have joined
-need no further links among themselves, so only pairs across components meet in tiles, and of nodes held against
-one hub only those whose overlap with it leaves a link possible. Copies and large groups
-of near copies thus cost about as many pairs as documents.
+Nodes that links have joined need no further links among themselves. So a share of the keys first holds each node
+against the hubs of its keys, and then only keys that still hold several components go into tiles, where only pairs
+across components meet. Copies and large groups of near copies thus cost about as many pairs as documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,218 +23,312 @@ from pyspark.sql import DataFrame, functions as F
 from lakequill.llm.components import components
 from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept, mix64, pieces, shingle_hashes
 
-COUNTERS = 21
-#: Bits of a signature, and of its fold that goes into the tiles.
-SIGNATURE, FOLD = 1024, 512
-#: Bits of the bitmaps of nodes and of keys (1 and 8 MB), which let through more by chance as they fill.
-INVOLVED, MET = 23, 26
-#: Keys that two nodes must share, unless the overlap they need is smaller: 4, and one in 50 of a large set.
-SHARED, PART = 4, 50
+#: Bits of the signatures of sets below and from LARGE shingles.
+NARROW, WIDE, LARGE = 512, 2048, 700
+#: Shingles counted at once; those in less than one document of OFTEN there count as rare.
+COUNTED, OFTEN = 1_500_000, 256
+#: One key in so many takes part in a hub round.
+PART = 8
+#: Nodes of a tile's side, and pairs compared at once.
+TILE, PAIRS = 4096, 1 << 20
+NO_ID = -(1 << 63)
 
 
-def sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+def sets(part: pa.RecordBatch, k: int) -> list[np.ndarray]:
     """The sorted shingle hashes of each text of a batch."""
     words, at = hashed_words(part.column("text").to_pylist())
-    for lo, hi in zip(at, at[1:], strict=False):
-        yield np.unique(shingle_hashes(words[lo:hi], min(k, hi - lo))) if hi > lo else np.zeros(0, np.uint64)
+    every = shingle_hashes(words, k) if len(words) >= k else np.zeros(0, np.uint64)
+    out = []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        out.append(np.unique(every[lo : hi - k + 1] if hi - lo >= k else shingle_hashes(words[lo:hi], hi - lo) if hi > lo else every[:0]))
+    return out
+
+
+def names(found: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of each set."""
+    sizes = np.array([len(s) for s in found], np.int64)
+    sums = np.zeros(len(found), np.uint64)
+    if sizes.any():
+        ends = np.cumsum(sizes)
+        sums[sizes > 0] = np.add.reduceat(mix64(np.concatenate(found)), (ends - sizes)[sizes > 0])
+    return mix64(sums + sizes.astype(np.uint64)).astype(np.int64)
 
 
-def node(s: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int(mix64(np.array([mix64(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).astype(np.int64)[0])
+def signature(s: np.ndarray) -> bytes:
+    width = NARROW if len(s) < LARGE else WIDE
+    bits = np.zeros(width, bool)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
 
-def counters(docs: DataFrame, k: int) -> np.ndarray:
-    """How many (document, shingle) pairs fall on each of 2**COUNTERS counters, by the shingle's leading bits (at most
-    65,535 from each task: the counters choose an order, and any order gives the same links)."""
-    chunk = 1 << 14
+def measured(rows: DataFrame, k: int) -> DataFrame:
+    """doc, name, n and node of every row; and, where node is null, shingles that many of a run's documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << COUNTERS, np.int64)
+        held: list[np.ndarray] = []
+        none = pa.array([[]], pa.list_(pa.int64()))
+
+        def often() -> pa.RecordBatch:
+            shingle, times = np.unique(np.concatenate(held), return_counts=True)
+            some = times >= max(3, len(held) // OFTEN)
+            lists = [pa.array([x[some].astype(np.int64).tolist()], pa.list_(pa.int64())) for x in (shingle, times)]
+            return pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([0]), pa.array([None], pa.int64()), *lists], ["doc", "name", "n", "node", "often", "times"])
+
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                if got := list(sets(part, k)):
-                    n += np.bincount((np.concatenate(got) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(n))
-        for i in range(0, len(n), chunk):
-            if n[i : i + chunk].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([np.minimum(n[i : i + chunk], 65_535).astype(np.uint16).tobytes()])], ["i", "n"])
-
-    def add(pdf):
-        return pdf.iloc[:1].assign(n=[np.sum([np.frombuffer(x, np.uint16) for x in pdf["n"]], 0, np.int64).tobytes()])
-
-    out = np.zeros(1 << COUNTERS, np.int64)
-    for r in docs.mapInArrow(run, "i long, n binary").groupBy("i").applyInPandas(add, "i long, n binary").toLocalIterator():
-        out[r.i : r.i + chunk] = np.frombuffer(r.n, np.int64)
-    return out
+                found = sets(part, k)
+                blank = pa.concat_arrays([none] * 1).take(pa.array(np.zeros(len(found), np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("name"), pa.array([len(s) for s in found], pa.int64()), pa.array(names(found)), blank, blank], ["doc", "name", "n", "node", "often", "times"])
+                held += found
+                if sum(map(len, held)) > COUNTED:
+                    yield often()
+                    held = []
+        if held:
+            yield often()
+
+    return rows.mapInArrow(run, "doc long, name long, n long, node long, often array<long>, times array<long>")
+
+
+class Order:
+    """The rank of shingles: those that many documents have come last."""
 
+    def __init__(self, shingles: np.ndarray, times: np.ndarray):
+        turn = np.argsort(shingles)
+        self.shingles, self.level = shingles[turn], (1 + 8 * np.log2(times[turn] + 1)).astype(np.uint64) << np.uint64(54)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.shingles & np.uint64(len(self.maybe) - 1)).astype(np.int64)] = True
 
-def sets_with_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, node (null if n is 0) and keys: the first shingles in the order, of which a link shares max(SHARED, n / PART)."""
-    level = docs.sparkSession.sparkContext.broadcast((1000 * np.log2(counters(docs, k) + 1)).astype(np.uint16))
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        out = s >> np.uint64(10)
+        hit = np.flatnonzero(self.maybe[(s & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
+        if len(hit):
+            at = np.minimum(np.searchsorted(self.shingles, s[hit]), len(self.shingles) - 1)
+            same = self.shingles[at] == s[hit]
+            out[hit[same]] |= self.level[at[same]]
+        return out
+
+
+def filter_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with 16 bits for each id, 64 KB at least and 128 MB at most."""
+    return bitmap(ids, column, min(max(math.ceil(math.log2(16 * ids.count() + 1)), 19), 30))
+
+
+def with_keys(rows: DataFrame, k: int, num: int, den: int, order: Order, wanted: np.ndarray) -> DataFrame:
+    """node, n, sig and keys of the rows whose place the bitmap `wanted` may hold."""
+    shared = rows.sparkSession.sparkContext.broadcast((order, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, bits = shared.value
         for batch in batches:
-            for part in pieces(batch, 2 << 20):
-                sizes, names, keys = [], [], []
-                for s in sets(part, k):
-                    n = len(s)
-                    rank = (level.value[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s & np.uint64((1 << 48) - 1))
-                    p = min(n, n - -(-n * num // den) + max(SHARED, n // PART))
-                    sizes.append(n)
-                    names.append(node(s) if n else None)
-                    keys.append(s[np.argpartition(rank, p - 1)[:p]] if p < n else s)
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).astype(np.int64)))], ["doc_id", "n", "node", "keys"])
+            for part in pieces(batch.filter(pa.array(in_bitmap(batch.column("place").to_numpy(), bits))), 2 << 20):
+                found = [s for s in sets(part, k) if len(s)]
+                if not found:
+                    continue
+                sizes = np.array([len(s) for s in found])
+                ranks = np.split(rank(np.concatenate(found)), np.cumsum(sizes)[:-1])
+                most = (sizes - -(-sizes * num // den) + 1).tolist()
+                keys = [s[np.argpartition(r, p - 1)[:p]] if p < len(s) else s for s, r, p in zip(found, ranks, most, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)), pa.array(np.concatenate(keys).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(names(found)), pa.array(sizes), pa.array([signature(s) for s in found], pa.binary()), lists], ["node", "n", "sig", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, keys array<long>")
+    return rows.mapInArrow(run, "node long, n long, sig binary, keys array<long>")
 
 
-def keyed(base: DataFrame, shared: np.ndarray) -> DataFrame:
-    """(key, node, n) for the keys that the bitmap `shared` may hold."""
-    bits = base.sparkSession.sparkContext.broadcast(shared)
+def contents(rows: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """node and items (its sorted set) of the rows whose place the bitmap `wanted` may hold, once for each task."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            lists = batch.column("keys")
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            some = in_bitmap(keys, bits.value) if len(keys) else np.zeros(0, bool)
-            at = pa.array(row[some])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some], pa.int64()), batch.column("node").take(at), batch.column("n").take(at)], ["key", "node", "n"])
+            for part in pieces(batch.filter(pa.array(in_bitmap(batch.column("place").to_numpy(), shared.value))), 2 << 20):
+                found = [s for s in sets(part, k) if len(s)]
+                new = {i: s for i, s in zip(names(found).tolist(), found, strict=True) if i not in seen}
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], ["node", "items"])
 
-    return base.where("n > 0").select("node", "n", "keys").mapInArrow(run, "key long, node long, n long")
+    return rows.mapInArrow(run, "node long, items binary")
 
 
-def contents(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
-    """node, sig, items (binary) and fold (the signature in longs) of the sets whose place (node and doc_id) the bitmap `wanted` may hold: one for each
-    wanted node, and by chance a few copies, which only repeat links."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def overlaps(pairs: DataFrame, rows: DataFrame, first: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b, o, links) of pairs: the size of the intersection and whether the sets link."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 2 << 20):
-                ids = part.column("doc_id").fill_null(-1).to_numpy()
-                found = {name: s for s, i in zip(sets(part, k), ids, strict=True) if len(s) and in_bitmap(np.array([((name := node(s)) ^ int(i) ^ (int(i) << 11)) & ((1 << INVOLVED) - 1)]), shared.value)[0]}
-                sigs, folds = [], []
-                for s in found.values():
-                    bits = np.zeros(SIGNATURE, bool)
-                    bits[(s & np.uint64(SIGNATURE - 1)).astype(np.int64)] = True
-                    sigs.append(np.packbits(bits).tobytes())
-                    folds.append(np.packbits(bits.reshape(-1, FOLD).any(0)).view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary()), pa.array(folds, pa.list_(pa.int64()))], ["node", "sig", "items", "fold"])
+            common, links = [], []
+            for a, b in zip(batch.column("ia"), batch.column("ib"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = np.concatenate((x, y))
+                both.sort(kind="stable")  # merges the two runs
+                common.append(int((both[1:] == both[:-1]).sum()))
+                links.append(den * common[-1] >= num * (len(both) - common[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(links, pa.bool_())], ["a", "b", "o", "links"])
 
-    return docs.mapInArrow(run, "node long, sig binary, items binary, fold array<long>")
+    pairs = kept(pairs)
+    ends = kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("place"))
+    items = contents(rows, k, filter_bits(ends, "place"))
+    both = pairs.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
+    return kept(both.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long, o long, links boolean"))
 
 
-def needed(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of items whose node the pairs hold (and by chance a few more), so that no other set is shuffled."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = items.sparkSession.sparkContext.broadcast(bitmap(ends, "node", INVOLVED))
+def keyed(nodes: DataFrame, met: np.ndarray) -> DataFrame:
+    """The nodes' rows, once for each key that the bitmap `met` may hold."""
+    shared = nodes.sparkSession.sparkContext.broadcast(met)
+    rest = [c for c in nodes.columns if c != "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(batch.column("node").to_numpy(), bits.value)))
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            some = np.flatnonzero(in_bitmap(keys, shared.value)) if len(keys) else np.zeros(0, np.int64)
+            for at in range(0, len(some), 50_000):
+                part = some[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *[batch.column(c).take(pa.array(row[part])) for c in rest]], ["key", *rest])
 
-    return items.mapInArrow(run, items.schema)
+    return nodes.mapInArrow(run, "key long, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes if c != "keys"))
 
 
-def overlaps(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, low, up, links) of pairs: bounds of the overlap and whether the sets link. Bit counts come first; what
-    they leave open is settled by sorted intersection, where both bounds are the overlap itself."""
+def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs in tiles that may link. members: key, blocks (over which the key's nodes are dealt), main
+    (component), node, n, sig, component, pivot and o (what the node shares with its pivot)."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
+    # a node is at home in its band (bit 1: the tile's first side, 2: its second) and a visitor (4) in the next
+    spots = """concat(transform(sequence(0L, blocks - 1), j -> struct(band as band, x as i, j as j, if(j = x, 3, 1) as role)),
+        transform(filter(sequence(0L, blocks - 1), i -> i < x), i -> struct(band as band, i as i, x as j, 2 as role)),
+        transform(sequence(0L, blocks - 1), i -> struct(band + 1 as band, i as i, x as j, 4 as role)))"""
+    dealt = members.withColumn("band", band.cast("long")).withColumn("x", F.expr("pmod(xxhash64(node), blocks)")).withColumn("s", F.explode(F.expr(spots)))
+    rows = dealt.select(F.xxhash64("key", "s.band", "s.i", "s.j").alias("tile"), "s.role", "main", "node", "n", "component", "pivot", "o", "sig")
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE // 8) for c in ("sa", "sb"))
-            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(most), pa.array((num + den) * most >= num * (n + m))], ["a", "b", "up", "open"])
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            ids = table.column("tile").to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+            yield from met(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield from met(held)
+
+    def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        tile, role, main, node, n, own, pivot, o = (table.column(c).to_numpy() for c in ("tile", "role", "main", "node", "n", "component", "pivot", "o"))
+        sigs = table.column("sig").to_pylist()
+        wide = np.array([len(s) * 8 == WIDE for s in sigs])
+        packed = np.frombuffer(b"".join([s if len(s) * 8 == WIDE else s * (WIDE // NARROW) for s in sigs]), np.uint64).reshape(len(sigs), -1)
+        narrow = np.bitwise_or.reduce(packed.reshape(len(sigs), WIDE // NARROW, -1), 1)
+        other = own != main
+        # the second side of each tile with the nodes outside the main component first: those inside meet no others
+        start = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(tile))))
+        right = np.flatnonzero(role & 6)
+        right = right[np.lexsort((~other[right], group[right]))]
+        count = np.bincount(group[right], minlength=len(start))
+        few = np.bincount(group[right], other[right], len(start)).astype(np.int64)
+        begin = np.cumsum(count) - count
+        left = np.flatnonzero(role & 1)
+        many = np.where(other[left], count[group[left]], few[group[left]])
+        turn = np.cumsum(many) // PAIRS
+        for rows in np.split(np.arange(len(left)), np.flatnonzero(np.diff(turn)) + 1) if len(left) else ():
+            for lo in range(0, int(many[rows].max()), 4 * PAIRS) if len(rows) == 1 else (0,):
+                size = many[rows] if len(rows) > 1 else np.minimum(many[rows] - lo, 4 * PAIRS)
+                l = np.repeat(left[rows], size)
+                r = right[np.arange(len(l)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[group[left[rows]]] + lo, size)]
+                # of two nodes of one block each pair counts once: by the one outside the main component, else in order
+                good = (own[l] != own[r]) & ((role[r] != 3) | (other[l] & ~other[r]) | ((other[l] == other[r]) & (l < r)))
+                l, r = l[good], r[good]
+                small, large = np.minimum(n[l], n[r]), np.maximum(n[l], n[r])
+                good = small * den >= large * num
+                l, r = l[good], r[good]
+                need = num * (n[l] + n[r])
+                most = np.where(pivot[l] == pivot[r], np.minimum(o[l], o[r]) + np.minimum(n[l] - o[l], n[r] - o[r]), n[l])
+                good = most * (num + den) >= need
+                l, r, need = l[good], r[good], need[good]
+                for bits, some in ((narrow, ~(wide[l] & wide[r])), (packed, wide[l] & wide[r])):
+                    a, b, least = l[some], r[some], need[some]
+                    for at in range(0, len(a), 1 << 16):
+                        i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                        x, y = bits[i], bits[j]
+                        up = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                        open_ = up * (num + den) >= least[at : at + (1 << 16)]
+                        if open_.any():
+                            i, j = node[i[open_]], node[j[open_]]
+                            both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+                            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
+
+
+def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 2, tries_each: int = 3) -> DataFrame:
+    """doc (NO_ID for null), name (a hash of the text), n and component (a node; null without shingles) of every row."""
+    rows = doc_bytes(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("name"), "text").withColumn("place", F.xxhash64("doc", "name"))
+    every = kept(measured(rows, k))
+    base = every.where("node is not null").select("doc", "name", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    first = kept(base.where("n > 0").groupBy("node").agg(F.min(F.xxhash64("doc", "name")).alias("place")))
+    often = every.where("node is null").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("times"))
+    heavy = often.where(F.col("times") >= max(3, base.count() // 2000)).toPandas()  # at most 2,000 times the mean size of a set
+    order = Order(heavy["often"].to_numpy(np.int64).astype(np.uint64), heavy["times"].to_numpy(float))
+    nodes = kept(with_keys(rows, k, num, den, order, filter_bits(first, "place")).dropDuplicates(["node"]))
+    links = first.limit(0).selectExpr("node as a", "node as b")
+    named = None
+    near = []
+
+    def labelled() -> DataFrame:
+        if named is None:
+            return nodes.withColumn("component", F.col("node"))
+        return nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared, keep = [], []
-            for a, b in zip(batch.column("ia"), batch.column("ib"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                shared.append(common)
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            common = pa.array(shared, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), common, common, pa.array(keep, pa.bool_())], ["a", "b", "low", "up", "links"])
-
-    sigs = known.selectExpr("node", "sig", "length(items) div 8 as n")
-    with_sigs = pairs.select("a", "b").join(sigs.toDF("a", "sa", "na"), "a").join(sigs.toDF("b", "sb", "nb"), "b")
-    bounds = kept(with_sigs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(bounded, "a long, b long, up long, open boolean"))
-    few = bounds.where("open").select("a", "b")
-    items = needed(known.select("node", "items"), few)
-    both = few.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
-    settled = both.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long, low long, up long, links boolean")
-    return settled.union(bounds.where("not open").selectExpr("a", "b", "0L as low", "up", "false as links"))
-
-
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hub_rounds: int = 3, tries_each: int = 3) -> DataFrame:
+    for turn in range(hub_rounds):
+        some = labelled().select("node", "n", "component", F.size("keys").alias("all"), F.explode(F.filter("keys", lambda x: F.pmod(x, F.lit(PART)) == turn)).alias("key"))
+        apart = kept(some.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
+        found = kept(some.join(apart, "key"))
+        share = found.groupBy("node").agg((F.count("*") / F.first("all")).alias("share"))
+        by = F.struct(F.col("share") if turn == 0 else F.lit(0.0), F.xxhash64("node", F.lit(turn)), "node", "n", "component")
+        hubs = kept(found.join(share, "node").groupBy("key").agg(F.max(by).alias("h")).selectExpr("key", "h.node as hub", "h.n as hub_n", "h.component as main"))
+        tries = found.join(hubs, "key").where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub").count()
+        best = tries.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "hub")), False), 1, tries_each).alias("h"))
+        got = overlaps(best.select(F.col("node").alias("a"), F.explode("h.hub").alias("b")), rows, first, k, num, den)
+        near.append(got.select("a", "b", "o"))
+        links = links.union(got.where("links").select("a", "b"))
+        named = components(links)
+    hub = near[0].select(F.col("b").alias("node")).distinct().join(nodes, "node").selectExpr("node", "node as pivot", "n as o")
+    pivots = near[0].selectExpr("a as node", "b as pivot", "o").union(hub).groupBy("node").agg(F.max(F.struct("o", "pivot")).alias("p")).selectExpr("node", "p.pivot", "p.o")
+    sizes = named.groupBy("component").agg(F.count("*").alias("size"))
+    known = kept(labelled().join(pivots, "node", "left").join(sizes, "component", "left").selectExpr("node", "n", "component", "coalesce(size, 1) as size", "coalesce(pivot, node) as pivot", "coalesce(o, n) as o", "sig", "keys"))
+    mixed = kept(known.select("component", "size", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("many")).where("lo < hi").selectExpr("key", "m.component as main", f"(many + {TILE - 1}) div {TILE} as blocks"))
+    members = keyed(known.drop("size"), filter_bits(mixed, "key")).join(mixed, "key")
+    last = overlaps(tiles(members, num, den), rows, first, k, num, den)
+    named = components(links.union(last.where("links").select("a", "b")))
+    return base.join(named, "node", "left").select("doc", "name", "n", F.coalesce("component", "node").alias("component"))
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; two link when den * overlap >= num * union.
 
     docs: doc_id, text; other columns are ignored. A-Z count in lower case; with fewer than k words the whole
     text is one shingle; a null text or one without words has none and links with nothing. component_id is the
     least doc_id that links reach. A null doc_id takes part but names no component (null if a component has no
     other id); a repeated doc_id counts as one document for each row; an empty table gives no rows. Exact for
-    any order of shingles; the counters only make keys rare.
+    any order of shingles; counts of frequent ones only make keys rare.
     """
-    rows = doc_bytes(docs)
-    base = kept(sets_with_keys(rows, k, num, den))
-    need = lambda n: f"least(greatest({SHARED}, {n} div {PART}), ceil({n} * {num} / {den}))"
-    shared = kept(base.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
-    found = keyed(base, bitmap(shared, "key", MET)).join(shared, "key").distinct()
-    enough = found.groupBy("node", "n").count().where(f"count >= {need('n')}").selectExpr("node", "count / n as share")
-    members = kept(found.join(enough, "node").select("key", "node", "n", "share"))
-    first = base.groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("i"))
-    places = first.join(members.select("node").distinct(), "node").selectExpr("node ^ i ^ shiftleft(i, 11) as place")
-    known = kept(contents(rows, k, bitmap(places, "place", INVOLVED)))
-    links = members.limit(0).selectExpr("node as a", "node as b")
-    now = members.selectExpr("*", "node as component", "cast(null as long) as pivot", "cast(null as long) as low", "cast(null as long) as up")
-
-    def mixed(labelled: DataFrame, turn: int) -> DataFrame:
-        """Members of keys that still hold several components, with the key's hub and its component. The first hubs
-        are those with the largest share of shared keys, as originals have among their edited copies; later ones any,
-        and each key's its own."""
-        order = [] if turn else [-F.col("share")]
-        hub = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(*order, F.xxhash64("node", "key", F.lit(turn)), "node", "component", "n")).alias("hub")).where("lo < hi")
-        return kept(labelled.join(hub.selectExpr("key", "hub.node as hub", "hub.component as main", "hub.n as hub_n"), "key"))
-
-    for turn in range(hub_rounds):
-        apart = mixed(now, turn)
-        tries = apart.where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub", "n", "hub_n").count().where("true" if turn else f"count >= least({need('n')}, {need('hub_n')})").groupBy("node").agg(F.expr(f"slice(sort_array(collect_list(struct(count, hub)), false), 1, {tries_each})").alias("h"))
-        got = kept(overlaps(tries.selectExpr("node as a", "explode(h.hub) as b"), known, num, den))
-        linked = got.where("links").select("a", "b")
-        if turn and linked.isEmpty():
-            break
-        links = links.union(linked)
-        named = components(links)
-        now = apart.drop("component", "hub", "main", "hub_n").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if not turn:  # what each node shares with its nearest hub bounds what it shares with that hub's other nodes
-            nearest = got.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("low", "up", "b")).alias("h")).selectExpr("node", "h.b as pivot", "h.low", "h.up")
-            now = now.drop("pivot", "low", "up").join(nearest, "node", "left")
-    words = range(FOLD // 64)
-    apart = mixed(now, hub_rounds).join(known.select("node", *[F.col("fold")[i].alias(f"f{i}") for i in words]).dropDuplicates(["node"]), "node", "left")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9) if num < den else F.col("n")
-    left = apart.where("component <> main").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).selectExpr("key", "band", "node as a", "n as na", "component as ca", "pivot as pa", "low as la", "up as ua", *[f"f{i} as x{i}" for i in words])
-    right = apart.withColumn("band", band).selectExpr("key", "band", "node as b", "n as nb", "component as cb", "main", "pivot as pb", "low as lb", "up as ub", *[f"f{i} as y{i}" for i in words])
-    most = "least(ua, ub) + least(na - la, nb - lb)"  # of the overlap, where both have one pivot
-    only = lambda x, y: " + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in words)
-    bits = f"least(na - ({only('x', 'y')}), nb - ({only('y', 'x')}))"
-    met = left.join(right, ["key", "band"]).where(f"ca <> cb and (cb = main or a < b) and least(na, nb) * {den} >= greatest(na, nb) * {num} and coalesce(pa <> pb or ({most}) * {num + den} >= {num} * (na + nb), true) and coalesce({bits} * {num + den} >= {num} * (na + nb), true)")
-    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("na", "nb")).alias("n")).where(f"c >= {need('n')}")
-    links = links.union(overlaps(pairs, known, num, den).where("links").select("a", "b"))
-    named = components(links)
-    least = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    labelled = least.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = labelled.join(ids, "component").select("node", "component_id")
-    return base.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = kept(classes(docs, k, num, den))
+    least = rows.where("n > 0").groupBy("component").agg(F.min(F.nullif("doc", F.lit(NO_ID))).alias("least"))
+    doc = F.nullif("doc", F.lit(NO_ID))
+    return rows.join(least, "component", "left").select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(doc).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that are the first of their component (every one without shingles; of rows that share an
-    id, the least text), with all columns; rows without an id are kept."""
-    firsts = join(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.union(docs.where("doc_id is null"))
+    """One document of each component, with all columns: the least doc_id (null last), of its rows the least hash of
+    the text, of rows with one id and text any one. Texts without shingles all stay. See join() for the rest."""
+    rows = kept(classes(docs, k, num, den))
+    order = F.struct((F.col("doc") == NO_ID).alias("none"), "doc", "name")
+    firsts = rows.where("n > 0").groupBy("component").agg(F.min(order).alias("f")).select("f.doc", "f.name")
+    stay = kept(firsts.union(rows.where("n = 0").select("doc", "name")).groupBy("doc", "name").agg(F.count("*").alias("c")).select("doc", "name"))
+    twins = kept(rows.where("n > 0").groupBy("doc", "name").agg(F.count("*").alias("many")).where("many > 1").join(stay, ["doc", "name"], "left_semi").select("doc", "name"))
+    named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("name"))
+    left = named.join(stay, ["doc", "name"], "left_semi")
+    if not twins.isEmpty():
+        left = left.join(twins, ["doc", "name"], "left_anti").union(left.join(twins, ["doc", "name"], "left_semi").dropDuplicates(["doc", "name"]))
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -121,6 +121,32 @@ def test_jaccard_join_equals_all_pairs(spark):
     assert jaccard_join.join(frame(spark, ["a b c d e", "a b c d e"], [None, 7]), 4).where("doc_id is null").first().component_id == 7
 
 
+def test_jaccard_join_in_split_tiles(spark, monkeypatch):
+    """Groups of near copies around the threshold, under keys whose nodes are dealt over several tiles."""
+    monkeypatch.setattr(jaccard_join, "TILE", 7)
+    rng, texts = np.random.default_rng(8), []
+    common = prose(70, 30)
+    for seed in range(3):
+        words = prose(71 + seed, 90).split()
+        for i in range(40):
+            copy = words[: len(words) - int(rng.integers(0, 12))]
+            for j in rng.integers(0, len(copy), rng.integers(0, 6)):
+                copy[j] = f"w{rng.integers(30)}"
+            texts.append(" ".join(copy) + (" " + common if i % 3 == 0 else ""))
+    texts += [prose(80 + i, 60) + " " + common for i in range(20)] + [prose(1, 900) + f" {i} x {i}" for i in range(5)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame(spark, texts), 4, 85, 100).collect()}
+    assert got == brute_components(texts, 4, 85, 100)
+
+
+def test_keep_one(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (None, a, "n"), (5, "", "e"), (5, "", "e"), (6, None, "m"), (7, prose(3, 60), "t"), (7, prose(3, 60), "u"), (None, prose(4, 60), "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string").withColumn("row", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("component", F.lit(3))
+    left = sorted(r.name for r in jaccard_join.keep_one(docs).collect())
+    assert left in (["e", "e", "m", "t", "v", "x", "y"], ["e", "e", "m", "u", "v", "x", "y"])
+    assert jaccard_join.keep_one(docs.limit(0)).count() == 0 and jaccard_join.keep_one(docs).columns == docs.columns
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
