@@ -1,10 +1,10 @@
 """Jaccard similarity join on word shingles, exact, by size-banded tiles with bitmap signatures.
 
 Each document is the set of its distinct shingles (64-bit hashes); documents with one set are one node. In one order of
-all shingles (rare ones first) two sets that link share one at least of the first n - ceil(n * threshold) + 1 of each:
-the keys under which nodes can meet. Nodes of a key and of neighbouring size bands meet in a tile of bounded size. A
-pair's overlap is bounded from above by what both share with one hub and by the bit counts of two bitmap signatures;
-what passes is settled by intersecting the sorted sets.
+all shingles (rare ones first) two sets that link share c at least of the first n - ceil(n * threshold) + c of each
+(see shared_keys): the keys under which nodes can meet. Nodes of a key and of neighbouring size bands meet in a tile of
+bounded size. A pair's overlap is bounded from above by what both share with one hub and by the bit counts of two
+bitmap signatures; what passes under c keys is settled by intersecting the sorted sets.
 
 Nodes that links have joined need no further links among themselves. So a share of the keys first holds each node
 against the hubs of its keys, and then only keys that still hold several components go into tiles, where only pairs
@@ -27,6 +27,8 @@ from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept,
 NARROW, WIDE, LARGE = 512, 2048, 700
 #: Shingles counted at once; those in less than one document of OFTEN there count as rare.
 COUNTED, OFTEN = 1_500_000, 256
+#: Two sets must share one key, or one for each so many shingles of the smaller.
+EACH = 50
 #: One key in so many takes part in a hub round.
 PART = 8
 #: Nodes of a tile's side, and pairs compared at once.
@@ -54,6 +56,11 @@ def names(found: list[np.ndarray]) -> np.ndarray:
     return mix64(sums + sizes.astype(np.uint64)).astype(np.int64)
 
 
+def shared_keys(n: str, num: int, den: int) -> str:
+    """SQL for the keys that a set of n shingles shares with every set that it links with, if that isn't smaller."""
+    return f"least(greatest(1, {n} div {EACH}), ceil({n} * {num} / {den}))"
+
+
 def signature(s: np.ndarray) -> bytes:
     width = NARROW if len(s) < LARGE else WIDE
     bits = np.zeros(width, bool)
@@ -114,19 +121,22 @@ def filter_bits(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def with_keys(rows: DataFrame, k: int, num: int, den: int, order: Order, wanted: np.ndarray) -> DataFrame:
-    """node, n, sig and keys of the rows whose place the bitmap `wanted` may hold."""
+    """node, n, sig and keys of the rows whose place the bitmap `wanted` may hold, once for each task."""
     shared = rows.sparkSession.sparkContext.broadcast((order, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, bits = shared.value
+        seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch.filter(pa.array(in_bitmap(batch.column("place").to_numpy(), bits))), 2 << 20):
                 found = [s for s in sets(part, k) if len(s)]
-                if not found:
+                new = {i: s for i, s in zip(names(found).tolist(), found, strict=True) if i not in seen}
+                seen.update(new)
+                if not (found := list(new.values())):
                     continue
                 sizes = np.array([len(s) for s in found])
                 ranks = np.split(rank(np.concatenate(found)), np.cumsum(sizes)[:-1])
-                most = (sizes - -(-sizes * num // den) + 1).tolist()
+                most = np.minimum(sizes, sizes - -(-sizes * num // den) + np.maximum(1, sizes // EACH)).tolist()
                 keys = [s[np.argpartition(r, p - 1)[:p]] if p < len(s) else s for s, r, p in zip(found, ranks, most, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)), pa.array(np.concatenate(keys).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(names(found)), pa.array(sizes), pa.array([signature(s) for s in found], pa.binary()), lists], ["node", "n", "sig", "keys"])
@@ -190,8 +200,9 @@ def keyed(nodes: DataFrame, met: np.ndarray) -> DataFrame:
 
 
 def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs in tiles that may link. members: key, blocks (over which the key's nodes are dealt), main
-    (component), node, n, sig, component, pivot and o (what the node shares with its pivot)."""
+    """(a, b) of the pairs that may link, by their bounds in tiles and by the keys that they share. members: key, blocks
+    (over which the key's nodes are dealt), main (component), node, n, sig, component, pivot and o (what the node
+    shares with its pivot)."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
     # a node is at home in its band (bit 1: the tile's first side, 2: its second) and a visitor (4) in the next
     spots = """concat(transform(sequence(0L, blocks - 1), j -> struct(band as band, x as i, j as j, if(j = x, 3, 1) as role)),
@@ -254,11 +265,11 @@ def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
                         up = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
                         open_ = up * (num + den) >= least[at : at + (1 << 16)]
                         if open_.any():
-                            i, j = node[i[open_]], node[j[open_]]
-                            both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
-                            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                            i, j = i[open_], j[open_]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(n[i], n[j]))], ["a", "b", "n"])
 
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
+    pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, n long")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("a", "b")
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 2, tries_each: int = 3) -> DataFrame:
@@ -270,36 +281,34 @@ def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 2, tr
     often = every.where("node is null").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("times"))
     heavy = often.where(F.col("times") >= max(3, base.count() // 2000)).toPandas()  # at most 2,000 times the mean size of a set
     order = Order(heavy["often"].to_numpy(np.int64).astype(np.uint64), heavy["times"].to_numpy(float))
-    nodes = kept(with_keys(rows, k, num, den, order, filter_bits(first, "place")).dropDuplicates(["node"]))
+    nodes = kept(with_keys(rows, k, num, den, order, filter_bits(first, "place")))
     links = first.limit(0).selectExpr("node as a", "node as b")
-    named = None
-    near = []
-
-    def labelled() -> DataFrame:
-        if named is None:
-            return nodes.withColumn("component", F.col("node"))
-        return nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    near, named = [], links.toDF("node", "component")
 
     for turn in range(hub_rounds):
-        some = labelled().select("node", "n", "component", F.size("keys").alias("all"), F.explode(F.filter("keys", lambda x: F.pmod(x, F.lit(PART)) == turn)).alias("key"))
+        some = nodes.select("node", "n", F.filter("keys", lambda x: F.pmod(x, F.lit(PART)) == turn).alias("some")).join(named, "node", "left")
+        some = some.select("node", "n", F.coalesce("component", "node").alias("component"), F.size("some").alias("all"), F.explode("some").alias("key"))
         apart = kept(some.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
         found = kept(some.join(apart, "key"))
         share = found.groupBy("node").agg((F.count("*") / F.first("all")).alias("share"))
+        # the first hubs have the largest share of shared keys, as originals have among their edited copies; later ones any
         by = F.struct(F.col("share") if turn == 0 else F.lit(0.0), F.xxhash64("node", F.lit(turn)), "node", "n", "component")
         hubs = kept(found.join(share, "node").groupBy("key").agg(F.max(by).alias("h")).selectExpr("key", "h.node as hub", "h.n as hub_n", "h.component as main"))
-        tries = found.join(hubs, "key").where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub").count()
+        tries = found.join(hubs, "key").where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub").agg(F.count("*").alias("count"), F.first("all").alias("all")).where("4 * count >= all")
         best = tries.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "hub")), False), 1, tries_each).alias("h"))
         got = overlaps(best.select(F.col("node").alias("a"), F.explode("h.hub").alias("b")), rows, first, k, num, den)
         near.append(got.select("a", "b", "o"))
         links = links.union(got.where("links").select("a", "b"))
-        named = components(links)
-    hub = near[0].select(F.col("b").alias("node")).distinct().join(nodes, "node").selectExpr("node", "node as pivot", "n as o")
+        named = kept(components(links))
+    hub = near[0].select(F.col("b").alias("node")).distinct().join(nodes.select("node", "n"), "node").selectExpr("node", "node as pivot", "n as o")
     pivots = near[0].selectExpr("a as node", "b as pivot", "o").union(hub).groupBy("node").agg(F.max(F.struct("o", "pivot")).alias("p")).selectExpr("node", "p.pivot", "p.o")
     sizes = named.groupBy("component").agg(F.count("*").alias("size"))
-    known = kept(labelled().join(pivots, "node", "left").join(sizes, "component", "left").selectExpr("node", "n", "component", "coalesce(size, 1) as size", "coalesce(pivot, node) as pivot", "coalesce(o, n) as o", "sig", "keys"))
+    labels = kept(named.join(sizes, "component").join(pivots, "node", "full_outer"))
+    known = kept(nodes.select("node", "n", "keys").join(labels, "node", "left").selectExpr("node", "n", "coalesce(component, node) as component", "coalesce(size, 1) as size", "coalesce(pivot, node) as pivot", "coalesce(o, n) as o", "keys"))
     mixed = kept(known.select("component", "size", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("many")).where("lo < hi").selectExpr("key", "m.component as main", f"(many + {TILE - 1}) div {TILE} as blocks"))
-    members = keyed(known.drop("size"), filter_bits(mixed, "key")).join(mixed, "key")
-    last = overlaps(tiles(members, num, den), rows, first, k, num, den)
+    members = kept(keyed(known.drop("size"), filter_bits(mixed, "key")).join(mixed, "key"))
+    enough = members.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("node").join(nodes.select("node", "sig"), "node").dropDuplicates(["node"])
+    last = overlaps(tiles(members.join(enough, "node"), num, den), rows, first, k, num, den)
     named = components(links.union(last.where("links").select("a", "b")))
     return base.join(named, "node", "left").select("doc", "name", "n", F.coalesce("component", "node").alias("component"))
 

@@ -157,7 +157,7 @@ def found_spans(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     recur = bitmap(recurring, "key", bits)
     place = F.struct("doc", "name", "pos")
     groups = kept(places(rows, least, recur, True).groupBy("around").agg(F.min(place).alias("f"), F.count("*").alias("n"), F.first("key").alias("key"), F.first("lo").alias("lo"), F.first("windows").alias("windows")))
-    several = groups.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    several = kept(groups.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"))
     apart = groups.join(several, "key", "left_semi").select("around", "n", "f.*", "lo", F.posexplode("windows").alias("i", "w"))
     matched = neighbours(apart.selectExpr("around", "lo + i as l", "w", "n", "doc", "name", "pos"))
     copies = groups.where("n > 1").select("around", F.explode(F.array(F.col("lo"), F.expr("lo + size(windows) - 1"))).alias("l"), F.lit(False).alias("later"))
