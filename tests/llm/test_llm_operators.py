@@ -320,26 +320,51 @@ def test_lm_scores(spark):
     assert rows[0].score > rows[31].score * len(words[0]) / len(words[31]) and lm_scoring.score(frame(spark, []), (7, 2)).count() == 0
 
 
-def test_lm_topics_come_from_all_texts(spark):
+def test_lm_scores_do_not_depend_on_layout(spark):
     rng = np.random.default_rng(5)
     early, late = ([f"{c}{i}" for i in range(40)] for c in "ab")
-    texts = [" ".join(rng.choice(late if i >= 600 else early, 12)) for i in range(660)]
+    texts = [" ".join(rng.choice(late if i >= 600 else early, 12)) + f" rare{i}" for i in range(660)]
     up = frame(spark, texts).coalesce(1)
     down = frame(spark, texts[::-1], [*range(660)][::-1]).repartition(3)
-    got = [{r.doc_id: r.score for r in lm_scoring.score(x, (7, 2)).collect()} for x in (up, down)]
-    assert got[0] == pytest.approx(got[1], rel=1e-4)
-    words = [w.encode() for w in sorted({w for t in texts for w in t.split()})]
-    topics = lm_scoring.clustered(up.selectExpr("cast(text as binary) text"), words)
-    a, b = ([int(topics.before([[w.encode()] * 3])[-1]) for w in some] for some in (early, late))
-    assert set(a).isdisjoint(b) and np.array_equal(topics.table, lm_scoring.clustered(down.selectExpr("cast(text as binary) text"), words).table)
+    got = [{r.doc_id: r for r in lm_scoring.score(x, (7, 2), 70).collect()} for x in (up, down)]
+    assert {i: r.score for i, r in got[0].items()} == pytest.approx({i: r.score for i, r in got[1].items()}, rel=0.02)
+    held = [r for r in got[0].values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # the topic tells the two kinds apart
+    assert all(r.bits_per_byte == pytest.approx(-r.score * np.log2(10) / (len(texts[r.doc_id]) + 2)) for r in got[0].values())
 
 
-def test_lm_is_a_distribution():
+def test_lm_of_odd_rows(spark):
+    texts = [prose(1, 50), None, "", " ", "x" * 5000, prose(2, 6000), prose(1, 50)]
+    rows = lm_scoring.score(frame(spark, texts, [None, 1, 2, 3, 4, 5, 5]), (7, 2)).collect()
+    assert len(rows) == 7 and all(np.isfinite(r.score) and r.score < 0 for r in rows)
+    assert [r.held_out for r in rows if r.doc_id is None] == [False] and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
+    none = lm_scoring.score(frame(spark, ["a b", None], [None, None]), (7, 2)).collect()
+    assert {r.train_tokens for r in none} == {0} and all(r.n_known == 0 and r.score < 0 for r in none)
+
+
+def test_lm_is_a_distribution(monkeypatch):
     rng = np.random.default_rng(0)
-    tables = [np.zeros(max(lm_scoring.PACK, 1 << b), np.uint8) for b in lm_scoring.BITS]
-    model = lm_scoring.Model([t + rng.integers(0, 9, len(t)).astype(np.uint8) for t in tables], [t + 9 for t in tables], rng.normal(0, 0.3, (lm_scoring.GATES, lm_scoring.INPUTS)).astype(np.float32), rng.random((256, lm_scoring.STEPS)))
-    context = np.uint64(0x61626300) | np.arange(256, dtype=np.uint64)
-    assert (10.0 ** model.log_probability(context)).sum() == pytest.approx(1, rel=1e-6)
+    monkeypatch.setattr(lm_scoring, "PLACE", 4)
+    got = 10 ** lm_scoring.common_scores(rng.integers(0, 50, (lm_scoring.TOPICS, 17)).astype(float))
+    assert got.sum(1) == pytest.approx(np.ones(lm_scoring.TOPICS), rel=1e-9)
+    words = [b"abcdefg" + bytes([c]) for c in range(256)]
+    n = rng.integers(0, 5, 256).astype(float)
+    s = lm_scoring.Spelling(words)
+    import pandas as pd
+
+    key = np.concatenate([np.uint64(o << 24) | s.context[o] << np.uint64(8) | s.byte for o in range(lm_scoring.ORDERS)])
+    tables = lm_scoring.slot_tables(pd.DataFrame({"g": key.astype(np.int64), "n": np.tile(n[s.word], lm_scoring.ORDERS)}).groupby("g", as_index=False).sum())
+    mixer = lm_scoring.spelling_mixer()
+    mixer.weights += rng.normal(0, 0.2, mixer.weights.shape)
+    p = np.ones(len(s.byte))
+    for x, gate, row, one in lm_scoring.predicted(s, n, tables, False):
+        q = mixer.probability(x, gate, row)
+        p *= np.where(one > 0, q, 1 - q)
+    assert p[s.into == 7].sum() == pytest.approx(1, rel=1e-9)
+    # the counts after the whole beginning, by hand: bits of the last byte among all words
+    x = next(lm_scoring.predicted(s, n, tables, False))[0]
+    high = n[128:].sum()
+    assert x[s.into == 7, lm_scoring.ORDERS] == pytest.approx(np.full(256, lm_scoring.log_odds(high, n.sum())))
 
 
 def test_pipeline_stages(spark, tmp_path):
