@@ -29,8 +29,8 @@ NARROW, WIDE, LARGE = 512, 2048, 700
 COUNTED, OFTEN = 1_500_000, 256
 #: Two sets must share one key, or one for each so many shingles of the smaller.
 EACH = 50
-#: One key in so many takes part in a hub round.
-PART = 8
+#: Keys of a node that take part in a hub round: so many or up to twice as many, drawn by hash.
+DRAWN = 16
 #: Nodes of a tile's side, and pairs compared at once.
 TILE, PAIRS = 4096, 1 << 20
 NO_ID = -(1 << 63)
@@ -199,10 +199,10 @@ def keyed(nodes: DataFrame, met: np.ndarray) -> DataFrame:
     return nodes.mapInArrow(run, "key long, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes if c != "keys"))
 
 
-def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+def tiles(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     """(a, b) of the pairs that may link, by their bounds in tiles and by the keys that they share. members: key, blocks
     (over which the key's nodes are dealt), main (component), node, n, sig, component, pivot and o (what the node
-    shares with its pivot)."""
+    shares with its pivot). best: only the partner of the greatest bound for each node of a tile, whatever they share."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
     # a node is at home in its band (bit 1: the tile's first side, 2: its second) and a visitor (4) in the next
     spots = """concat(transform(sequence(0L, blocks - 1), j -> struct(band as band, x as i, j as j, if(j = x, 3, 1) as role)),
@@ -265,10 +265,16 @@ def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
                         up = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
                         open_ = up * (num + den) >= least[at : at + (1 << 16)]
                         if open_.any():
-                            i, j = i[open_], j[open_]
+                            i, j, up = i[open_], j[open_], up[open_]
+                            if best:
+                                turn_ = np.lexsort((-up, i))
+                                one = turn_[np.unique(i[turn_], return_index=True)[1]]
+                                i, j = i[one], j[one]
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(n[i], n[j]))], ["a", "b", "n"])
 
     pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, n long")
+    if best:
+        return pairs.select("a", "b").distinct()
     return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("a", "b")
 
 
@@ -286,7 +292,9 @@ def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 2, tr
     near, named = [], links.toDF("node", "component")
 
     for turn in range(hub_rounds):
-        some = nodes.select("node", "n", F.filter("keys", lambda x: F.pmod(x, F.lit(PART)) == turn).alias("some")).join(named, "node", "left")
+        # every 2**i-th key; what a node with more keys draws, one with fewer keys draws too
+        each = F.expr(f"shiftleft(1L, cast(log2(greatest(size(keys) div {DRAWN}, 1)) as int))")
+        some = nodes.select("node", "n", F.filter("keys", lambda x: F.pmod(F.shiftright(x, 16 * turn), each) == 0).alias("some")).join(named, "node", "left")
         some = some.select("node", "n", F.coalesce("component", "node").alias("component"), F.size("some").alias("all"), F.explode("some").alias("key"))
         apart = kept(some.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
         found = kept(some.join(apart, "key"))
@@ -294,7 +302,7 @@ def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 2, tr
         # the first hubs have the largest share of shared keys, as originals have among their edited copies; later ones any
         by = F.struct(F.col("share") if turn == 0 else F.lit(0.0), F.xxhash64("node", F.lit(turn)), "node", "n", "component")
         hubs = kept(found.join(share, "node").groupBy("key").agg(F.max(by).alias("h")).selectExpr("key", "h.node as hub", "h.n as hub_n", "h.component as main"))
-        tries = found.join(hubs, "key").where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub").agg(F.count("*").alias("count"), F.first("all").alias("all")).where("4 * count >= all")
+        tries = found.join(hubs, "key").where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub").agg(F.count("*").alias("count"), F.first("all").alias("all")).where("count >= 2 or all < 4")
         best = tries.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "hub")), False), 1, tries_each).alias("h"))
         got = overlaps(best.select(F.col("node").alias("a"), F.explode("h.hub").alias("b")), rows, first, k, num, den)
         near.append(got.select("a", "b", "o"))
@@ -305,11 +313,24 @@ def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 2, tr
     sizes = named.groupBy("component").agg(F.count("*").alias("size"))
     labels = kept(named.join(sizes, "component").join(pivots, "node", "full_outer"))
     known = kept(nodes.select("node", "n", "keys").join(labels, "node", "left").selectExpr("node", "n", "coalesce(component, node) as component", "coalesce(size, 1) as size", "coalesce(pivot, node) as pivot", "coalesce(o, n) as o", "keys"))
-    mixed = kept(known.select("component", "size", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("many")).where("lo < hi").selectExpr("key", "m.component as main", f"(many + {TILE - 1}) div {TILE} as blocks"))
-    members = kept(keyed(known.drop("size"), filter_bits(mixed, "key")).join(mixed, "key"))
-    enough = members.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("node").join(nodes.select("node", "sig"), "node").dropDuplicates(["node"])
-    last = overlaps(tiles(members.join(enough, "node"), num, den), rows, first, k, num, den)
-    named = components(links.union(last.where("links").select("a", "b")))
+
+    def mixed(keys: DataFrame) -> DataFrame:
+        """Keys of several components, with the largest one and the blocks that the key's nodes are dealt over."""
+        every = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("many"))
+        return kept(every.where("lo < hi").selectExpr("key", "m.component as main", f"(many + {TILE - 1}) div {TILE} as blocks"))
+
+    apart = mixed(known.select("component", "size", F.explode("keys").alias("key")))
+    members = kept(keyed(known, filter_bits(apart, "key")).join(apart, "key"))
+    for best in (True, False):  # each node's likeliest partners first; of what they leave apart, every pair
+        enough = members.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("node").join(nodes.select("node", "sig"), "node").dropDuplicates(["node"])
+        got = overlaps(tiles(members.join(enough, "node"), num, den, best), rows, first, k, num, den)
+        links = links.union(got.where("links").select("a", "b"))
+        named = kept(components(links))
+        if best:
+            sizes = named.groupBy("component").agg(F.count("*").alias("size"))
+            now = members.drop("component", "size", "main", "blocks").join(named.join(sizes, "component"), "node", "left").withColumns({"component": F.coalesce("component", "node"), "size": F.coalesce("size", F.lit(1))})
+            now = kept(now)
+            members = kept(now.join(mixed(now), "key"))
     return base.join(named, "node", "left").select("doc", "name", "n", F.coalesce("component", "node").alias("component"))
 
 
