@@ -17,6 +17,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,7 +27,7 @@ from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept,
 #: Bits of the signatures of sets below and from LARGE shingles.
 NARROW, WIDE, LARGE = 512, 2048, 700
 #: Shingles counted at once; those in less than one document of OFTEN there count as rare.
-COUNTED, OFTEN = 1_500_000, 256
+COUNTED, OFTEN = 1_500_000, 1024
 #: Two sets must share one key, or one for each so many shingles of the smaller.
 EACH = 50
 #: Keys of a node that take part in a hub round: so many or up to twice as many, drawn by hash.
@@ -285,8 +286,8 @@ def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 2, tr
     base = every.where("node is not null").select("doc", "name", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
     first = kept(base.where("n > 0").groupBy("node").agg(F.min(F.xxhash64("doc", "name")).alias("place")))
     often = every.where("node is null").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("times"))
-    heavy = often.where(F.col("times") >= max(3, base.count() // 2000)).toPandas()  # at most 2,000 times the mean size of a set
-    order = Order(heavy["often"].to_numpy(np.int64).astype(np.uint64), heavy["times"].to_numpy(float))
+    heavy = often.where(F.col("times") >= max(3, base.count() // 2000)).toArrow()  # at most 2,000 times the mean size of a set
+    order = Order(heavy["often"].to_numpy().astype(np.uint64), heavy["times"].to_numpy().astype(float))
     nodes = kept(with_keys(rows, k, num, den, order, filter_bits(first, "place")))
     links = first.limit(0).selectExpr("node as a", "node as b")
     near, named = [], links.toDF("node", "component")
@@ -355,10 +356,19 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     rows = kept(classes(docs, k, num, den))
     order = F.struct((F.col("doc") == NO_ID).alias("none"), "doc", "name")
     firsts = rows.where("n > 0").groupBy("component").agg(F.min(order).alias("f")).select("f.doc", "f.name")
-    stay = kept(firsts.union(rows.where("n = 0").select("doc", "name")).groupBy("doc", "name").agg(F.count("*").alias("c")).select("doc", "name"))
+    stay = kept(firsts.union(rows.where("n = 0").select("doc", "name")).distinct())
+    gone = kept(rows.select("doc", "name").distinct().join(stay, ["doc", "name"], "left_anti").select(F.xxhash64("doc", "name").alias("place")))
     twins = kept(rows.where("n > 0").groupBy("doc", "name").agg(F.count("*").alias("many")).where("many > 1").join(stay, ["doc", "name"], "left_semi").select("doc", "name"))
     named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("name"))
-    left = named.join(stay, ["doc", "name"], "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(gone.union(twins.select(F.xxhash64("doc", "name"))), "place"))
+
+    def touched(places: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(places.to_numpy(), bits.value))
+
+    # most rows stay for certain and cross no shuffle
+    told = named.withColumn("maybe", F.pandas_udf(touched, "boolean")(F.xxhash64("doc", "name")))
+    some = told.where("maybe").join(stay, ["doc", "name"], "left_semi").select("row", "doc", "name")
     if not twins.isEmpty():
-        left = left.join(twins, ["doc", "name"], "left_anti").union(left.join(twins, ["doc", "name"], "left_semi").dropDuplicates(["doc", "name"]))
+        some = some.join(twins, ["doc", "name"], "left_anti").union(some.join(twins, ["doc", "name"], "left_semi").dropDuplicates(["doc", "name"]))
+    left = told.where("not maybe").select("row").union(some.select("row"))
     return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
