@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -350,10 +351,8 @@ def test_lm_is_a_distribution(monkeypatch):
     words = [b"abcdefg" + bytes([c]) for c in range(256)]
     n = rng.integers(0, 5, 256).astype(float)
     s = lm_scoring.Spelling(words)
-    import pandas as pd
-
     key = np.concatenate([np.uint64(o << 24) | s.context[o] << np.uint64(8) | s.byte for o in range(lm_scoring.ORDERS)])
-    tables = lm_scoring.slot_tables(pd.DataFrame({"g": key.astype(np.int64), "n": np.tile(n[s.word], lm_scoring.ORDERS)}).groupby("g", as_index=False).sum())
+    tables = lm_scoring.slot_tables(pa.table({"g": key.astype(np.int64), "n": np.tile(n[s.word], lm_scoring.ORDERS)}))
     mixer = lm_scoring.spelling_mixer()
     mixer.weights += rng.normal(0, 0.2, mixer.weights.shape)
     p = np.ones(len(s.byte))
