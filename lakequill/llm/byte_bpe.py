@@ -83,7 +83,7 @@ class ByteBpe:
     or with runs of it, are one unit each.
     """
 
-    def __init__(self, path: str, pattern: str, room: int = 250_000):
+    def __init__(self, path: str, pattern: str, room: int = 200_000):
         import duckdb
         import regex
 

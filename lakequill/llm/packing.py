@@ -37,7 +37,7 @@ class WordEncoder:
     MARK = "\u00a4"
     ODD = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
