@@ -77,7 +77,8 @@ def slug(c: Column) -> Column:
 def public_url(url: Column) -> Column:
     """http(s) URLs whose host is no local name and no private, loopback, link-local or reserved IPv4 address."""
     host = F.lower(F.regexp_extract(url, r"^(?i)https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", 1))
-    private = r"^(?:0|10|127|2(?:2[4-9]|[345]\d))\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\."
+    # fixed values: the ranges that the address registries keep for private, local, test and later use
+    private = r"^(?:0|10|127|2(?:2[4-9]|[345]\d))\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^192\.0\.2\.|^192\.0\.0\.(?!9$|10$)|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
     dotted = host.rlike(r"^\d+\.\d+\.\d+\.\d+$")
     six = host.startswith("[")
     bad6 = host.rlike(r"^\[(?:::|::1|f[cd][0-9a-f:]*|fe[89ab][0-9a-f:]*|ff[0-9a-f:]*|::ffff:.*)\]$")

@@ -19,41 +19,44 @@ def top(hits: DataFrame, k: int, *order: Column | str, by: str = "query_id") ->
 
 
 def unit(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """id and v: the vector at length 1; null and zero vectors are left out."""
+    """id and v: the vector at length 1; zero vectors and those that are null or hold null or non-finite numbers are left out."""
     v = F.col(vector).cast("array<double>")
     size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return df.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), v.alias("v"), size.alias("size")).where("size > 0").select("id", F.transform("v", lambda x: x / F.col("size")).alias("v"))
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.col(vector).isNotNull() & whole).select(F.col(id_column).alias("id"), v.alias("v"), size.alias("size")).where("size > 0").select("id", F.transform("v", lambda x: x / F.col("size")).alias("v"))
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.0, shards: int = 16, chunk: int = 1024) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.0, shard: int = 16_384, chunk: int = 1024) -> DataFrame:
     """query_id, chunk_id, rank, score: the k nearest by cosine (cut to 0..1), ties to the lesser id.
 
     queries and corpus: id, embedding. The corpus is dealt into shards; chunks of queries visit each shard, are
-    multiplied as matrices there and leave k rows a query. Neither side is broadcast or collected.
+    multiplied as matrices there and leave k rows a query. Neither side is broadcast or collected; the number of shards
+    and chunks follows the rows. A query meets vectors of its own length only.
     """
+    shards, chunks = (max(1, -(-df.count() // size)) for df, size in ((corpus, shard), (queries, chunk)))
     group = lambda df, n: df.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
     def pack(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[int, list] = {}
+            held: dict[tuple[int, int], list] = {}
             for pdf in batches:
                 for g, i, v in zip(pdf["g"], pdf["id"], pdf["v"], strict=True):
-                    rows = held.setdefault(g, [])
+                    rows = held.setdefault(key := (g, len(v)), [])
                     rows.append((i, v))
                     if len(rows) == size:
-                        yield blob(g, held.pop(g))
-            for g, rows in held.items():
-                yield blob(g, rows)
+                        yield blob(*key, held.pop(key))
+            for key, rows in held.items():
+                yield blob(*key, rows)
 
-        def blob(g: int, rows: list) -> pd.DataFrame:
-            return pd.DataFrame({"g": [g], "ids": [np.array([i for i, _ in rows], np.int64).tobytes()], "vectors": [np.concatenate([v for _, v in rows]).tobytes()]})
+        def blob(g: int, dim: int, rows: list) -> pd.DataFrame:
+            return pd.DataFrame({"g": [g], "dim": [dim], "ids": [np.array([i for i, _ in rows], np.int64).tobytes()], "vectors": [np.concatenate([v for _, v in rows]).tobytes()]})
 
         return run
 
-    packed = "g int, ids binary, vectors binary"
-    docs = group(unit(corpus, "id", "embedding"), shards).repartition("g").mapInPandas(pack(16 * chunk), packed)
-    asks = group(unit(queries, "id", "embedding"), max(1, shards // 4)).repartition("g").mapInPandas(pack(chunk), packed)
-    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("g"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    packed = "g int, dim int, ids binary, vectors binary"
+    docs = group(unit(corpus, "id", "embedding"), shards).repartition("g").mapInPandas(pack(shard), packed)
+    asks = group(unit(queries, "id", "embedding"), chunks).repartition("g").mapInPandas(pack(chunk), packed)
+    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("g"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -63,7 +66,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float =
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "chunk_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
-    hits = asks.join(docs, "g").select("q_ids", "q_vectors", "ids", "vectors").mapInPandas(match, "query_id long, chunk_id long, score double")
+    hits = asks.join(docs, ["g", "dim"]).select("q_ids", "q_vectors", "ids", "vectors").mapInPandas(match, "query_id long, chunk_id long, score double")
     best = top(hits, k, F.desc("score"), "chunk_id")
     return best.where(F.col("score") >= threshold) if threshold > 0 else best
 

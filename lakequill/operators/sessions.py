@@ -61,6 +61,26 @@ def export(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", title.alias("title"), F.size("m").alias("messages"), F.to_json("m").alias("json"))
 
 
-def apply_changes(messages: DataFrame, changes: DataFrame) -> DataFrame:
-    """Messages after changes (conv_id, op): conversations with op `delete` go."""
-    return messages.join(changes.where("op = 'delete'").select("conv_id"), "conv_id", "left_anti")
+def apply_changes(titles: DataFrame, messages: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Titles (conv_id, title) and messages after changes (conv_id, at, op, title, role, text), all of one batch.
+
+    In the order of `at`, the last of create, rename (to the first 50 characters of the trimmed title) and delete decides
+    what a conversation is: a deleted one goes with its messages, a created one is there without any but those appended
+    later, and a rename of one that isn't there does nothing, as appending to one does. An append comes after
+    the messages there, in the order of `at`. Other ops are an error.
+    """
+    known = F.col("op").isin("create", "rename", "delete", "append")
+    checked = changes.withColumn("op", F.when(known, F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("op", F.lit("null"))))))
+    last = lambda *ops: F.max(F.when(F.col("op").isin(*ops), F.col("at")))
+    named = F.max_by(F.when(F.col("op").isin("create", "rename"), F.substring(F.trim("title"), 1, 50)), F.when(F.col("op").isin("create", "rename"), F.col("at")))
+    latest = checked.groupBy("conv_id").agg(last("delete").alias("gone"), last("create").alias("made"), last("create", "rename").alias("named_at"), named.alias("new"))
+    both = titles.withColumn("there", F.lit(True)).join(latest, "conv_id", "full_outer")
+    stays = F.when(F.col("gone").isNotNull(), F.coalesce(F.col("made") > F.col("gone"), F.lit(False))).otherwise(F.col("there").isNotNull() | F.col("made").isNotNull())
+    left = both.where(stays)
+    since = F.greatest("gone", "made")
+    now = left.select("conv_id", F.when(F.col("named_at") > F.coalesce("gone", F.lit(-1)), F.col("new")).otherwise(F.col("title")).alias("title"))
+    old = messages.join(left.where("gone is null").select("conv_id"), "conv_id", "left_semi")
+    added = checked.where("op = 'append'").join(left.select("conv_id", F.when(F.col("gone").isNotNull() | F.col("there").isNull(), since).alias("since")), "conv_id").where("since is null or at > since")
+    turns = old.groupBy("conv_id").agg(F.max("turn").alias("most"))
+    turn = F.coalesce("most", F.lit(-1)) + F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))
+    return now, old.unionByName(added.join(turns, "conv_id", "left").select("conv_id", turn.cast("long").alias("turn"), "role", "text"))

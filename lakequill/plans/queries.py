@@ -329,11 +329,14 @@ def r7_down_weight(spark: SparkSession, d: str) -> DataFrame:
 RERANK = RRF + r""",
 pool AS (SELECT r.query_id, r.chunk_id, r.rank AS before, r.score AS old, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')) AS q, regexp_extract_all(lower(c.content), '[\p{L}\p{N}]+') AS t, count(*) OVER (PARTITION BY r.query_id) AS m FROM ranked r JOIN benchmark b ON b.item_id = r.query_id JOIN chunks c USING (chunk_id) WHERE r.rank <= 8),
 re AS (SELECT query_id, chunk_id, before, CASE WHEN m > 1 THEN round(coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0), 6) ELSE old END AS score FROM pool),
-reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS rank FROM re) WHERE rank <= 3)"""
+again AS (SELECT r.query_id, r.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS before, round(CASE WHEN contains(c.file_path, 'syntheses') THEN score * 0.5 ELSE score END, 6) AS score FROM re r JOIN chunks c USING (chunk_id)),
+reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS rank FROM again) WHERE rank <= 3)"""
 
 
 def reranked(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.rerank(weighted(spark, d), queries(spark, d), chunks(spark, d), 8, 3)
+    """Candidates scored anew, syntheses weighed down once more, the best three."""
+    anew = retrieval.rerank(weighted(spark, d), queries(spark, d), chunks(spark, d), 8, 8)
+    return retrieval.down_weight(anew.join(chunks(spark, d).select("chunk_id", "file_path"), "chunk_id"), 0.5, 3).select("query_id", "chunk_id", "rank", "score")
 
 
 @query(f"WITH {RERANK} SELECT query_id, chunk_id, rank::INTEGER AS rank, score FROM reranked")
@@ -503,10 +506,21 @@ def k5_trimmed_history(spark: SparkSession, d: str) -> DataFrame:
     return sessions.trimmed(table(spark, d, "conversations"), 4, 300)
 
 
-@query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 5 <> 0")
+@query("""WITH t AS (SELECT conv_id, substr(trim(coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), '')), 1, 50) AS title FROM conversations GROUP BY conv_id),
+    l AS (SELECT conv_id, CASE WHEN conv_id % 5 = 1 THEN 'renamed ' || conv_id ELSE title END AS title FROM t WHERE conv_id % 5 <> 0 UNION ALL SELECT conv_id + 1000000, 'new ' || conv_id FROM t WHERE conv_id % 7 = 0),
+    m AS (SELECT conv_id, turn, text FROM conversations WHERE conv_id % 5 <> 0 UNION ALL SELECT conv_id, max(turn) + 1, 'note' FROM conversations WHERE conv_id % 5 = 2 GROUP BY conv_id UNION ALL SELECT DISTINCT conv_id + 1000000, 0, 'first' FROM conversations WHERE conv_id % 7 = 0)
+    SELECT conv_id, title, count(turn)::BIGINT AS messages, max(turn)::BIGINT AS last_turn, arg_max(text, turn) AS last_text FROM l LEFT JOIN m USING (conv_id) GROUP BY ALL""")
 def k6_session_changes(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    return sessions.apply_changes(c, c.where("conv_id % 5 = 0").select("conv_id", F.lit("delete").alias("op")).distinct())
+    titles = sessions.export(c).select("conv_id", "title")
+    at = lambda where, shift, at, op, title, text: titles.where(where).select((F.col("conv_id") + shift).alias("conv_id"), F.lit(at).cast("long").alias("at"), F.lit(op).alias("op"), title.alias("title"), F.lit("user").alias("role"), F.lit(text).alias("text"))
+    none, label = F.lit(None).cast("string"), lambda x: F.concat(F.lit(x + " "), F.col("conv_id").cast("string"))
+    changes = [at("conv_id % 5 = 0", 0, 1, "delete", none, None), at("conv_id % 5 = 0", 0, 2, "append", none, "lost"), at("conv_id % 5 = 1", 0, 3, "rename", label("renamed"), None), at("conv_id % 5 = 2", 0, 4, "append", none, "note"), at("conv_id % 7 = 0", 1_000_000, 5, "create", label("new"), None), at("conv_id % 7 = 0", 1_000_000, 6, "append", none, "first")]
+    every = changes[0]
+    for one in changes[1:]:
+        every = every.unionByName(one)
+    now, messages = sessions.apply_changes(titles, c, every)
+    return now.join(messages, "conv_id", "left").groupBy("conv_id", "title").agg(F.count("turn").alias("messages"), F.max("turn").alias("last_turn"), F.max_by("text", "turn").alias("last_text"))
 
 
 FILES = """f AS (SELECT '/v/' || doc_id AS path, 1000 AS mtime, length(text) AS size, md5(text) AS hash FROM documents WHERE doc_id % 11 <> 0),

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
@@ -170,3 +171,36 @@ def test_stream_ingest_goes_on(spark, tmp_path):
             rows(3, 5)
         source = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
         assert events.ingest(source, lambda d: d.select("doc_id"), str(tmp_path / "out")).count() == n
+
+
+def test_reserved_addresses(spark):
+    bad = ["http://198.18.0.1/", "http://198.19.9.9", "http://192.0.2.5/x", "http://203.0.113.9", "http://192.0.0.1", "http://198.51.100.7"]
+    good = ["http://198.20.0.1/", "http://192.0.3.5/x", "http://192.0.0.9", "http://198.51.101.7"]
+    assert not any(one(spark, u, T.public_url) for u in bad) and all(one(spark, u, T.public_url) for u in good)
+
+
+def test_quotes_of_pages():
+    text = lambda page: html.convert(f"<body>{page}</body>")[1]
+    assert text("<blockquote><p>a</p><p>b<br>c</p></blockquote><p>d</p>") == "> a\n>\n> b\n> c\n\nd\n"
+    assert text("<blockquote>x<blockquote>y</blockquote>z</blockquote><blockquote>w</blockquote>") == "> x\n>\n> > y\n>\n> z\n\n> w\n"
+    assert text("<blockquote>" * 60 + "deep" + "</blockquote>" * 60) == "> " * 60 + "deep\n"
+    assert text("<blockquote> </blockquote>") == "" and text("<blockquote><pre>a\n\n b</pre></blockquote>") == "> ```\n> a\n>\n>  b\n> ```\n"
+
+
+def test_dense_search_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0, 0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, None), (7, [0.0, 0.0]), (8, [1.0, float("inf")])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    hits = retrieval.dense_topk(v, v, 5).collect()
+    assert sorted((r.query_id, r.chunk_id, r.rank, r.score) for r in hits) == [(1, 1, 1, 1.0), (1, 2, 2, 0.6), (2, 1, 2, 0.6), (2, 2, 1, 1.0), (3, 3, 1, 1.0)]
+
+
+def test_session_changes(spark):
+    titles = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "conv_id long, title string")
+    messages = spark.createDataFrame([(1, 0, "user", "x"), (2, 0, "user", "y"), (3, 0, "user", "z")], "conv_id long, turn long, role string, text string")
+    rows = [(1, 1, "append", None, "user", "m"), (1, 2, "append", None, "assistant", "n"), (1, 3, "rename", " new " + "q" * 60, None, None), (2, 4, "delete", None, None, None), (2, 5, "append", None, "user", "lost"), (3, 6, "delete", None, None, None), (3, 7, "create", "again", None, None), (3, 8, "append", None, "user", "first"), (4, 9, "create", "four", None, None), (5, 10, "append", None, "user", "none"), (5, 11, "rename", "none", None, None)]
+    changes = spark.createDataFrame(rows, "conv_id long, at long, op string, title string, role string, text string")
+    now, left = sessions.apply_changes(titles, messages, changes)
+    assert {r.conv_id: r.title for r in now.collect()} == {1: "new " + "q" * 46, 3: "again", 4: "four"}
+    assert sorted((r.conv_id, r.turn, r.text) for r in left.collect()) == [(1, 0, "x"), (1, 1, "m"), (1, 2, "n"), (3, 0, "first")]
+    with pytest.raises(Exception, match="unknown change"):
+        sessions.apply_changes(titles, messages, changes.withColumn("op", F.lit("merge")))[0].collect()
