@@ -15,6 +15,7 @@ import re
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ class WordEncoder:
     MARK = "\u00a4"
     ODD = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,6 +79,12 @@ class WordEncoder:
         return [whole[i] if i in whole else raw[ends[i] : ends[i + 1]] for i in range(len(texts))]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder, whose memory of words serves all tasks that the worker runs."""
+    return WordEncoder(path)
+
+
 def sentence_ends(path: str) -> np.ndarray:
     """For each id of the vocabulary, whether it ends a sentence."""
     vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
@@ -151,7 +158,7 @@ def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, window: int = 4096,
     ends = sentence_ends(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path)  # goes with the task, as workers share their executor's memory
+        encode = encoder(tokenizer_path)
         eos, sequence = array("I", [eos_id]).tobytes(), TaskContext.get().partitionId() << 32
         ids, encoded, size = [], [], 0
 
@@ -175,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, window: int = 4096,
             return out
 
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 2 << 20):
                 ids += part.column("doc_id").to_pylist()
                 got = [x + eos for x in encode(part.column("text").to_pylist())]
                 encoded += got
