@@ -279,7 +279,7 @@ def tiles(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("a", "b")
 
 
-def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 2, tries_each: int = 3) -> DataFrame:
+def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 1, tries_each: int = 3) -> DataFrame:
     """doc (NO_ID for null), name (a hash of the text), n and component (a node; null without shingles) of every row."""
     rows = doc_bytes(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("name"), "text").withColumn("place", F.xxhash64("doc", "name"))
     every = kept(measured(rows, k))
