@@ -14,15 +14,16 @@ def ranked_docs(hits: DataFrame, k: int) -> DataFrame:
     return hits.where(F.col("rank") <= k).groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
 
 
-def per_query(queries: DataFrame, hits: DataFrame, gold: DataFrame, k: int, gold_chunks: DataFrame | None = None) -> DataFrame:
+def per_query(queries: DataFrame, hits: DataFrame, gold: DataFrame, k: int, gold_chunks: DataFrame | None = None, gold_docs: DataFrame | None = None) -> DataFrame:
     """All metrics of each query (id); queries without hits or gold have zeros, unknown chunk totals null.
 
-    gold_chunks: query_id, total (chunks of the gold documents)."""
+    gold_chunks: query_id, total (chunks of the gold documents). gold_docs: query_id, wanted (how many gold documents
+    there are), where gold lists only those that were hit."""
     marked = hits.where(F.col("rank") <= k).join(gold.select("query_id", "doc_id", F.lit(1).alias("gold")), ["query_id", "doc_id"], "left").withColumn("gold", F.coalesce("gold", F.lit(0)))
     got = marked.groupBy("query_id").agg(
         F.count_distinct(F.when(F.col("gold") == 1, F.col("doc_id"))).alias("found"), F.count_distinct("doc_id").alias("docs"), F.min(F.when(F.col("gold") == 1, F.col("rank"))).alias("first"), F.sum("gold").alias("chunks"), F.count("*").alias("rows")
     )
-    wanted = gold.groupBy("query_id").agg(F.count_distinct("doc_id").alias("wanted"))
+    wanted = gold_docs if gold_docs is not None else gold.groupBy("query_id").agg(F.count_distinct("doc_id").alias("wanted"))
     totals = gold_chunks if gold_chunks is not None else gold.limit(0).select("query_id", F.lit(0).alias("total"))
     every = queries.select(F.col("id").alias("query_id")).join(got, "query_id", "left").join(wanted, "query_id", "left").join(totals, "query_id", "left")
     ratio = lambda a, b: F.round(F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0)), 6)

@@ -71,7 +71,12 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float =
     return best.where(F.col("score") >= threshold) if threshold > 0 else best
 
 
-def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 1.0, tables: int = 24, reach: float = 1.3, seed: int = 42) -> DataFrame:
+def without_own(hits: DataFrame, k: int) -> DataFrame:
+    """The first k hits of each query but its own row, from hits with k + 1 of each."""
+    return top(hits.where("query_id <> chunk_id"), k, "rank")
+
+
+def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 1.0, tables: int = 24, reach: float = 2.1, seed: int = 42) -> DataFrame:
     """Approximate dense_topk by random projections: a pair is found when a projection puts both in one bucket."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -106,20 +111,21 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5,
     return top(scored, k, F.desc("score"), "chunk_id").where("score > 0").select("query_id", "chunk_id", "rank", "score")
 
 
-def rrf(lists: list[DataFrame], n: int, k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of ranked lists (query_id, chunk_id, rank); ties to what comes first."""
+def rrf(lists: list[DataFrame], n: int, k: int = 60, scored: bool = False) -> DataFrame:
+    """Reciprocal-rank fusion of ranked lists (query_id, chunk_id, rank); ties to what comes first. scored: with the
+    score that the first list with the chunk has."""
+    more = ["score"] if scored else []
     every = None
     for i, one in enumerate(lists):
-        one = one.select("query_id", "chunk_id", "rank", F.lit(i).alias("list_no"))
+        one = one.select("query_id", "chunk_id", "rank", *more, F.lit(i).alias("list_no"))
         every = one if every is None else every.unionByName(one)
-    fused = every.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("rrf"), F.min(F.struct("list_no", "rank")).alias("first"))
-    return top(fused, n, F.desc("rrf"), "first", "chunk_id").select("query_id", "chunk_id", "rank", "rrf")
+    fused = every.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("rrf"), F.min(F.struct("list_no", "rank")).alias("first"), *[F.min_by(c, "list_no").alias(c) for c in more])
+    return top(fused, n, F.desc("rrf"), "first", "chunk_id").select("query_id", "chunk_id", "rank", "rrf", *more)
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, n: int) -> DataFrame:
     """Fused candidates with the dense score where there is one, else the sparse one."""
-    scores = dense.select("query_id", "chunk_id", F.col("score").alias("d")).join(sparse.select("query_id", "chunk_id", F.col("score").alias("s")), ["query_id", "chunk_id"], "full_outer")
-    return rrf([dense, sparse], n).join(scores, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "rank", F.coalesce("d", "s").alias("score"))
+    return rrf([dense, sparse], n, scored=True).drop("rrf")
 
 
 def down_weight(hits: DataFrame, weight: float, n: int | None = None) -> DataFrame:

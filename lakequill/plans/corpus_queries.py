@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakequill.functions import text as T
 from lakequill.operators import chunking, evaluation, indexing, retrieval, sessions
 from lakequill.plans.fixtures import BM25, CHUNKS, LINES, MARKDOWN, chunks, files, lines, markdown, queries, table
-from lakequill.plans.queries import RERANK, SQL, bm25, query, reranked, weighted
+from lakequill.plans.queries import RERANK, SQL, bm25, query, reranked, token_dense, weighted
 from lakequill.sources import datasets, files as sources, html
 from lakequill.streaming import events
 
@@ -97,7 +97,7 @@ def c2_split_long(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_long(markdown(spark, d), 800, 50).select("doc_id", F.coalesce("sub_index", F.lit(-1)).alias("sub_index"), F.md5("content").alias("digest"))
 
 
-@query(f"""WITH {LINES}, r AS (SELECT doc_id, pos, pos % 8 AS m, pos // 8 AS block, trim(regexp_replace(replace(substr(line, 1, 20), '|', '/'), '^\\s+|\\s+$', '', 'g')) AS cell, line FROM lines),
+@query(f"""WITH {LINES}, r AS (SELECT doc_id, pos, pos % 8 AS m, pos // 8 AS block, trim(regexp_replace(replace(line, '|', '/'), '^\\s+|\\s+$', '', 'g')) AS cell, line FROM lines),
     t AS (SELECT doc_id, block, string_agg(CASE WHEN cell = '' THEN pos::VARCHAR ELSE cell || ' ' || pos END, '，' ORDER BY pos) AS rows FROM r WHERE m IN (3, 4) GROUP BY ALL),
     o AS (SELECT r.doc_id, r.pos, CASE m WHEN 1 THEN t.rows WHEN 6 THEN '|----|' ELSE 'p' || cell END AS text FROM r LEFT JOIN t ON t.doc_id = r.doc_id AND t.block = r.block WHERE m IN (0, 1, 5, 6, 7)),
     h AS (SELECT doc_id, r.block, count(*) FILTER (WHERE m = 2) > 0 AS sep FROM r GROUP BY ALL),
@@ -106,7 +106,7 @@ def c2_split_long(spark: SparkSession, d: str) -> DataFrame:
 def c4_tables_to_prose(spark: SparkSession, d: str) -> DataFrame:
     """Of each eight lines, four are a table with up to two rows, one is decorative and three are plain."""
     m = F.col("pos") % 8
-    cell = F.trim(F.regexp_replace(F.replace(F.substring("line", 1, 20), F.lit("|"), F.lit("/")), r"^\s+|\s+$", ""))
+    cell = F.trim(F.regexp_replace(F.replace("line", F.lit("|"), F.lit("/")), r"^\s+|\s+$", ""))
     row = F.concat(F.lit("| "), cell, F.lit(" | "), F.col("pos").cast("string"), F.lit(" | |"))
     text = F.when(m == 1, "  | a | b |").when(m == 2, "| :-- | --- |").when(m.isin(3, 4), row).when(m == 6, "  |----|").otherwise(F.concat(F.lit("p"), cell))
     rows = lines(spark, d).select("doc_id", "pos", text.alias("text")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("content"))
@@ -122,21 +122,21 @@ def c8_index_build(spark: SparkSession, d: str) -> DataFrame:
     return indexing.build(rows, at).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("retrieval_text")).alias("longest"))
 
 
-@query(f"""WITH {CHUNKS} SELECT chunk_id, false AS overwrite, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS v FROM chunks WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
-    UNION ALL SELECT chunk_id, true, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END FROM chunks WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
+@query(f"""WITH {CHUNKS} SELECT chunk_id, false AS overwrite, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS v FROM chunks
+    UNION ALL SELECT chunk_id, true, CASE WHEN doc_id % 2 = 1 OR doc_id % 3 = 0 THEN 'new' ELSE 'old' END FROM chunks""")
 def c9_add_documents(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d).select("doc_id", "chunk_id")
-    old, new = c.where("doc_id % 2 = 0").withColumn("v", F.lit("old")), c.where("doc_id % 3 = 0").withColumn("v", F.lit("new"))
+    old, new = c.where("doc_id % 2 = 0").withColumn("v", F.lit("old")), c.where("doc_id % 2 = 1 or doc_id % 3 = 0").withColumn("v", F.lit("new"))
     kept = [indexing.add(old, new, o).select("chunk_id", F.lit(o).alias("overwrite"), "v") for o in (False, True)]
     return kept[0].union(kept[1])
 
 
-@query(r"""WITH w AS (SELECT doc_id, pos AS row, list_transform(string_split(line, ' ')[1:pos % 3 + 1], lambda x: replace(x, '|', '\|')) AS c FROM (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+@query(r"""WITH w AS (SELECT doc_id, pos AS row, list_transform(string_split(line, ' '), lambda x: replace(x, '|', '\|')) AS c FROM (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
     f AS (SELECT *, max(len(c)) OVER (PARTITION BY doc_id) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY row) AS n FROM w WHERE length(trim(array_to_string(c, ''))) > 0),
     l AS (SELECT doc_id, n, w, '| ' || array_to_string(list_concat(c, list_transform(range(w - len(c)), lambda i: '')), ' | ') || ' |' AS line FROM f)
     SELECT doc_id, md5(string_agg(line || CASE WHEN n = 1 THEN chr(10) || '| ' || array_to_string(list_transform(range(w), lambda i: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY n)) AS digest FROM l GROUP BY doc_id""")
 def c10_render_tables(spark: SparkSession, d: str) -> DataFrame:
-    cells = lines(spark, d).select("doc_id", F.col("pos").alias("row"), F.posexplode(F.slice(F.split("line", " "), F.lit(1), F.col("pos") % 3 + 1)).alias("col", "text"))
+    cells = lines(spark, d).select("doc_id", F.col("pos").alias("row"), F.posexplode(F.split("line", " ")).alias("col", "text"))
     return chunking.render_tables(cells).select("doc_id", F.md5("content").alias("digest"))
 
 
@@ -163,13 +163,13 @@ def r19_prompts(spark: SparkSession, d: str) -> DataFrame:
     return made.select("query_id", F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n")).alias("digest"))
 
 
-@query(f"""WITH {RERANK}, a AS (SELECT 'sparse' AS config, query_id, chunk_id FROM bm25 WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, chunk_id FROM ranked WHERE rank <= 5 UNION ALL SELECT 'hybrid+rerank', query_id, chunk_id FROM reranked WHERE rank <= 5),
+@query(f"""WITH {RERANK}, a AS (SELECT 'sparse' AS config, query_id, chunk_id FROM bm25 WHERE rank <= 5 UNION ALL SELECT 'dense', query_id, chunk_id FROM second WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, chunk_id FROM ranked WHERE rank <= 5 UNION ALL SELECT 'hybrid+rerank', query_id, chunk_id FROM reranked WHERE rank <= 5),
     e AS (SELECT config, query_id, count(*) AS n, count(*) FILTER (WHERE chunk_id // 100000 % 4 = query_id % 4) AS good FROM a GROUP BY ALL)
     SELECT config, count(*) AS queries, sum(n)::BIGINT AS hits, round(avg(good / n), 6) AS precision FROM e GROUP BY config""")
 def e12_ablation(spark: SparkSession, d: str) -> DataFrame:
     own = lambda h: h.withColumn("doc_id", F.expr("chunk_id div 100000"))
     good = queries(spark, d).selectExpr("id as query_id", "id % 4 as part").join(table(spark, d, "documents").selectExpr("doc_id", "doc_id % 4 as part"), "part")
-    return evaluation.ablation({"sparse": own(bm25(spark, d)), "hybrid": own(weighted(spark, d)), "hybrid+rerank": own(reranked(spark, d))}, good, 5)
+    return evaluation.ablation({"sparse": own(bm25(spark, d)), "dense": own(token_dense(spark, d)), "hybrid": own(weighted(spark, d)), "hybrid+rerank": own(reranked(spark, d))}, good, 5)
 
 
 @query("SELECT doc_id, count(*) AS n, sum(length(l)) ::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lakequill.functions.text import tokens
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,9 +35,15 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries (vec_id below 20) and corpus: id, embedding, label."""
+    """Queries (vec_id divisible by 20) and corpus (every row): id, embedding, label."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return v.where("id < 20"), v.where("id >= 20")
+    return v.where("id % 20 = 0"), v
+
+
+def token_vectors(rows: DataFrame, text: str) -> DataFrame:
+    """embedding: how many of a text's tokens have each first hex digit of their md5, in place of a model's vectors."""
+    digits = F.array_join(F.transform(tokens(F.col(text)), lambda t: F.substring(F.md5(t), 1, 1)), "")
+    return rows.withColumn("digits", digits).withColumn("embedding", F.array(*[(F.length("digits") - F.length(F.replace("digits", F.lit(h)))).cast("double") for h in "0123456789abcdef"])).drop("digits")
 
 
 def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -50,10 +58,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII documents' first 80 characters, misread by rule."""
-    ref = F.substring("text", 1, 80)
+    """Every line of every document, misread by rule; each character beyond ASCII is a question mark (DuckDB's levenshtein counts bytes)."""
+    ref = F.regexp_replace("line", r"[^\x00-\x7F]", "?")
     got = F.when(F.col("doc_id") % 17 == 0, "").when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# "), ref)).when(F.col("doc_id") % 2 == 0, F.replace(ref, F.lit("e"), F.lit("c"))).otherwise(ref)
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.col("doc_id").alias("id"), ref.alias("reference"), got.alias("got"))
+    return lines(spark, sf_dir).select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), ref.alias("reference"), got.alias("got"))
 
 
 LINES = "lines AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
@@ -66,7 +74,7 @@ markdown AS (SELECT doc_id, string_agg(CASE pos % 12 WHEN 0 THEN '# H' || pos ||
 DENSE = """dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.label AS want, c.label AS label,
     round(greatest(0, least(1, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]))), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0, least(1, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]))), 6) DESC, c.vec_id) AS rank
-    FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND c.vec_id >= 20) WHERE rank <= 10)"""
+    FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id) WHERE rank <= 10)"""
 BM25 = CHUNKS + r""",
 toks AS (SELECT chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS t FROM chunks),
 post AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY ALL),
@@ -76,3 +84,6 @@ terms AS (SELECT term, n, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM ra
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN terms USING (term) JOIN post USING (term), tot GROUP BY ALL),
 bm25 AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10 AND score > 0)"""
+TOKEN_DENSE = r"""digits AS (SELECT true AS asked, item_id AS id, text FROM benchmark UNION ALL SELECT false, chunk_id, content FROM chunks),
+counted AS (SELECT asked, id, list_transform(string_split('0123456789abcdef', ''), lambda h: (length(s) - length(replace(s, h, '')))::DOUBLE) AS v FROM (SELECT asked, id, array_to_string(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: substr(md5(t), 1, 1)), '') AS s FROM digits) WHERE length(s) > 0),
+second AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.id AS query_id, c.id AS chunk_id, round(greatest(0, least(1, list_cosine_similarity(q.v, c.v))), 6) AS score FROM counted q JOIN counted c ON q.asked AND NOT c.asked)) WHERE rank <= 10)"""

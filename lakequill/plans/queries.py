@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakequill.functions import text as T
 from lakequill.operators import chunking, evaluation, retrieval, sessions, sync
-from lakequill.plans.fixtures import BM25, CHUNKS, DENSE, LINES, MARKDOWN, chunks, files, lines, markdown, ocr_pairs, queries, requests, table, vectors
+from lakequill.plans.fixtures import BM25, CHUNKS, DENSE, LINES, MARKDOWN, TOKEN_DENSE, chunks, files, lines, markdown, ocr_pairs, queries, requests, table, token_vectors, vectors
 from lakequill.streaming import events
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +80,8 @@ def f8_judge_score(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d).select("doc_id", "score")
 
 
-PAIRS = "pairs AS (SELECT doc_id AS id, substr(text, 1, 80) AS reference, CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 3 = 0 THEN '# ' || substr(text, 1, 80) WHEN doc_id % 2 = 0 THEN replace(substr(text, 1, 80), 'e', 'c') ELSE substr(text, 1, 80) END AS got FROM documents WHERE strlen(text) = length(text))"
+PAIRS = LINES + r""", pairs AS (SELECT doc_id * 100000 + pos AS id, r AS reference, CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 3 = 0 THEN '# ' || r WHEN doc_id % 2 = 0 THEN replace(r, 'e', 'c') ELSE r END AS got
+    FROM (SELECT doc_id, pos, regexp_replace(line, '[^\x00-\x7F]', '?', 'g') AS r FROM lines))"""
 
 
 @query(f"WITH {PAIRS} SELECT id, levenshtein(reference, got)::BIGINT AS edits FROM pairs")
@@ -88,7 +89,7 @@ def f9_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     return ocr_pairs(spark, d).select("id", F.levenshtein("reference", "got").cast("long").alias("edits"))
 
 
-@query(f"WITH {PAIRS} SELECT id, round(levenshtein(reference, got) / length(reference), 6) AS cer FROM pairs")
+@query(f"WITH {PAIRS} SELECT id, round(levenshtein(reference, got) / nullif(length(reference), 0), 6) AS cer FROM pairs")
 def f10_char_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return ocr_pairs(spark, d).select("id", F.round(T.char_error_rate(F.col("reference"), F.col("got")), 6).alias("cer"))
 
@@ -124,10 +125,10 @@ def s8_public_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.public_url(url).alias("public"))
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, min(v) AS v FROM (SELECT chunk_id, 'old' AS v FROM chunks WHERE doc_id % 2 = 0 UNION ALL SELECT chunk_id, 'z-new' FROM chunks WHERE doc_id % 3 = 0) GROUP BY chunk_id")
+@query(f"WITH {CHUNKS} SELECT chunk_id, min(v) AS v FROM (SELECT chunk_id, 'old' AS v FROM chunks WHERE doc_id % 2 = 0 UNION ALL SELECT chunk_id, 'z-new' FROM chunks WHERE doc_id % 2 = 1 OR doc_id % 3 = 0) GROUP BY chunk_id")
 def s9_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d)
-    return sync.insert_ignore(c.where("doc_id % 2 = 0").select("chunk_id", F.lit("old").alias("v")), c.where("doc_id % 3 = 0").select("chunk_id", F.lit("z-new").alias("v")), "chunk_id")
+    return sync.insert_ignore(c.where("doc_id % 2 = 0").select("chunk_id", F.lit("old").alias("v")), c.where("doc_id % 2 = 1 or doc_id % 3 = 0").select("chunk_id", F.lit("z-new").alias("v")), "chunk_id")
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, content FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -148,10 +149,10 @@ def s12_embedding_cache(spark: SparkSession, d: str) -> DataFrame:
     return keys.agg(F.sum("n").alias("texts"), F.count("*").alias("keys"), F.count_if(F.col("hit").isNull()).alias("misses"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'in' ELSE 'kept' END AS side FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 1 OR doc_id % 3 = 0 THEN 'in' ELSE 'kept' END AS side FROM documents")
 def s14_import_merge(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id")
-    return sync.upsert(docs.where("doc_id % 2 = 0").withColumn("side", F.lit("kept")), docs.where("doc_id % 3 = 0").withColumn("side", F.lit("in")), "doc_id")
+    return sync.upsert(docs.where("doc_id % 2 = 0").withColumn("side", F.lit("kept")), docs.where("doc_id % 2 = 1 or doc_id % 3 = 0").withColumn("side", F.lit("in")), "doc_id")
 
 
 @query("SELECT conv_id, count(*) AS messages, substr(trim(coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), '')), 1, 50) AS title FROM conversations GROUP BY conv_id")
@@ -260,7 +261,7 @@ def c18_appended_text(spark: SparkSession, d: str) -> DataFrame:
 # retrieval
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.dense_topk(*vectors(spark, d), 10)
+    return retrieval.without_own(retrieval.dense_topk(*vectors(spark, d), 11), 10)
 
 
 def bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +275,7 @@ def r1_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def r2_lsh_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.lsh_topk(*vectors(spark, d), 10)
+    return retrieval.without_own(retrieval.lsh_topk(*vectors(spark, d), 11), 10)
 
 
 @query(f"WITH {BM25} SELECT term, n::BIGINT AS n, round(idf, 6) AS idf FROM terms")
@@ -287,8 +288,8 @@ def r4_bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return bm25(spark, d)
 
 
-RRF = BM25 + """,
-second AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank, score / 100 AS score FROM bm25 WHERE rank % 2 = 0),
+RRF = BM25 + f""",
+{TOKEN_DENSE},
 every AS (SELECT query_id, chunk_id, rank, 0 AS l FROM second UNION ALL SELECT query_id, chunk_id, rank, 1 FROM bm25),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, l, first, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 9) AS rrf, min(l) AS l, arg_min(rank, l) AS first FROM every GROUP BY ALL)),
 hyb AS (SELECT f.query_id, f.chunk_id, f.rank, coalesce(s.score, b.score) AS score FROM fused f LEFT JOIN second s USING (query_id, chunk_id) LEFT JOIN bm25 b USING (query_id, chunk_id) WHERE f.rank <= 8),
@@ -296,11 +297,13 @@ weighted AS (SELECT h.query_id, h.chunk_id, c.file_path, h.rank AS before, round
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS rank FROM weighted)"""
 
 
+def token_dense(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.dense_topk(token_vectors(queries(spark, d), "text"), token_vectors(chunks(spark, d).withColumnRenamed("chunk_id", "id"), "content"), 10)
+
+
 def second(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The BM25 hits and, as another ranking of them, every second one backwards."""
-    hits = bm25(spark, d)
-    half = hits.where("rank % 2 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank")))).withColumn("score", F.col("score") / 100)
-    return half, hits
+    """The dense hits (over vectors of the texts' tokens) and the BM25 hits."""
+    return token_dense(spark, d), bm25(spark, d)
 
 
 def hybrid_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -402,17 +405,19 @@ def r17_new_by_round(spark: SparkSession, d: str) -> DataFrame:
 
 EVAL = DENSE + """,
 m AS (SELECT query_id, chunk_id, rank, (want = label)::INT AS gold FROM dense WHERE rank <= 5),
-gold AS (SELECT q.vec_id AS query_id, count(*) AS wanted FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id < 20 AND c.vec_id >= 20 GROUP BY q.vec_id),
-e AS (SELECT g.query_id, round(coalesce(sum(gold), 0) / wanted, 6) AS doc_recall, round(coalesce(sum(gold) / count(chunk_id), 0), 6) AS doc_precision, round(coalesce(1 / min(rank) FILTER (WHERE gold = 1), 0), 6) AS doc_mrr,
+gold AS (SELECT vec_id AS query_id, nullif(n - 1, 0) AS wanted FROM embeddings JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label) WHERE vec_id % 20 = 0),
+e AS (SELECT g.query_id, round(coalesce(sum(gold) / wanted, 0), 6) AS doc_recall, round(coalesce(sum(gold) / count(chunk_id), 0), 6) AS doc_precision, round(coalesce(1 / min(rank) FILTER (WHERE gold = 1), 0), 6) AS doc_mrr,
     CASE WHEN coalesce(sum(gold), 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS doc_hit, round(coalesce(avg(gold), 0), 6) AS chunk_precision, round(coalesce(sum(gold), 0) / wanted, 6) AS chunk_recall FROM gold g LEFT JOIN m USING (query_id) GROUP BY g.query_id, wanted)"""
 
 
 def evaluated(spark: SparkSession, d: str) -> DataFrame:
     """Metrics at 5 of dense hits; a hit is right if it has the query's label, and each vector is a document."""
     q, c = vectors(spark, d)
-    gold = q.select(F.col("id").alias("query_id"), "label").join(c.select(F.col("id").alias("doc_id"), "label"), "label").select("query_id", "doc_id")
-    totals = gold.groupBy("query_id").agg(F.count("*").alias("total"))
-    return evaluation.per_query(q, dense(spark, d).withColumn("doc_id", F.col("chunk_id")), gold, 5, totals)
+    hits = dense(spark, d).withColumn("doc_id", F.col("chunk_id"))
+    asked, found = q.select(F.col("id").alias("query_id"), "label"), c.select(F.col("id").alias("doc_id"), F.col("label").alias("has"))
+    gold = hits.select("query_id", "doc_id").join(asked, "query_id").join(found, "doc_id").where("label = has").select("query_id", "doc_id")
+    wanted = asked.join(c.groupBy("label").agg((F.count("*") - 1).alias("wanted")), "label").select("query_id", "wanted")
+    return evaluation.per_query(q, hits, gold, 5, wanted.withColumnRenamed("wanted", "total"), wanted)
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id // 100000 AS doc_id, min(rank)::INTEGER AS rank FROM bm25 WHERE rank <= 5 GROUP BY ALL")
@@ -455,7 +460,7 @@ def e11_judge_summary(spark: SparkSession, d: str) -> DataFrame:
 
 REPORT = PAIRS + r""",
 nn AS (SELECT *, got <> '' AS ok, regexp_replace(regexp_replace(reference, '^#+\s*', ''), '\s', '', 'g') AS a, regexp_replace(regexp_replace(got, '^#+\s*', ''), '\s', '', 'g') AS b FROM pairs),
-rep AS (SELECT id, ok, length(reference) AS reference_len, length(got) AS got_len, CASE WHEN ok THEN round(levenshtein(reference, got) / length(reference), 6) END AS cer, CASE WHEN ok THEN round(levenshtein(a, b) / length(a), 6) END AS cer_normal, CASE WHEN ok THEN reference = got END AS exact, CASE WHEN ok THEN a = b END AS exact_normal FROM nn)"""
+rep AS (SELECT id, ok, length(reference) AS reference_len, length(got) AS got_len, CASE WHEN ok THEN round(levenshtein(reference, got) / nullif(length(reference), 0), 6) END AS cer, CASE WHEN ok THEN round(levenshtein(a, b) / nullif(length(a), 0), 6) END AS cer_normal, CASE WHEN ok THEN reference = got END AS exact, CASE WHEN ok THEN a = b END AS exact_normal FROM nn)"""
 
 
 def ocr(spark: SparkSession, d: str) -> DataFrame:

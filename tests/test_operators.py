@@ -204,3 +204,22 @@ def test_session_changes(spark):
     assert sorted((r.conv_id, r.turn, r.text) for r in left.collect()) == [(1, 0, "x"), (1, 1, "m"), (1, 2, "n"), (3, 0, "first")]
     with pytest.raises(Exception, match="unknown change"):
         sessions.apply_changes(titles, messages, changes.withColumn("op", F.lit("merge")))[0].collect()
+
+
+def test_own_rows_are_no_hits(spark):
+    v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)], "id long, embedding array<double>")
+    hits = retrieval.without_own(retrieval.dense_topk(v, v, 4), 3).collect()
+    got = {q: [r.chunk_id for r in sorted(hits, key=lambda r: r.rank) if r.query_id == q] for q in range(6)}
+    assert got == {q: [i for i in range(6) if i != q][:3] for q in range(6)} and {r.rank for r in hits} == {1, 2, 3}
+
+
+def test_recall_of_hashed_neighbours(spark):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id as id", "embedding")
+    asked = v.where("id % 20 = 0")
+    exact, hashed = ({(r.query_id, r.chunk_id) for r in retrieval.without_own(f(asked, v, 11), 10).collect()} for f in (retrieval.dense_topk, retrieval.lsh_topk))
+    assert len(exact & hashed) >= 0.9 * len(exact)
+
+
+def test_error_rates_of_other_scripts(spark):
+    rows = spark.createDataFrame([("né", "ne"), ("检索系统", "检系统"), ("", "x"), ("abc", None)], "reference string, got string")
+    assert [r.cer for r in rows.select(T.char_error_rate(F.col("reference"), F.col("got")).alias("cer")).collect()] == [0.5, 0.25, None, 1.0]
