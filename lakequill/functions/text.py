@@ -60,7 +60,7 @@ def judge_score(c: Column) -> Column:
 
 def char_error_rate(reference: Column, got: Column) -> Column:
     """Edits a reference character; null without a reference."""
-    return F.levenshtein(reference, F.coalesce(got, F.lit(""))) / F.nullif(F.length(reference), F.lit(0))
+    return F.when(reference == got, 0).otherwise(F.levenshtein(reference, F.coalesce(got, F.lit("")))) / F.nullif(F.length(reference), F.lit(0))
 
 
 def preview(c: Column, most: int = 200) -> Column:

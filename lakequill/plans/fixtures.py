@@ -43,7 +43,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def token_vectors(rows: DataFrame, text: str) -> DataFrame:
     """embedding: how many of a text's tokens have each first hex digit of their md5, in place of a model's vectors."""
     digits = F.array_join(F.transform(tokens(F.col(text)), lambda t: F.substring(F.md5(t), 1, 1)), "")
-    return rows.withColumn("digits", digits).withColumn("embedding", F.array(*[(F.length("digits") - F.length(F.replace("digits", F.lit(h)))).cast("double") for h in "0123456789abcdef"])).drop("digits")
+    counts = lambda x: F.array(*[(F.length(x) - F.length(F.replace(x, F.lit(h)))).cast("double") for h in "0123456789abcdef"])
+    return rows.withColumn("embedding", F.transform(F.array(digits), counts)[0])  # the digits, bound once for all counts
 
 
 def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -58,10 +59,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document, misread by rule; each character beyond ASCII is a question mark (DuckDB's levenshtein counts bytes)."""
+    """Every line of every document, misread by rule; each character beyond ASCII is a question mark (DuckDB's levenshtein counts bytes).
+    Dealt over all cores first, as the work on a line grows with the square of its length."""
     ref = F.regexp_replace("line", r"[^\x00-\x7F]", "?")
     got = F.when(F.col("doc_id") % 17 == 0, "").when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# "), ref)).when(F.col("doc_id") % 2 == 0, F.replace(ref, F.lit("e"), F.lit("c"))).otherwise(ref)
-    return lines(spark, sf_dir).select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), ref.alias("reference"), got.alias("got"))
+    return lines(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism).select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), ref.alias("reference"), got.alias("got"))
 
 
 LINES = "lines AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
