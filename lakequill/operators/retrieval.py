@@ -161,10 +161,8 @@ def parents(hits: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
     section = ["doc_id", "heading_path"]
     own = hits.join(c.select("chunk_id", *section, "chunk_index"), "chunk_id")
     first = own.groupBy("query_id", *section).agg(F.min(F.struct("rank", "chunk_index", "chunk_id")).alias("f"), F.max("score").alias("score"))
-    # only the sections that were hit are gathered, and a section is a part of one document
-    wanted = own.select(*section).distinct()
-    siblings = c.join(wanted, section, "left_semi").groupBy(*section).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "tokens", "content"))).alias("all"))
-    joined = first.join(siblings, section)
+    # a section is gathered for each query that hit it, so that the hits are worked out once
+    joined = first.join(c, section).groupBy("query_id", *section, "f", "score").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "tokens", "content"))).alias("all"))
     at = F.col("f.chunk_index")
     hit = F.filter("all", lambda s: s["chunk_id"] == F.col("f.chunk_id"))
     after = F.filter("all", lambda s: s["chunk_index"] > at)
