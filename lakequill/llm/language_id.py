@@ -8,11 +8,12 @@ word alone and each distinct word of a batch is run once.
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lakequill.llm.text import doc_bytes, fold, pieces
@@ -147,12 +148,20 @@ class WordLabels:
 
 
 def has_letter(text: bytes) -> bool:
-    return text.translate(None, LETTERS) != text or (not text.isascii() and re.search(r"[^\W\d_]", text.decode("utf-8", "replace")) is not None)
+    return text.translate(None, LETTERS) != text or (not text.isascii() and regex.search(r"\p{L}", text.decode("utf-8", "replace")) is not None)
+
+
+def drawn(text: bytes, most: int) -> list[bytes]:
+    """At most so many words of a whole text, in order, drawn by a seed that the text gives."""
+    words = text.lower().split()
+    if len(words) <= most:
+        return words
+    return [words[i] for i in np.sort(np.random.default_rng(zlib.crc32(text)).choice(len(words), most, replace=False))]
 
 
 def fit(docs: DataFrame, held_out: tuple[int, int] | None, per_language: int, per_text: int, hidden: int, steps: int) -> tuple[Network | None, list[str]]:
-    """The network and its languages, from at most `per_language` documents of each language and the first
-    `per_text` words of each (a bounded sample of labelled rows; see predict)."""
+    """The network and its languages, from at most `per_language` documents of each language and
+    `per_text` words of each, drawn from the whole text (a bounded sample of labelled rows; see predict)."""
     rows = docs.where("lang is not null and doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     if held_out:
         rows = rows.where(fold("doc_id", held_out[0]) != held_out[1])
@@ -162,7 +171,7 @@ def fit(docs: DataFrame, held_out: tuple[int, int] | None, per_language: int, pe
     languages = sorted({g[0] for g in got})
     words, labels = [], []
     for lang, _, text in got:
-        for w in text.lower().split()[:per_text]:
+        for w in drawn(text, per_text):
             for s in stretches(w):
                 words.append(s)
                 labels.append(languages.index(lang))
@@ -173,7 +182,7 @@ def predict(docs: DataFrame, held_out: tuple[int, int] | None = None, per_langua
     """doc_id, lang_pred and score (its pooled probability) of every document, over its whole text.
 
     docs: doc_id, text, lang; other columns are ignored, and lang only teaches. The network learns from at most
-    `per_language` documents of each language, without those whose crc32 of the id modulo held_out[0] is
+    `per_language` documents of each language and `per_text` words drawn from each of these, without those whose crc32 of the id modulo held_out[0] is
     held_out[1]. A text that is null or has no letter gets `und` and score 0, as does every text when there is
     nothing to learn from; equal probabilities go to the lesser code; a null doc_id stays null; repeated rows
     are judged each; an empty table gives no rows.

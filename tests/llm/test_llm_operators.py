@@ -306,6 +306,15 @@ def test_language_id(spark):
     assert all(got[i].lang_pred == ("de" if i % 2 else "en") for i in range(40)) and got[90].lang_pred == got[91].lang_pred == "und"
 
 
+def test_language_letters_and_drawn_words():
+    assert [language_id.has_letter(t.encode()) for t in ("", "12 !", "½ ² Ⅷ", "é", "中", "a")] == [False, False, False, True, True, True]
+    text = " ".join(f"W{i}" for i in range(1000)).encode()
+    some = language_id.drawn(text, 300)
+    at = [int(w[1:]) for w in some]
+    assert len(some) == 300 and at == sorted(set(at)) and sum(i >= 500 for i in at) > 100 and language_id.drawn(text, 300) == some
+    assert language_id.drawn(b"One  two", 300) == [b"one", b"two"] and language_id.drawn(b"", 3) == []
+
+
 def test_lm_scores(spark):
     texts = [prose(i % 5, 50, 60) for i in range(30)] + [None, "Brand new wordsx"]
     rows = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), (7, 2)).collect()}
