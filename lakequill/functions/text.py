@@ -68,9 +68,9 @@ def preview(c: Column, most: int = 200) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """Letters and digits, other runs a hyphen, at most 40 characters; `qa` for nothing."""
+    """Letters and digits, other runs a hyphen, cut to 40 characters; `qa` for nothing."""
     s = F.regexp_replace(F.regexp_replace(c, rf"[^A-Za-z0-9{CJK}]+", "-"), "^-+|-+$", "")
-    s = F.regexp_replace(F.substring(s, 1, 40), "-+$", "")
+    s = F.substring(s, 1, 40)
     return F.when(F.length(s) == 0, "qa").otherwise(s)
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lakequill.functions.text import char_error_rate
+from lakequill.functions.text import char_error_rate, context_tokens
 
 
 def ranked_docs(hits: DataFrame, k: int) -> DataFrame:
@@ -78,6 +78,18 @@ def details(queries: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     return queries.select(F.col("id").alias("query_id")).join(docs, "query_id", "left")
 
 
+def full_details(queries: DataFrame, hits: DataFrame, gold: DataFrame, contexts: DataFrame, k: int) -> DataFrame:
+    """details() with first_hit (the place of the first right document in the list, null for none), scores of the
+    first k hits in order, and context_tokens (0 without a context). gold: query_id, doc_id; contexts: query_id, context."""
+    marked = ranked_docs(hits, k).join(gold.select("query_id", "doc_id", F.lit(True).alias("right")).distinct(), ["query_id", "doc_id"], "left")
+    placed = marked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id")))
+    first = placed.groupBy("query_id").agg(F.min(F.when(F.col("right"), F.col("place"))).alias("first_hit"))
+    score = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.bround("score", 4).alias("score")))), lambda s: s["score"])
+    scores = hits.where(F.col("rank") <= k).groupBy("query_id").agg(score.alias("scores"))
+    used = contexts.select("query_id", context_tokens(F.col("context")).alias("context_tokens"))
+    out = details(queries, hits, k).join(first, "query_id", "left").join(scores, "query_id", "left").join(used, "query_id", "left")
+    return out.fillna(0, ["context_tokens"])
+
 
 
 def ablation(configs: dict[str, DataFrame], gold: DataFrame, k: int) -> DataFrame:

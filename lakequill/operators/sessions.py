@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lakequill.functions.text import history_tokens
+from lakequill.functions.text import history_tokens, slug
 
 
 def retain_latest(df: DataFrame, n: int, *order: Column | str, by: str | None = None, protect: Column | None = None) -> DataFrame:
@@ -84,3 +84,22 @@ def apply_changes(titles: DataFrame, messages: DataFrame, changes: DataFrame) ->
     turns = old.groupBy("conv_id").agg(F.max("turn").alias("most"))
     turn = F.coalesce("most", F.lit(-1)) + F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))
     return now, old.unionByName(added.join(turns, "conv_id", "left").select("conv_id", turn.cast("long").alias("turn"), "role", "text"))
+
+
+def syntheses(answers: DataFrame, sources: DataFrame, at: str) -> DataFrame:
+    """id, file_name and content: a Markdown document of each answer, none where question or answer is blank.
+
+    answers: id, question, answer, suffix (makes the name unique); sources: id, rank, file_name, heading, score,
+    file_path, listed in order of rank. at: the time, as in 2026-01-31T12:00:00.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    # fixed values: front matter, headings and bullets that readers of these documents expect
+    bullet = F.concat(F.lit("- [["), F.coalesce("file_name", F.lit("unknown")), F.lit("]]"), F.when(F.length(text("heading")) > 0, F.concat(F.lit(" ("), F.col("heading"), F.lit(")"))).otherwise(""),
+                      F.lit(" · 分数 "), F.when(F.col("score").isNotNull(), F.format_string("%.3f", F.col("score").cast("double"))).otherwise(""), F.lit(" · `"), text("file_path"), F.lit("`\n"))
+    listed = sources.select("id", "rank", bullet.alias("bullet")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "bullet"))).alias("b"))
+    rows = answers.where((F.length(F.trim(text("question"))) > 0) & (F.length(F.trim(text("answer"))) > 0)).join(listed, "id", "left")
+    n = F.when(F.col("b").isNull(), 0).otherwise(F.size("b")).cast("string")
+    quoted = F.to_json(F.array("question"))
+    head = F.concat(F.lit(f"---\ntype: synthesis\ndate: {at}\nquestion: "), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit("\nsource_count: "), n, F.lit("\n---\n"))
+    body = F.concat(head, F.lit("\n# "), F.col("question"), F.lit("\n\n"), F.regexp_replace("answer", r"(?U)^\s+|\s+$", ""), F.lit("\n\n## 来源 ("), n, F.lit(")\n\n"), F.coalesce(F.array_join(F.transform("b", lambda s: s["bullet"]), ""), F.lit("")))
+    return rows.select("id", F.concat(F.lit(at[:10] + "-"), slug(F.col("question")), F.lit("-"), F.col("suffix"), F.lit(".md")).alias("file_name"), body.alias("content"))

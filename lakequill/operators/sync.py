@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -54,5 +56,23 @@ def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(stored.join(new.select(key), key, "left_anti"))
 
 
+def import_snapshot(stored: dict[str, DataFrame], snapshot: dict[str, DataFrame], keys: dict[str, str], mode: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables after an import of the snapshot's, and (name, n): how many rows it brought of each.
+
+    Mode `merge` keeps stored rows whose key the snapshot lacks, `replace` keeps none; another mode is an error. The
+    table `manifest` is taken over by `replace` or where none is stored; `conversations` are always merged.
+    """
+    if mode not in ("merge", "replace"):
+        raise ValueError(f"mode is merge or replace, not {mode!r}")
+    after = dict(stored)
+    for name, rows in snapshot.items():
+        if name not in stored or (mode == "replace" and name != "conversations"):
+            after[name] = rows
+        elif name != "manifest":
+            after[name] = upsert(stored[name], rows, keys[name])
+    counts = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in snapshot.items()]
+    return after, reduce(DataFrame.union, counts)
+
+
 def delete(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return stored.join(keys.select(key), key, "left_anti")

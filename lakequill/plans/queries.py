@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -160,11 +161,43 @@ def s15_conversation_export(spark: SparkSession, d: str) -> DataFrame:
     return sessions.export(table(spark, d, "conversations")).select("conv_id", F.col("messages").cast("long").alias("messages"), "title")
 
 
-@query(r"SELECT item_id, CASE WHEN length(s) = 0 THEN 'qa' ELSE s END AS slug FROM (SELECT item_id, regexp_replace(substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '') AS s FROM benchmark)")
+@query(r"SELECT item_id, CASE WHEN length(s) = 0 THEN 'qa' ELSE s END AS slug FROM (SELECT item_id, substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS s FROM benchmark)")
 def s16_synthesis_slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", T.slug(F.col("text")).alias("slug"))
 
 
+@query("""WITH docs AS (SELECT doc_id, doc_id % 2 = 1 OR doc_id % 3 = 0 AS brought, doc_id % 2 = 0 AS kept FROM documents),
+    talks AS (SELECT DISTINCT conv_id, conv_id % 2 = 1 OR conv_id % 3 = 0 AS brought, conv_id % 2 = 0 AS kept FROM conversations),
+    parts AS (SELECT 'chunks' AS part, doc_id AS id, brought, kept FROM docs UNION ALL SELECT 'conversations', * FROM talks UNION ALL SELECT 'manifest', * FROM docs),
+    m AS (SELECT unnest(['merge', 'replace']) AS mode)
+    SELECT mode, part, id, CASE WHEN brought AND NOT (part = 'manifest' AND mode = 'merge') THEN 'in' ELSE 'kept' END AS side FROM parts, m
+    WHERE CASE WHEN part = 'conversations' THEN brought OR kept WHEN mode = 'replace' THEN brought WHEN part = 'manifest' THEN kept ELSE brought OR kept END
+    UNION ALL SELECT mode, 'count of ' || part, count(*) FILTER (WHERE brought), 'in' FROM parts, m GROUP BY mode, part""")
+def s14_import_modes(spark: SparkSession, d: str) -> DataFrame:
+    docs, talks = table(spark, d, "documents").selectExpr("doc_id as id"), table(spark, d, "conversations").selectExpr("conv_id as id").distinct()
+    side = lambda rule, name: {part: rows.where(rule).withColumn("side", F.lit(name)) for part, rows in (("chunks", docs), ("manifest", docs), ("conversations", talks))}
+    out = []
+    for mode in ("merge", "replace"):
+        after, counts = sync.import_snapshot(side("id % 2 = 0", "kept"), side("id % 2 = 1 or id % 3 = 0", "in"), dict.fromkeys(("chunks", "manifest", "conversations"), "id"), mode)
+        out += [rows.select(F.lit(mode).alias("mode"), F.lit(part).alias("part"), "id", "side") for part, rows in after.items()]
+        out.append(counts.select(F.lit(mode).alias("mode"), F.concat(F.lit("count of "), F.col("name")).alias("part"), F.col("n").alias("id"), F.lit("in").alias("side")))
+    return reduce(DataFrame.union, out)
+
+
+@query(r"""WITH turns AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS question, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY conv_id),
+    s AS (SELECT conv_id, turn, '- [[' || role || ']]' || CASE WHEN turn % 2 = 0 THEN ' (T' || turn || ')' ELSE '' END || ' · 分数 ' || CASE WHEN turn % 3 = 0 THEN '' ELSE printf('%.3f', turn / 8.0) END || ' · `/v/' || turn || '`' || chr(10) AS b FROM conversations),
+    l AS (SELECT conv_id, count(*) AS n, string_agg(b, '' ORDER BY turn) AS b FROM s GROUP BY conv_id),
+    g AS (SELECT *, substr(trim(regexp_replace(question, '[^A-Za-z0-9]+', '-', 'g'), '-'), 1, 40) AS slug FROM turns JOIN l USING (conv_id) WHERE trim(coalesce(question, '')) <> '' AND trim(coalesce(answer, '')) <> '')
+    SELECT conv_id AS id, '2026-01-31-' || CASE WHEN slug = '' THEN 'qa' ELSE slug END || '-' || conv_id || '.md' AS file_name, md5('---' || chr(10) || 'type: synthesis' || chr(10) || 'date: 2026-01-31T12:00:00' || chr(10) || 'question: ' || to_json(question)::VARCHAR || chr(10) || 'source_count: ' || n || chr(10) || '---' || chr(10)
+        || chr(10) || '# ' || question || chr(10) || chr(10) || trim(answer) || chr(10) || chr(10) || '## 来源 (' || n || ')' || chr(10) || chr(10) || b) AS digest FROM g""")
+def s16_syntheses(spark: SparkSession, d: str) -> DataFrame:
+    said = table(spark, d, "conversations").withColumnRenamed("conv_id", "id")
+    turn = lambda role: F.when(F.col("role") == role, F.col("turn"))
+    answers = said.groupBy("id").agg(F.min_by("text", turn("user")).alias("question"), F.max_by("text", turn("assistant")).alias("answer")).withColumn("suffix", F.col("id").cast("string"))
+    sources = said.selectExpr("id", "turn as rank", "role as file_name", "case when turn % 2 = 0 then concat('T', turn) end as heading", "case when turn % 3 <> 0 then turn / 8.0D end as score", "concat('/v/', turn) as file_path")
+    return sessions.syntheses(answers, sources, "2026-01-31T12:00:00").select("id", "file_name", F.md5("content").alias("digest"))
+
+
 # chunking
 
 SECTIONS = MARKDOWN + r""",
@@ -447,6 +480,19 @@ def e9_details(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.details(queries(spark, d), bm25(spark, d).withColumn("doc_id", F.expr("chunk_id div 100000")), 5)
 
 
+@query(f"""WITH {BM25}, r AS (SELECT query_id, chunk_id // 100000 AS doc_id, min(rank) AS rank FROM bm25 WHERE rank <= 5 GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM r),
+    l AS (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS docs, min(place) FILTER (WHERE doc_id % 4 = query_id % 4) AS first_hit FROM p GROUP BY query_id),
+    c AS (SELECT query_id, list((m // 100 + CASE WHEN m % 100 > 50 OR m % 100 = 50 AND m // 100 % 2 = 1 THEN 1 ELSE 0 END) / 10000 ORDER BY rank) FILTER (WHERE rank <= 5) AS scores, string_agg('[' || heading_path || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT *, round(score * 1000000)::BIGINT AS m FROM bm25) JOIN chunks USING (chunk_id) GROUP BY query_id)
+    SELECT item_id AS query_id, docs, first_hit::INTEGER AS first_hit, array_to_string(scores, ',') AS scores, coalesce(coalesce(list_sum(list_transform(regexp_extract_all(context, '[A-Za-z0-9_]+'), lambda x: greatest(1, length(x) // 4))), 0) + (length(context) - coalesce(list_sum(list_transform(regexp_extract_all(context, '[A-Za-z0-9_]+'), lambda x: length(x))), 0)) // 3, 0)::BIGINT AS context_tokens
+    FROM benchmark LEFT JOIN l ON l.query_id = item_id LEFT JOIN c ON c.query_id = item_id""")
+def e9_full_details(spark: SparkSession, d: str) -> DataFrame:
+    hits = bm25(spark, d).withColumn("doc_id", F.expr("chunk_id div 100000"))
+    gold = hits.where("doc_id % 4 = query_id % 4").select("query_id", "doc_id")
+    blocks = hits.drop("doc_id").join(chunks(spark, d), "chunk_id").select("query_id", "rank", F.col("heading_path").alias("label"), "content")
+    out = evaluation.full_details(queries(spark, d), hits, gold, retrieval.contexts(blocks, 1_000_000), 5)
+    return out.withColumn("scores", F.array_join(F.transform("scores", lambda x: x.cast("string")), ",")).withColumn("context_tokens", F.col("context_tokens").cast("long"))
+
+
 @query(f"WITH {EVAL}, a AS (SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in (*evaluation.METRICS, 'chunk_recall'))} FROM e), l AS (UNPIVOT a ON COLUMNS(*) INTO NAME metric VALUE value) SELECT metric, value, 0.5 AS base, round(value - 0.5, 6) AS diff FROM l WHERE metric <> 'doc_hit'")
 def e10_baseline_diff(spark: SparkSession, d: str) -> DataFrame:
     now = evaluation.long_form(evaluation.macro_average(evaluated(spark, d)))

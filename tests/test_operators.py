@@ -223,3 +223,29 @@ def test_recall_of_hashed_neighbours(spark):
 def test_error_rates_of_other_scripts(spark):
     rows = spark.createDataFrame([("né", "ne"), ("检索系统", "检系统"), ("", "x"), ("abc", None)], "reference string, got string")
     assert [r.cer for r in rows.select(T.char_error_rate(F.col("reference"), F.col("got")).alias("cer")).collect()] == [0.5, 0.25, None, 1.0]
+
+
+def test_import_modes(spark):
+    rows = lambda *ids, side: spark.createDataFrame([(i, side) for i in ids], "id long, side string")
+    stored = {"chunks": rows(1, 2, side="old"), "manifest": rows(1, side="old"), "conversations": rows(7, 8, side="old")}
+    snapshot = {"chunks": rows(2, 3, side="new"), "manifest": rows(3, side="new"), "conversations": rows(8, side="new"), "extra": rows(5, side="new")}
+    keys, seen = dict.fromkeys(snapshot, "id"), {}
+    for mode in ("merge", "replace"):
+        after, counts = sync.import_snapshot(stored, snapshot, keys, mode)
+        seen[mode] = {name: sorted((r.id, r.side) for r in t.collect()) for name, t in after.items()}
+        assert {r.name: r.n for r in counts.collect()} == {"chunks": 2, "manifest": 1, "conversations": 1, "extra": 1}
+    talks = [(7, "old"), (8, "new")]
+    assert seen["merge"] == {"chunks": [(1, "old"), (2, "new"), (3, "new")], "manifest": [(1, "old")], "conversations": talks, "extra": [(5, "new")]}
+    assert seen["replace"] == {"chunks": [(2, "new"), (3, "new")], "manifest": [(3, "new")], "conversations": talks, "extra": [(5, "new")]}
+    assert sync.import_snapshot({}, snapshot, keys, "merge")[0]["manifest"].count() == 1
+    with pytest.raises(ValueError):
+        sync.import_snapshot(stored, snapshot, keys, "rebuild")
+
+
+def test_syntheses(spark):
+    answers = spark.createDataFrame([(1, 'Say "hi"?', " yes\n", "a1"), (2, " ", "x", "a2"), (3, "q", None, "a3"), (4, "?!", "ok", "a4")], "id long, question string, answer string, suffix string")
+    sources = spark.createDataFrame([(1, 2, None, "", None, None), (1, 1, "n.md", "Top", 1.0, "/v/n.md")], "id long, rank int, file_name string, heading string, score double, file_path string")
+    got = {r.id: r for r in sessions.syntheses(answers, sources, "2026-01-31T12:00:00").collect()}
+    assert set(got) == {1, 4} and got[1].file_name == "2026-01-31-Say-hi-a1.md" and got[4].file_name == "2026-01-31-qa-a4.md"
+    assert got[1].content.startswith('---\ntype: synthesis\ndate: 2026-01-31T12:00:00\nquestion: "Say \\"hi\\"?"\nsource_count: 2\n---\n\n# Say "hi"?\n\nyes\n\n## ')
+    assert got[1].content.endswith("- [[n.md]] (Top) · 分数 1.000 · `/v/n.md`\n- [[unknown]] · 分数  · ``\n") and got[4].content.endswith("(0)\n\n")
