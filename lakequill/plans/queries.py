@@ -595,6 +595,12 @@ def y4_sync_stats(spark: SparkSession, d: str) -> DataFrame:
     return sync.stats(sync.diff(*files(spark, d)))
 
 
+@query(f"WITH {FILES} SELECT path, hash FROM m WHERE mtime <> 999")
+def y5_readable_manifest(spark: SparkSession, d: str) -> DataFrame:
+    m = files(spark, d)[1].withColumn("version", F.when(F.col("mtime") == 999, 1).otherwise(2))
+    return sync.readable_manifest(m, 2).select("path", "hash")
+
+
 @query(f"WITH {FILES} SELECT path, 'added' AS state FROM f")
 def y3_rebuild(spark: SparkSession, d: str) -> DataFrame:
     f, m = files(spark, d)
