@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakequill.llm import byte_bpe, jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup, topk_search, url_filters
+from lakequill.llm import byte_bpe, conversation_repair, jaccard_join, language_id, lm_scoring, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, topk_search, url_filters
 from lakequill.llm.text import fold
 
 
@@ -57,6 +57,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.with_tails(table(spark, sf_dir, "documents"))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(*conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
 m AS (
@@ -93,5 +101,5 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 20
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_rules, op4_byte_bpe, op5_jaccard_join, op6_topk_search, op7_lm_scoring, op8_quality_classifier, op9_url_filters, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_rules, op4_byte_bpe, op5_jaccard_join, op6_topk_search, op7_lm_scoring, op8_quality_classifier, op9_url_filters, op10_language_id, op11_periodic_runs, op13_conversation_repair)}
 ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_topk_search": OP6_SQL}
