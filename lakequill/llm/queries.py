@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakequill.llm import byte_bpe, conversation_repair, jaccard_join, language_id, lm_scoring, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, topk_search, url_filters
+from lakequill.llm import byte_bpe, conversation_repair, jaccard_join, language_id, lm_scoring, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, topk_search, toxicity, url_filters
 from lakequill.llm.text import fold
 
 
@@ -61,6 +61,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(periodic_runs.with_tails(table(spark, sf_dir, "documents"))))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), (4, 2))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(*conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations"))))
 
@@ -101,5 +106,5 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 20
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_rules, op4_byte_bpe, op5_jaccard_join, op6_topk_search, op7_lm_scoring, op8_quality_classifier, op9_url_filters, op10_language_id, op11_periodic_runs, op13_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_rules, op4_byte_bpe, op5_jaccard_join, op6_topk_search, op7_lm_scoring, op8_quality_classifier, op9_url_filters, op10_language_id, op11_periodic_runs, op12_toxicity, op13_conversation_repair)}
 ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_topk_search": OP6_SQL}
