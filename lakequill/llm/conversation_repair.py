@@ -261,7 +261,7 @@ def paths(open_blocks: DataFrame) -> DataFrame:
 FIGURES = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
 
 
-def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repair(conversations: DataFrame, most: int = 4096) -> tuple[DataFrame, DataFrame]:
     """What ails each conversation, and the cheapest edits that mend it.
 
     conversations: conv_id, turn, role, text and, if there is one, the boolean `gone`, whose rows only name their
@@ -273,12 +273,12 @@ def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     First: conv_id, gaps (turn numbers missing between least and greatest), blank, duplicate, truncated, illegal
     (neighbours that don't follow each other), cost, audit. Second: conv_id, part, block, closed and `turns` (edit, role,
     text), in order of part and block; conversations without rows have no turns there. A null conv_id is one
-    conversation; an empty table gives no rows.
+    conversation; an empty table gives no rows. `most`: rows of a stretch.
     """
     rows = conversations if "gone" in conversations.columns else conversations.withColumn("gone", F.lit(False))
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c)
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), said("role"), said("text"), "gone")
-    made = kept(blocks(with_faults(rows)))
+    made = kept(blocks(with_faults(rows), most))
     open_ones = made.where("not closed")
     ways = kept(paths(open_ones))
     gaps = F.coalesce(F.col("high") - F.col("low") + 1 - F.col("distinct"), F.lit(0)).alias("gaps")

@@ -106,5 +106,51 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 20
 """
 
+def conversation_sql() -> str:
+    """The same programme as a recursive query, which carries cost, edits and repaired text for each of the four places."""
+    far = "{'c': 1000000000::BIGINT, 'a': '', 'o': ''}"
+
+    def go(s: str, cost: int | str, letter: str, out: str = "''") -> str:
+        return f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'o': {s}.o || {out}}}"
+
+    def best(*of: str) -> str:
+        return f"list_sort([{', '.join(of)}])[1]"
+
+    def when(test: str, then: str) -> str:
+        return f"CASE WHEN {test} THEN {then} ELSE {far} END"
+
+    extra, stays = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END", "fault NOT IN ('blank', 'duplicate')"
+    line = "chr(10) || role || ':' || text"
+    as_ = lambda role: f"chr(10) || '{role}:' || text"
+    keep = lambda s, own: when(f"{stays} AND starts_with(role, '{own}')", go(s, extra, "K", line))
+    rerole = lambda s, role: when(stays, go(s, f"1 + {extra}", "R", as_(role)))
+    step = {
+        0: best(go("s0", 2, "D")),
+        1: best(go("s1", 2, "D"), keep("s0", "s")),
+        2: best(go("s2", 2, "D"), *[f(s, own) for s in ("s0", "s1", "s3") for f, own in ((keep, "u"), (rerole, "user"))]),
+        3: best(go("s3", 2, "D"), keep("s2", "a"), rerole("s2", "assistant")),
+    }
+    user = best("s2", *[go(s, 5, "I", "chr(10) || 'user:'") for s in ("s0", "s1", "s3")])
+    assistant = best("s3", go("s2", 5, "I", "chr(10) || 'assistant:'"))
+    first = f"(SELECT k, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS s0, {far} AS s1, {far} AS s2, {far} AS s3 FROM known)"
+    inserted = lambda rows: f"SELECT k, i, s0, s1, s2, {assistant} AS s3 FROM (SELECT k, i, s0, s1, {user} AS s2, s3 FROM {rows})"
+    return rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS k,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS fate FROM conversations, crc),
+known AS (SELECT DISTINCT k, conv_id FROM c),
+d AS (SELECT k, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(role) OVER (PARTITION BY k ORDER BY i) AS before FROM o),
+dp AS ({inserted(first)} UNION ALL {inserted(f'(SELECT r.k, r.i, {step[0]} AS s0, {step[1]} AS s1, {step[2]} AS s2, {step[3]} AS s3 FROM dp JOIN r ON r.k = dp.k AND r.i = dp.i + 1)')}),
+e AS (SELECT k, {best('s0', 's3')} AS s FROM (SELECT k, arg_max(s0, i) AS s0, arg_max(s3, i) AS s3 FROM dp GROUP BY k)),
+f AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, s.c AS cost, s.a AS audit, sha256(substr(s.o, 2)) AS repaired_sha256
+FROM known LEFT JOIN f USING (k) JOIN e USING (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_rules, op4_byte_bpe, op5_jaccard_join, op6_topk_search, op7_lm_scoring, op8_quality_classifier, op9_url_filters, op10_language_id, op11_periodic_runs, op12_toxicity, op13_conversation_repair)}
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_topk_search": OP6_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_topk_search": OP6_SQL, "op13_conversation_repair": conversation_sql()}
