@@ -343,6 +343,18 @@ def test_lm_scores_do_not_depend_on_layout(spark):
     assert all(r.bits_per_byte == pytest.approx(-r.score * np.log2(10) / (len(texts[r.doc_id]) + 2)) for r in got[0].values())
 
 
+def test_lm_learns_from_training_texts_alone(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = [prose(i % 7, 60) + f" once{i}" for i in range(400)]
+    other = [prose(5, 60) + " twice twice once9" if i == held[0] else f"new{i} zebra zebra " * 40 + prose(i, 90) if i in held else t for i, t in enumerate(texts)]
+    texts[held[0]] = other[held[0]]  # the probe stays, all other held-out texts change
+    for most in (1 << 17, 6):
+        was, now = ({r.doc_id: r for r in lm_scoring.score(frame(spark, x).repartition(n), (7, 2), most).collect()} for x, n in ((texts, 3), (other, 5)))
+        same = [held[0], *(i for i in range(400) if i not in held)]
+        assert [now[i].score for i in same] == pytest.approx([was[i].score for i in same], rel=1e-9)
+        assert [now[i].base_score for i in same] == pytest.approx([was[i].base_score for i in same]) and [now[i].n_known for i in same] == [was[i].n_known for i in same] and now[held[1]].score != was[held[1]].score
+
+
 def test_lm_of_odd_rows(spark):
     texts = [prose(1, 50), None, "", " ", "x" * 5000, prose(2, 6000), prose(1, 50)]
     rows = lm_scoring.score(frame(spark, texts, [None, 1, 2, 3, 4, 5, 5]), (7, 2)).collect()
