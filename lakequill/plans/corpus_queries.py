@@ -11,7 +11,7 @@ from lakequill.operators import chunking, evaluation, indexing, retrieval, sessi
 from lakequill.plans.fixtures import BM25, CHUNKS, LINES, MARKDOWN, chunks, files, lines, markdown, queries, table
 from lakequill.plans.queries import RERANK, SQL, bm25, query, reranked, token_dense, weighted
 from lakequill.sources import datasets, files as sources, html
-from lakequill.streaming import events
+from lakequill.streaming import events, ingest, keyed
 
 
 def folder(spark: SparkSession) -> str:
@@ -172,13 +172,46 @@ def e12_ablation(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.ablation({"sparse": own(bm25(spark, d)), "dense": own(token_dense(spark, d)), "hybrid": own(weighted(spark, d)), "hybrid+rerank": own(reranked(spark, d))}, good, 5)
 
 
-@query("SELECT doc_id, count(*) AS n, sum(length(l)) ::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 4 <> 1 THEN text || chr(10) || 'changed' ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 9 <> 4)
+    SELECT doc_id, count(*) AS n, sum(length(l))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) GROUP BY doc_id""")
 def t2_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """A stream over the documents' files, chunked by line into a sink and read from there."""
-    schema = table(spark, d, "documents").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
-    cut = lambda docs: docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return events.ingest(stream, cut, folder(spark)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    """Three waves of files through a stream: most documents; changed, new, unreadable and unchanged ones; the changed ones
+    again. Then files that are no longer listed go."""
+    at = folder(spark)
+    docs, schema = table(spark, d, "documents"), "doc_id long, path string, mtime long, text string"
+    path = F.concat(F.lit("/v/"), F.col("doc_id").cast("string")).alias("path")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\nchanged"))).otherwise(F.col("text"))
+    waves = (
+        docs.where("doc_id % 4 <> 0 and doc_id % 9 <> 4").select("doc_id", path, F.lit(1).cast("long").alias("mtime"), "text"),
+        docs.where("doc_id % 4 <> 1").select("doc_id", path, F.lit(2).cast("long").alias("mtime"), F.when(F.col("doc_id") % 9 != 4, changed).alias("text")),
+        docs.where("doc_id % 5 = 0 and doc_id % 4 <> 1 and doc_id % 9 <> 4").select("doc_id", path, F.lit(2).cast("long").alias("mtime"), changed.alias("text")),
+    )
+    cut = lambda files: files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{at}/in")
+        ingest.ingest(spark.readStream.schema(schema).parquet(f"{at}/in"), cut, f"{at}/index")
+    ingest.sweep(docs.where("doc_id % 13 <> 0").select(path), f"{at}/index")
+    chunks = ingest.stored(spark, f"{at}/index", "path string, pos int, line string")
+    return chunks.groupBy(F.substring("path", 4, 20).cast("long").alias("doc_id")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+def closed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream, with one more days after the last, which moves the watermark past all others."""
+    e, at = table(spark, d, "events").select("user_id", "event_id", "ts"), folder(spark)
+    e.agg(F.max("ts").alias("ts"), F.max("user_id").alias("user_id")).select("user_id", F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 9 days")).alias("ts")).write.parquet(at)
+    both = [spark.readStream.schema(e.schema).parquet(x) for x in (f"{d}/events.parquet*", at)]
+    return both[0].union(both[1])
+
+
+@query(SQL["t3_admission"])
+def t3_stream_admission(spark: SparkSession, d: str) -> DataFrame:
+    return keyed.written(keyed.stream_admitted(closed_stream(spark, d), "user_id", 86400, 3), folder(spark))
+
+
+@query("SELECT user_id, ts AS last FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NULL OR epoch_us(next) - epoch_us(ts) > 86400000000")
+def t4_idle_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Each time that a user has been idle for more than a day."""
+    return keyed.written(keyed.stream_idle(closed_stream(spark, d), "user_id", 86400), folder(spark))
 
 
 @query("SELECT user_id, max(ts) AS last, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) > 86400000000 AS expired FROM events GROUP BY user_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,10 +17,15 @@ PROTECTED = ("file_path", "file_name", "file_size", "modified_time", "source_dir
 
 
 def scratch(spark: SparkSession) -> str:
-    """A shared folder for what jobs write: spark.checkpoint.dir, or a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for what jobs write: spark.checkpoint.dir or the context's checkpoint folder. Where neither is
+    set, a temporary folder in local mode, and an error elsewhere, as executors would not see it."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp(prefix="lakequill-"))
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lakequill-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

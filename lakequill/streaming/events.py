@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -20,22 +22,43 @@ def stream_bursts(events: DataFrame, by: str, gap_seconds: int, late: str = "10
     return events.withWatermark("ts", late).groupBy(by, F.session_window("ts", f"{gap_seconds} seconds").alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count("*").alias("n")).drop("w")
 
 
+def in_order(events: DataFrame, by: str) -> DataFrame:
+    """by, event_id and t (microseconds), each key's rows in one task and in the order of time and id."""
+    t = F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
+    return events.select(by, "event_id", t).repartition(by).sortWithinPartitions(by, "t", "event_id")
+
+
 def admitted(events: DataFrame, by: str, window_seconds: int, most: int) -> DataFrame:
     """by, event_id, ok: whether fewer than `most` admitted events lie in the window before (its far edge counts).
 
-    Admission depends on earlier admissions, so it is a fold over each key's events in order, which carries the
-    admitted times that the window still holds.
+    Admission depends on earlier admissions, so each key's rows stream by in order; of them only the admitted times that
+    the window still holds are kept, `most` at most. Rows without a time are admitted never.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")))
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<boolean>").alias("ok"))
+    kind = events.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = object(), deque()
+        for batch in batches:
+            ok = []
+            for now, t in zip(batch.column(0).to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if now != key:
+                    key, held = now, deque()
+                ok.append(admits(held, t, window_seconds, most))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("event_id"), pa.array(ok, pa.bool_())], [by, "event_id", "ok"])
+
+    return in_order(events, by).mapInArrow(run, f"`{by}` {kind}, event_id {events.schema['event_id'].dataType.simpleString()}, ok boolean")
 
-    def step(a: Column, e: Column) -> Column:
-        held = F.filter(a["held"], lambda t: t >= e["t"] - window_seconds * 1_000_000)
-        ok = F.size(held) < most
-        return F.struct(F.when(ok, F.concat(held, F.array(e["t"]))).otherwise(held).alias("held"), F.concat(a["ok"], F.array(ok)).alias("ok"))
 
-    folded = events.groupBy(by).agg(rows.alias("rows")).withColumn("ok", F.aggregate("rows", start, step)["ok"])
-    return folded.select(by, F.explode(F.arrays_zip("rows", "ok")).alias("z")).select(by, F.col("z.rows.event_id").alias("event_id"), F.col("z.ok").alias("ok"))
+def admits(held: deque[int], t: int | None, window_seconds: int, most: int) -> bool:
+    """Whether an event at t (microseconds) is admitted after those at the times held, which change with it."""
+    if t is None:
+        return False
+    while held and t - held[0] > window_seconds * 1_000_000:
+        held.popleft()
+    if len(held) >= most:
+        return False
+    held.append(t)
+    return True
 
 
 def request_figures(requests: DataFrame, latest: int = 200) -> DataFrame:
@@ -55,16 +78,3 @@ def expired_keys(events: DataFrame, by: str, idle_seconds: int) -> DataFrame:
     now = last.agg(F.max("last").alias("now"))
     gap = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))
     return last.join(F.broadcast(now)).select(by, "last", (gap > idle_seconds * 1_000_000).alias("expired"))
-
-
-def stream_first_events(events: DataFrame, by: str, idle: str = "300 seconds") -> DataFrame:
-    """The first event of each key in a stream; a key's state is dropped once the watermark has left it `idle` behind."""
-    return events.withWatermark("ts", idle).dropDuplicatesWithinWatermark([by])
-
-
-def ingest(source: DataFrame, chunked: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
-    """Runs what a stream of documents holds now through `chunked` into a Parquet sink under folder, once each, and
-    returns the sink's table; a later call with the same folder goes on from there."""
-    rows = chunked(source)
-    rows.writeStream.format("parquet").option("path", f"{folder}/chunks").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return source.sparkSession.read.schema(rows.schema).parquet(f"{folder}/chunks")

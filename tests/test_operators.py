@@ -163,16 +163,6 @@ def test_index_versions(spark, tmp_path):
     assert {r.v for r in indexing.add(rows, new).collect()} == {"a", "b", "d"} and {r.v for r in indexing.add(rows, new, True).collect()} == {"a", "c", "d"}
 
 
-def test_stream_ingest_goes_on(spark, tmp_path):
-    rows = lambda a, b: spark.range(a, b).selectExpr("id as doc_id", "'x' as text").write.mode("append").parquet(str(tmp_path / "in"))
-    rows(0, 3)
-    for n in (3, 3, 5):
-        if n == 5:
-            rows(3, 5)
-        source = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
-        assert events.ingest(source, lambda d: d.select("doc_id"), str(tmp_path / "out")).count() == n
-
-
 def test_reserved_addresses(spark):
     bad = ["http://198.18.0.1/", "http://198.19.9.9", "http://192.0.2.5/x", "http://203.0.113.9", "http://192.0.0.1", "http://198.51.100.7"]
     good = ["http://198.20.0.1/", "http://192.0.3.5/x", "http://192.0.0.9", "http://198.51.101.7"]
