@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakequill.functions.text import context_tokens, is_synthesis, preview, tokens
@@ -88,27 +90,59 @@ def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 1.0,
     return top(hits, k, F.desc("score"), "chunk_id")
 
 
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """chunk_id, dl, term, tf: how often each chunk (chunk_id, content) has each of its dl tokens. Counted where the chunk
+    is, so that nothing is shuffled."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("t")
+            words = pc.dictionary_encode(pc.list_flatten(listed))
+            row, code = pc.list_parent_indices(listed).to_numpy(zero_copy_only=False).astype(np.int64), words.indices.to_numpy(zero_copy_only=False)
+            key, tf = np.unique(row * max(1, len(words.dictionary)) + code, return_counts=True)
+            row, code = np.divmod(key, max(1, len(words.dictionary)))
+            dl = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(row)), pa.array(dl[row]), words.dictionary.take(pa.array(code)), pa.array(tf)], ["chunk_id", "dl", "term", "tf"])
+
+    return chunks.select("chunk_id", tokens(F.col("content")).alias("t")).mapInArrow(count, f"chunk_id {kind}, dl long, term string, tf long")
+
+
+def raw_weight(chunks: int | Column) -> Column:
+    """The raw weight of terms that n of all chunks have."""
+    return F.log(chunks - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+
+
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings (term, chunk_id, tf, dl), terms (term, n, idf) and one row of totals (chunks, avgdl).
 
-    chunks: chunk_id, content. idf is ln(N - n + 0.5) - ln(n + 0.5); where that is negative, a quarter of the mean.
+    chunks: chunk_id, content. idf is ln(N - n + 0.5) - ln(n + 0.5); where that is negative, a quarter of the mean. For
+    an index that stays on disk see inverted.build.
     """
-    listed = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
-    postings = listed.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    totals = listed.agg(F.count("*").alias("chunks"), F.avg(F.size("t")).alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("chunks") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
+    postings = postings_of(chunks)
+    totals = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("chunks")))).select("chunks", (F.col("tokens") / F.col("chunks")).alias("avgdl"))
+    raw = postings.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(totals)).withColumn("raw", raw_weight(F.col("chunks")))
     floor = raw.agg((F.avg("raw") * 0.25).alias("floor"))
     terms = raw.crossJoin(F.broadcast(floor)).select("term", "n", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     return postings, terms, totals
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, times: how often each query (id, text) has each of its tokens."""
+    return queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def bm25_scores(wanted: DataFrame, postings: DataFrame, avgdl: float | Column, k: int, k1: float, b: float) -> DataFrame:
+    """query_id, chunk_id, rank, score: the k best, of which those above 0 stay. wanted: query_id, term, times, idf."""
+    weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    scored = wanted.join(postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    return top(scored, k, F.desc("score"), "chunk_id").where("score > 0").select("query_id", "chunk_id", "rank", "score")
+
+
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, rank, score: the k best by BM25, of which those above 0 stay. queries: id, text."""
+    """The k best chunks of each query (id, text) by BM25 over an index that is made for this search alone."""
     postings, terms, totals = bm25_index(chunks)
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(terms, "term").join(postings, "term").crossJoin(F.broadcast(totals)).groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return top(scored, k, F.desc("score"), "chunk_id").where("score > 0").select("query_id", "chunk_id", "rank", "score")
+    return bm25_scores(asked_terms(queries).join(terms, "term"), postings.crossJoin(F.broadcast(totals)), F.col("avgdl"), k, k1, b)
 
 
 def rrf(lists: list[DataFrame], n: int, k: int = 60, scored: bool = False) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakequill.functions import text as T
-from lakequill.operators import chunking, evaluation, retrieval, sessions, sync
+from lakequill.operators import chunking, evaluation, inverted, retrieval, sessions, sync
 from lakequill.plans.fixtures import BM25, CHUNKS, DENSE, LINES, MARKDOWN, TOKEN_DENSE, chunks, files, lines, markdown, ocr_pairs, queries, requests, table, token_vectors, vectors
+from lakequill.sources.files import scratch
 from lakequill.streaming import events
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,8 +299,25 @@ def dense(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.without_own(retrieval.dense_topk(*vectors(spark, d), 11), 10)
 
 
+BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder that write(folder) has filled, once for each application, input and name."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in BUILT:
+        write(at := f"{scratch(spark)}/lakequill-{uuid.uuid4().hex}")
+        BUILT[key] = at
+    return BUILT[key]
+
+
+def index(spark: SparkSession, d: str) -> str:
+    """The BM25 index over all chunks, which all queries share."""
+    return once(spark, d, "bm25", lambda at: inverted.build(chunks(spark, d), at))
+
+
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25_search(queries(spark, d), chunks(spark, d), 10)
+    return inverted.search(spark, index(spark, d), queries(spark, d), 10)
 
 
 @query(f"WITH {DENSE} SELECT query_id, chunk_id, rank::INTEGER AS rank, score FROM dense")
@@ -311,9 +330,12 @@ def r2_lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.without_own(retrieval.lsh_topk(*vectors(spark, d), 11), 10)
 
 
-@query(f"WITH {BM25} SELECT term, n::BIGINT AS n, round(idf, 6) AS idf FROM terms")
+@query(r"""WITH t AS (SELECT regexp_extract_all(lower(l), '[\p{L}\p{N}]+') AS t FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)),
+    n AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(t)) AS term FROM t) GROUP BY term),
+    r AS (SELECT term, n, ln((SELECT count(*) FROM t) - n + 0.5) - ln(n + 0.5) AS raw FROM n), f AS (SELECT avg(raw) * 0.25 AS floor FROM r)
+    SELECT term, n::BIGINT AS n, round(CASE WHEN raw < 0 THEN floor ELSE raw END, 6) AS idf FROM r, f""")
 def r3_bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25_index(chunks(spark, d))[1].select("term", "n", F.round("idf", 6).alias("idf"))
+    return inverted.terms(spark, index(spark, d)).select("term", "n", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, rank::INTEGER AS rank, score FROM bm25")
@@ -330,8 +352,14 @@ weighted AS (SELECT h.query_id, h.chunk_id, c.file_path, h.rank AS before, round
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS rank FROM weighted)"""
 
 
+def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """id and embedding of all chunks, which all queries share."""
+    at = once(spark, d, "vectors", lambda at: token_vectors(chunks(spark, d).withColumnRenamed("chunk_id", "id"), "content").select("id", "embedding").write.parquet(at))
+    return spark.read.parquet(at)
+
+
 def token_dense(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.dense_topk(token_vectors(queries(spark, d), "text"), token_vectors(chunks(spark, d).withColumnRenamed("chunk_id", "id"), "content"), 10)
+    return retrieval.dense_topk(token_vectors(queries(spark, d), "text"), chunk_vectors(spark, d), 10)
 
 
 def second(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
