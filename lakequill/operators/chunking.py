@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FENCE, HEADING = r"^\s*(```|~~~)", r"^(#{1,6})\s+(.+)$"
@@ -25,13 +28,32 @@ def sections(docs: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(body, F.struct("line", "text")))), lambda s: s["text"]), "\n").alias("content"),
     )
     grouped = grouped.withColumn("heading_level", F.length(F.regexp_extract("head", HEADING, 1))).withColumn("heading", F.regexp_replace(F.regexp_extract("head", HEADING, 2), r"(?U)^\s+|\s+$", ""))
-    heads = F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "heading_level", "heading"))).over(Window.partitionBy("doc_id")))
-    push = lambda acc, h: F.concat(F.slice(acc, 1, F.least(F.size(acc), h["heading_level"] - 1)), F.array(h["heading"]))
-    path = F.aggregate(F.filter("heads", lambda h: h["n"] <= F.col("n")), F.array().cast("array<string>"), push)
-    numbered = grouped.withColumn("heads", heads).withColumn("heading_path", F.array_join(path, " > ")).withColumn("section", F.sum((F.col("body_lines") > 0).cast("int")).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    numbered = with_paths(grouped)
     return numbered.where(F.col("content").rlike(r"(?U)\S")).select("doc_id", "section", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("heading_level", F.lit(0)).alias("heading_level"), "heading_path", (F.col("first") + 1).alias("start_line"), (F.col("last") + 1).alias("end_line"), "content")
 
 
+def with_paths(sections: DataFrame) -> DataFrame:
+    """sections (doc_id, n, heading, heading_level, body_lines, ...) with section (how many before it have body lines) and
+    heading_path. A document's sections stream by in order; only the stack of open headings, six at most, is kept."""
+    schema = sections.select("*", F.lit(0).cast("long").alias("section"), F.lit("").alias("heading_path")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, stack, count = object(), [], 0
+        for batch in batches:
+            numbers, paths = [], []
+            for now, level, heading, body in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "heading_level", "heading", "body_lines")], strict=True):
+                if now != doc:
+                    doc, stack, count = now, [], 0
+                if level:
+                    stack = [*stack[: level - 1], heading]
+                count += body > 0
+                numbers.append(count - 1)
+                paths.append(" > ".join(stack))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(paths, pa.string())], [*batch.schema.names, "section", "heading_path"])
+
+    return sections.repartition("doc_id").sortWithinPartitions("doc_id", "n").mapInArrow(run, schema)
+
+
 def packed(content: Column, size: int, overlap: int, separator: str = "\n\n") -> Column:
     """Parts of a text packed greedily up to `size` characters; each piece after the first starts with the last
     `overlap` characters of the one before. A part longer than size stays whole."""
@@ -98,13 +120,24 @@ def without_fence(content: Column) -> Column:
 
 
 def payload_cap(items: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
-    """items with `kept`: in order, those whose size still fits beside the ones kept so far. One fold a group."""
-    rows = F.array_sort(F.collect_list(F.struct(order, size)))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-    fits = lambda a, s: a["used"] + s[size] <= most
-    fold = F.aggregate("rows", start, lambda a, s: F.struct(F.when(fits(a, s), a["used"] + s[size]).otherwise(a["used"]).cast("long").alias("used"), F.concat(a["kept"], F.array(fits(a, s))).alias("kept")))
-    done = items.groupBy(by).agg(rows.alias("rows")).withColumn("kept", fold["kept"])
-    return done.select(by, F.explode(F.arrays_zip("rows", "kept")).alias("z")).select(by, F.col(f"z.rows.{order}").alias(order), F.col(f"z.rows.{size}").alias(size), F.col("z.kept").alias("kept"))
+    """by, order, size and `kept`: in order, those whose size still fits beside the ones kept so far. A group's rows
+    stream by in order; only the total is kept. A row without a size isn't kept."""
+    rows = items.select(by, order, size).repartition(by).sortWithinPartitions(by, order, size)
+    schema = rows.withColumn("kept", F.lit(True)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used = object(), 0
+        for batch in batches:
+            kept = []
+            for now, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if now != group:
+                    group, used = now, 0
+                fits = n is not None and used + n <= most
+                used += n if fits else 0
+                kept.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], [*batch.schema.names, "kept"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def font_headings(spans: DataFrame) -> DataFrame:

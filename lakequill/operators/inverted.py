@@ -55,7 +55,7 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, k1: flo
     beyond that the join is shuffled, and a term that many chunks have is split by Spark's skew join.
     """
     totals = spark.read.parquet(f"{folder}/totals").first()
-    asked = asked_terms(queries).persist()
+    asked = asked_terms(queries)
     pairs = asked.agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms")).first()
     bucket = F.pmod(F.xxhash64("term"), F.lit(totals.buckets)).cast("int")
     kind = dict(spark.read.parquet(f"{folder}/postings").dtypes)["chunk_id"] if pairs.n and totals.avgdl else "long"

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from functools import reduce
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakequill.functions import text as T
-from lakequill.operators import chunking, evaluation, indexing, retrieval, sessions
-from lakequill.plans.fixtures import BM25, CHUNKS, LINES, MARKDOWN, chunks, files, lines, markdown, queries, table
-from lakequill.plans.queries import RERANK, SQL, bm25, query, reranked, token_dense, weighted
-from lakequill.sources import datasets, files as sources, html
+from lakequill.operators import chunking, evaluation, indexing, inverted, retrieval, retrieve, sessions
+from lakequill.plans.fixtures import BM25, CHUNKS, LINES, MARKDOWN, TOKEN_DENSE, chunks, files, lines, markdown, queries, table, token_vectors
+from lakequill.plans.queries import RERANK, SQL, bm25, chunk_vectors, index, query, reranked, token_dense, weighted
+from lakequill.sources import datasets, files as sources, folders, html
 from lakequill.streaming import events, ingest, keyed
 
 
@@ -37,6 +41,26 @@ def s1_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.split_part("line", F.lit("\t"), F.lit(1)).cast("long").alias("doc_id"), F.split_part("line", F.lit("\t"), F.lit(2)).alias("digest"))
 
 
+@query("""SELECT CASE WHEN doc_id % 5 = 1 THEN '.dot' || doc_id || '.MD' ELSE 'd' || doc_id || '.txt' END AS name, octet_length(encode(text)) AS size, md5(text) AS hash FROM documents WHERE doc_id % 5 < 2 AND length(text) > 0""")
+def s1b_sync_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Files written from documents: dot-files are listed, other endings and folders to be skipped are not."""
+    root, i = folder(spark), F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("a/.dot"), i, F.lit(".MD"))).when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a/b/c/d"), i, F.lit(".txt"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit(".git/d"), i, F.lit(".md"))).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("a/wiki/d"), i, F.lit(".md"))).otherwise(F.concat(F.lit("a/d"), i, F.lit(".pdf")))
+    at = root.removeprefix("file:")
+
+    def put(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for path, text in zip(pdf["name"], pdf["text"], strict=True):
+                file = Path(at, path)
+                file.parent.mkdir(parents=True, exist_ok=True)
+                file.write_bytes(text.encode())
+            yield pdf[["name"]]
+
+    table(spark, d, "documents").where(F.length("text") > 0).select(name.alias("name"), "text").mapInPandas(put, "name string").count()
+    found = folders.sync_scan(spark, at)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "hash")
+
+
 @query()
 def s2_decoded(spark: SparkSession, d: str) -> DataFrame:
     latin = F.regexp_replace("text", r"[^\x{00}-\x{ff}]", "?")
@@ -217,3 +241,63 @@ def t4_idle_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, max(ts) AS last, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) > 86400000000 AS expired FROM events GROUP BY user_id")
 def t4_expired_keys(spark: SparkSession, d: str) -> DataFrame:
     return events.expired_keys(table(spark, d, "events"), "user_id", 86400)
+
+
+WITH_FILTERS = RERANK.replace(TOKEN_DENSE, TOKEN_DENSE.replace("q.asked AND NOT c.asked", "q.asked AND NOT c.asked AND c.id // 100000 % 3 <> 0")[:-1] + " AND score >= 0.9)")
+
+
+def overlap(query: str, contents: list[str]) -> list[float]:
+    """A scorer over batches: the share of a query's distinct tokens that each content has; queries on `th` words fail."""
+    import regex
+
+    words = lambda x: {*regex.findall(r"[\p{L}\p{N}]+", x.lower())}
+    asked = words(query)
+    if "the" in asked:
+        raise TimeoutError("no answer")
+    return [round(len(asked & words(c)) / len(asked), 6) if asked else 0.0 for c in contents]
+
+
+FAILING = "contains(' ' || regexp_replace(lower(b.text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', ' the ')"
+#: The scorer's failures: such queries keep their scores and their order.
+BY_BATCHES = f""",
+pool2 AS (SELECT r.query_id, r.chunk_id, r.rank AS before, r.score AS old, {FAILING} AS failed, list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}]+')) AS q, regexp_extract_all(lower(c.content), '[\\p{{L}}\\p{{N}}]+') AS t, count(*) OVER (PARTITION BY r.query_id) AS m FROM ranked r JOIN benchmark b ON b.item_id = r.query_id JOIN chunks c USING (chunk_id) WHERE r.rank <= 8),
+re2 AS (SELECT query_id, chunk_id, before, m > 1 AND failed AS failed, CASE WHEN m > 1 AND NOT failed THEN round(coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0), 6) ELSE old END AS score FROM pool2),
+batched AS (SELECT query_id, chunk_id, score, failed, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN failed THEN 0 ELSE -score END, before, chunk_id) AS rank FROM re2),
+again2 AS (SELECT r.query_id, r.chunk_id, r.rank AS before, round(CASE WHEN contains(c.file_path, 'syntheses') THEN score * 0.5 ELSE score END, 6) AS score FROM batched r JOIN chunks c USING (chunk_id)),
+last AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS rank FROM again2)"""
+
+
+@query(f"WITH {RERANK}{BY_BATCHES} SELECT query_id, chunk_id, rank::INTEGER AS rank, round(score, 6) AS score, failed FROM batched")
+def r8_rerank_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A scorer called with batches, which fails for some queries."""
+    return retrieve.rerank_batches(weighted(spark, d), queries(spark, d), chunks(spark, d), 8, overlap).withColumn("score", F.round("score", 6))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return token_vectors(queries(spark, d), "text")
+
+
+@query(f"WITH {WITH_FILTERS}{BY_BATCHES} SELECT query_id, chunk_id, rank::INTEGER AS rank, round(score, 4) AS score FROM last WHERE rank <= 5 AND score >= 0.1")
+def r11_with_filters(spark: SparkSession, d: str) -> DataFrame:
+    """From end to end with a filter on the dense recall, both thresholds and the scorer over batches."""
+    search = lambda q, n: inverted.search(spark, index(spark, d), q, n)
+    return retrieve.retrieve(asked(spark, d), chunk_vectors(spark, d), chunks(spark, d), search, where=F.col("doc_id") % 3 != 0, dense_only_filter=True, candidates=10, fused=8, similarity=0.9, synthesis_weight=0.5, scorer=overlap, pool=8, k=5, rerank_threshold=0.1).withColumn("score", F.round("score", 4))
+
+
+@query(f"""WITH {LINES}, d AS (SELECT DISTINCT line, doc_id % 3 = 0 AS early FROM lines), k AS (SELECT line, bool_or(early) AS early FROM d GROUP BY line)
+    SELECT 1 AS run, 'a' AS model, count(*) AS computed, sum(length(line))::DOUBLE AS total FROM k WHERE early UNION ALL SELECT 2, 'a', count(*), sum(length(line))::DOUBLE FROM k WHERE NOT early
+    UNION ALL SELECT 3, 'a', 0, NULL UNION ALL SELECT 4, 'b', count(*), sum(length(line))::DOUBLE FROM k""")
+def s12_embedder(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a third of the documents are embedded, then all lines, then all once more, then all by another model:
+    how many texts each run computed, and the sum of their vectors' first component."""
+    at, rows = folder(spark), lines(spark, d)
+    lengths = lambda texts: [[len(t), 1.0] for t in texts]
+    before = retrieve.cached(at, rows)
+    out = []
+    for run, (some, model) in enumerate(((rows.where("doc_id % 3 = 0"), "a"), (rows, "a"), (rows, "a"), (rows, "b")), 1):
+        retrieve.embedded(some, "line", model, lengths, at)
+        now = retrieve.written(retrieve.cached(at, rows))
+        new = now.join(before, ["key", "model"], "left_anti")
+        out.append(new.agg(F.lit(run).alias("run"), F.lit(model).alias("model"), F.count("*").alias("computed"), F.sum(F.col("embedding")[0]).alias("total")))
+        before = now
+    return reduce(DataFrame.union, out)
