@@ -102,3 +102,10 @@ def normal_ocr(c: Column, underscores: bool = False) -> Column:
     kept = F.filter(F.split(t, "\n"), lambda x: ~rule(x))
     bare = F.transform(kept, lambda x: F.regexp_replace(x, rf"^{SPACE}*(?:#{{1,6}}{SPACE}*|>+{SPACE}*)+", ""))
     return F.regexp_replace(F.array_join(bare, ""), rf"[*~`|{'_' if underscores else ''}]|{SPACE}", "")
+
+
+def page_title(found: Column, markdown: Column, url: Column) -> Column:
+    """A page's title: the one found in it (of `<title>` or `<h1>`), else its first Markdown heading, else its host."""
+    blank = lambda c: F.nullif(strip(c), F.lit(""))
+    heading = blank(F.regexp_replace(F.regexp_extract(markdown, r"(?m)^(#.*)$", 1), "^#+", ""))
+    return F.coalesce(blank(found), heading, F.regexp_extract(url, "://([^/?#]*)", 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -56,24 +57,32 @@ def with_paths(sections: DataFrame) -> DataFrame:
 
 def packed(content: Column, size: int, overlap: int, separator: str = "\n\n") -> Column:
     """Parts of a text packed greedily up to `size` characters; each piece after the first starts with the last
-    `overlap` characters of the one before. A part longer than size stays whole."""
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+    `overlap` characters of the one before. A part longer than size stays whole. One pass over a text's parts."""
 
-    def step(a: Column, p: Column) -> Column:
-        full = (F.length(a["now"]) > 0) & (F.length(a["now"]) + F.length(p) > size)
-        tail = F.substring(a["now"], -overlap, overlap) if overlap else F.lit("")
-        now = F.when(full, F.concat(tail, p, F.lit(separator))).otherwise(F.concat(a["now"], p, F.lit(separator)))
-        return F.struct(now.alias("now"), F.when(full, F.concat(a["out"], F.array(a["now"]))).otherwise(a["out"]).alias("out"))
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            out, now, length = [], [], 0
+            for part in text.split(separator):
+                if length and length + len(part) > size:
+                    out.append("".join(now))
+                    now = [out[-1][-overlap:]] if overlap else []
+                    length = len(now[0]) if now else 0
+                now += [part, separator]
+                length += len(part) + len(separator)
+            return [*out, "".join(now)]
 
-    done = F.aggregate(F.split(content, separator), start, step)
-    every = F.concat(done["out"], F.array(done["now"]))
-    return F.filter(F.transform(every, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: F.length(x) > 0)
+        return texts.map(one)
+
+    return F.filter(F.transform(pack(content), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: F.length(x) > 0)
 
 
 def split_long(chunks: DataFrame, size: int, overlap: int, separator: str = "\n\n") -> DataFrame:
     """chunks (with content) of which those longer than `size` are split; sub_index numbers the pieces, else null."""
     long = F.length("content") > size
-    pieces = F.when(long, packed(F.col("content"), size, overlap, separator)).otherwise(F.array("content"))
+    pieces = F.when(long, packed(F.when(long, F.col("content")), size, overlap, separator)).otherwise(F.array("content"))
     out = chunks.withColumn("is_long", long).select("*", F.posexplode(pieces).alias("sub", "piece"))
     return out.withColumn("sub_index", F.when(F.col("is_long"), F.col("sub"))).withColumn("content", F.col("piece")).drop("is_long", "sub", "piece")
 
@@ -147,6 +156,14 @@ def font_headings(spans: DataFrame) -> DataFrame:
     return spans.join(body, "doc_id").withColumn("is_heading", (F.col("size") >= 1.25 * F.col("body")) & (F.length("text") <= 120))
 
 
+def span_titles(spans: DataFrame, most: int = 80) -> DataFrame:
+    """doc_id, title: the first span (by page and seq) of a document's greatest size that has `most` characters at most;
+    null where none has."""
+    fits = F.col("size").isNotNull() & (F.length("text") <= most)
+    by_size = spans.groupBy("doc_id", "size").agg(F.min(F.when(fits, F.struct("page", "seq", "text"))).alias("first"))
+    return by_size.groupBy("doc_id").agg(F.max_by("first", "size").alias("first")).select("doc_id", F.col("first.text").alias("title"))
+
+
 def scanned_pages(pages: DataFrame, least: int = 16, most: int = 30) -> DataFrame:
     """Pages (doc_id, page, text) with hardly any text, at most `most` of a document."""
     few = pages.where(F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) < least)

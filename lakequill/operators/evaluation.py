@@ -51,6 +51,14 @@ def baseline_diff(now: DataFrame, baseline: DataFrame) -> DataFrame:
     return now.join(baseline.select("metric", F.col("value").alias("base")), "metric").where("value is not null and base is not null").withColumn("diff", F.round(F.col("value") - F.col("base"), 6))
 
 
+def baseline_report(now: DataFrame, baseline: DataFrame) -> DataFrame:
+    """baseline_diff() with `error`; where the two have no metric in common, one row that says so."""
+    diff = baseline_diff(now, baseline).withColumn("error", F.lit(None).cast("string"))
+    shared = now.join(baseline.select("metric"), "metric", "left_semi").agg(F.count("*").alias("shared"))
+    row = shared.where("shared = 0").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in diff.schema.fields[:-1]], F.lit("no metric in common with the baseline").alias("error"))
+    return diff.unionByName(row)
+
+
 def judge_summary(scores: DataFrame, by: str) -> DataFrame:
     """Mean of the valid scores (not -1), how many were valid, how many not."""
     return scores.groupBy(by).agg(F.round(F.avg(F.nullif(F.col("score"), F.lit(-1.0))), 6).alias("mean_score"), F.count_if(F.col("score") >= 0).alias("valid"), F.count_if(F.col("score") < 0).alias("errors"))
@@ -98,3 +106,18 @@ def ablation(configs: dict[str, DataFrame], gold: DataFrame, k: int) -> DataFram
     marked = every.join(gold.select("query_id", "doc_id", F.lit(1).alias("right")).distinct(), ["query_id", "doc_id"], "left")
     each = marked.groupBy("config", "query_id").agg(F.count("*").alias("n"), F.count("right").alias("right"))
     return each.groupBy("config").agg(F.count("*").alias("queries"), F.sum("n").alias("hits"), F.round(F.avg(F.col("right") / F.col("n")), 6).alias("precision"))
+
+
+def with_outcomes(details: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """full_details() with error and latency_ms (one digit) from outcomes (query_id, error, latency_ms). A query that
+    failed has no documents, hits or scores, and a context of no tokens; one without an outcome has neither."""
+    both = details.join(outcomes.select("query_id", "error", F.round("latency_ms", 1).alias("latency_ms")), "query_id", "left")
+    none = F.col("error").isNotNull()
+    kept = {c: F.when(~none, F.col(c)) for c in ("docs", "first_hit", "scores")}
+    return both.withColumns(kept | {"context_tokens": F.when(none, 0).otherwise(F.col("context_tokens"))})
+
+
+def details_summary(details: DataFrame) -> DataFrame:
+    """queries, failed, and over those that didn't fail the mean of context tokens and of latency, to one digit."""
+    ok = F.col("error").isNull()
+    return details.agg(F.count("*").alias("queries"), F.count_if(~ok).alias("failed"), F.round(F.avg(F.when(ok, F.col("context_tokens"))), 1).alias("context_tokens_mean"), F.round(F.avg(F.when(ok, F.col("latency_ms"))), 1).alias("latency_ms_mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def diff(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -28,10 +28,24 @@ def next_manifest(files: DataFrame, manifest: DataFrame, changes: DataFrame, fai
     return fresh.unionByName(stale)
 
 
-def next_chunks(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
-    """Chunks after a sync: old ones of changed or removed paths go once the new ones (path, ...) are at hand."""
-    gone = changes.where("state in ('updated', 'removed')").select("path")
-    wanted = changes.where("state in ('added', 'updated')").select("path")
+def outcomes(changes: DataFrame, failed: DataFrame, stored: DataFrame) -> DataFrame:
+    """changes with outcome: added, updated, removed, unchanged (touched files too) or skipped. An addition is skipped
+    where its path is stored already or has failed, an update where it has failed. failed, stored: path."""
+    marked = changes.join(failed.select("path", F.lit(True).alias("bad")).distinct(), "path", "left").join(stored.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+    skipped = (F.col("state").isin("added", "updated") & F.col("bad").isNotNull()) | ((F.col("state") == "added") & F.col("there").isNotNull())
+    return marked.select("path", "state", F.when(skipped, "skipped").when(F.col("state") == "touched", "unchanged").otherwise(F.col("state")).alias("outcome"))
+
+
+def outcome_stats(done: DataFrame) -> DataFrame:
+    """One row: added, updated, removed, unchanged, skipped."""
+    return done.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("added", "updated", "removed", "unchanged", "skipped")])
+
+
+def next_chunks(old: DataFrame, new: DataFrame, done: DataFrame) -> DataFrame:
+    """Chunks (path, ...) after a sync with the outcomes `done`: updated and removed files lose their old chunks, added and
+    updated ones have new ones; what was skipped keeps what it has."""
+    gone = done.where("outcome in ('updated', 'removed')").select("path")
+    wanted = done.where("outcome in ('added', 'updated')").select("path")
     return old.join(gone, "path", "left_anti").unionByName(new.join(wanted, "path", "left_semi"))
 
 
@@ -76,3 +90,19 @@ def import_snapshot(stored: dict[str, DataFrame], snapshot: dict[str, DataFrame]
 
 def delete(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return stored.join(keys.select(key), key, "left_anti")
+
+
+def flattened(metadata: Column) -> Column:
+    """A map of strings from a VARIANT object: strings as they are, null as the empty string, numbers, booleans, lists and
+    objects as JSON text."""
+    return F.transform_values(F.try_variant_get(metadata, "$", "map<string,variant>"), lambda _, v: F.coalesce(F.when(F.is_variant_null(v), F.lit("")), F.try_variant_get(v, "$", "string"), F.to_json(v)))
+
+
+def by_ids(stored: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The stored rows with one of the ids, once each."""
+    return stored.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def cleared(stored: DataFrame) -> DataFrame:
+    """The table without rows, as it is after a clear."""
+    return stored.limit(0)

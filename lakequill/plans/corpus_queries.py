@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakequill.functions import text as T
-from lakequill.operators import chunking, evaluation, indexing, inverted, retrieval, retrieve, sessions
-from lakequill.plans.fixtures import BM25, CHUNKS, LINES, MARKDOWN, TOKEN_DENSE, chunks, files, lines, markdown, queries, table, token_vectors
-from lakequill.plans.queries import RERANK, SQL, bm25, chunk_vectors, index, query, reranked, token_dense, weighted
+from lakequill.operators import chunking, evaluation, indexing, inverted, retrieval, retrieve, sessions, sync
+from lakequill.plans.fixtures import BM25, CHUNKS, LINES, MARKDOWN, TOKEN_DENSE, chunks, files, lines, markdown, queries, requests, table, token_vectors
+from lakequill.plans.queries import FILES, RERANK, SQL, bm25, chunk_vectors, evaluated, index, query, reranked, token_dense, weighted
 from lakequill.sources import datasets, files as sources, folders, html
 from lakequill.streaming import events, ingest, keyed
 
@@ -301,3 +301,124 @@ def s12_embedder(spark: SparkSession, d: str) -> DataFrame:
         out.append(new.agg(F.lit(run).alias("run"), F.lit(model).alias("model"), F.count("*").alias("computed"), F.sum(F.col("embedding")[0]).alias("total")))
         before = now
     return reduce(DataFrame.union, out)
+
+
+SYNCED = FILES + """,
+o AS (SELECT path, state, CASE WHEN state IN ('added', 'updated') AND path LIKE '%7' OR state = 'added' AND path LIKE '%4' THEN 'skipped' WHEN state = 'touched' THEN 'unchanged' ELSE state END AS outcome FROM c)"""
+
+
+def synced(spark: SparkSession, d: str) -> DataFrame:
+    """A sync in which paths that end in 7 fail and those that end in 4 are stored already."""
+    changes = sync.diff(*files(spark, d))
+    return sync.outcomes(changes, changes.where("path like '%7'").select("path"), changes.where("path like '%4'").select("path"))
+
+
+@query(f"WITH {SYNCED} SELECT count(*) FILTER (WHERE outcome = 'added') AS added, count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'removed') AS removed, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged, count(*) FILTER (WHERE outcome = 'skipped') AS skipped FROM o")
+def y4_sync_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return sync.outcome_stats(synced(spark, d))
+
+
+@query(f"""WITH {SYNCED}, {LINES}, k AS (SELECT '/v/' || doc_id AS path, pos FROM lines)
+    SELECT path, pos, 'old' AS v FROM k WHERE (path IN (SELECT path FROM m) OR path LIKE '%4') AND path NOT IN (SELECT path FROM o WHERE outcome IN ('updated', 'removed'))
+    UNION ALL SELECT path, pos, 'new' FROM k WHERE path IN (SELECT path FROM o WHERE outcome IN ('added', 'updated'))""")
+def y2_next_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = lines(spark, d).select(F.concat(F.lit("/v/"), F.col("doc_id").cast("string")).alias("path"), F.col("pos").cast("long").alias("pos"))
+    known = files(spark, d)[1].select("path", F.lit(True).alias("known"))
+    old = rows.join(known, "path", "left").where("known or path like '%4'").select("path", "pos", F.lit("old").alias("v"))
+    return sync.next_chunks(old, rows.withColumn("v", F.lit("new")), synced(spark, d))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, n_chars FROM documents)
+    SELECT doc_id, lang AS a, n_chars::VARCHAR AS b, '' AS c, '[1,"x"]' AS d, CASE WHEN doc_id % 2 = 0 THEN 'true' END AS e FROM d""")
+def s9_flattened_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata with a string, a number, a null, a list and, for some, a boolean."""
+    raw = F.concat(F.lit('{"a": "'), "lang", F.lit('", "b": '), F.col("n_chars").cast("string"), F.lit(', "c": null, "d": [1, "x"]'), F.when(F.col("doc_id") % 2 == 0, F.lit(', "e": true}')).otherwise("}"))
+    flat = table(spark, d, "documents").select("doc_id", sync.flattened(F.parse_json(raw)).alias("m"))
+    return flat.select("doc_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in "abcde"])
+
+
+@query(f"WITH {CHUNKS}, k AS (SELECT doc_id * 100000 AS chunk_id FROM labels) SELECT 'got' AS side, count(*) AS n, sum(length(content))::BIGINT AS chars FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM k) UNION ALL SELECT 'left', count(*), sum(length(content))::BIGINT FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM k) UNION ALL SELECT 'cleared', 0, NULL")
+def s10_s11_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The first chunks of labelled documents, got and deleted by id; then a clear."""
+    c, ids = chunks(spark, d), table(spark, d, "labels").select((F.col("doc_id") * 100000).alias("chunk_id"))
+    sides = {"got": sync.by_ids(c, ids, "chunk_id"), "left": sync.delete(c, ids, "chunk_id"), "cleared": sync.cleared(c)}
+    return reduce(DataFrame.union, [rows.agg(F.lit(side).alias("side"), F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")) for side, rows in sides.items()])
+
+
+@query(f"WITH {LINES}, s AS (SELECT *, CASE WHEN pos % 12 = 0 THEN 18.0 ELSE 12.0 END AS size FROM lines), x AS (SELECT doc_id, max(size) AS top FROM s GROUP BY doc_id) SELECT doc_id, arg_min(line, pos) FILTER (WHERE size = top AND length(line) <= 80) AS title FROM s JOIN x USING (doc_id) GROUP BY doc_id")
+def c16_span_titles(spark: SparkSession, d: str) -> DataFrame:
+    spans = lines(spark, d).select("doc_id", F.floor(F.col("pos") / 20).alias("page"), F.col("pos").alias("seq"), F.when(F.col("pos") % 12 == 0, 18.0).otherwise(12.0).alias("size"), F.col("line").alias("text"))
+    return chunking.span_titles(spans)
+
+
+@query("SELECT event_id, user_id, status, latency_ms, row_number() OVER (ORDER BY ts, event_id)::INTEGER AS n FROM (SELECT event_id, ts, user_id, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value AS latency_ms FROM events ORDER BY ts DESC, event_id DESC LIMIT 10)")
+def t5_recent_requests(spark: SparkSession, d: str) -> DataFrame:
+    return events.recent_requests(requests(spark, d)).drop("ts")
+
+
+@query(r"""WITH p AS (SELECT page_id, url, nullif(trim(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') AS h1 FROM pages)
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN h1 WHEN page_id % 3 = 1 THEN 'Second ' || page_id ELSE regexp_extract(url, '://([^/?#]*)', 1) END AS title FROM p""")
+def s7_markdown_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with their title, pages whose title is taken out but that have a heading, and pages with neither."""
+    i, gone = F.col("page_id") % 3, F.regexp_replace(F.regexp_replace("html", "(?s)<title>.*?</title>", ""), "(?s)<h1>.*?</h1>", "")
+    heading = F.concat(F.lit("<article><h2>Second "), F.col("page_id").cast("string"), F.lit("</h2><p>x</p>"))
+    page = F.when(i == 0, F.regexp_replace("html", "(?s)<title>.*?</title>", "")).when(i == 1, F.regexp_replace(gone, "<article[^>]*>", heading)).otherwise(F.lit("<article><p>x</p></article>"))
+    made = html.to_markdown(table(spark, d, "pages").select("page_id", "url", page.alias("html")))
+    return made.select("page_id", T.page_title(F.col("title"), F.col("markdown"), F.col("url")).alias("title"))
+
+
+@query(f"WITH {CHUNKS} SELECT 'chunks' AS name, count(*) AS n, sum(length(content))::BIGINT AS chars FROM chunks UNION ALL SELECT 'conversations', count(*), sum(length(text))::BIGINT FROM conversations")
+def s14_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """An export's files imported into an index that has half of the chunks, of other content, and no conversations."""
+    c, talks, at = chunks(spark, d), table(spark, d, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), folder(spark)
+    datasets.export({"chunks": c, "conversations": talks}, at)
+    stored = {"chunks": c.where("doc_id % 2 = 0").withColumn("content", F.lit("old")), "conversations": talks.limit(0)}
+    after, _ = sync.import_snapshot(stored, datasets.read_export(spark, at), {"chunks": "chunk_id", "conversations": "key"}, "merge")
+    return reduce(DataFrame.union, [after[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")) for name, text in (("chunks", "content"), ("conversations", "text"))])
+
+
+@query(f"""WITH e AS ({SQL["e9_full_details"]}), x AS (SELECT *, query_id % 5 = 0 AS bad, round(CASE WHEN query_id % 7 <> 0 THEN query_id * 1.5 + 0.25 END, 1) AS ms FROM e)
+    SELECT count(*) AS queries, count(*) FILTER (WHERE bad) AS failed, round(avg(context_tokens) FILTER (WHERE NOT bad), 1) AS context_tokens_mean, round(avg(ms) FILTER (WHERE NOT bad), 1) AS latency_ms_mean, count(docs) FILTER (WHERE NOT bad) AS with_docs FROM x""")
+def e9_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Details of an evaluation in which every fifth question failed and every seventh has no time."""
+    hits = bm25(spark, d).withColumn("doc_id", F.expr("chunk_id div 100000"))
+    blocks = hits.drop("doc_id").join(chunks(spark, d), "chunk_id").select("query_id", "rank", F.col("heading_path").alias("label"), "content")
+    full = evaluation.full_details(queries(spark, d), hits, hits.where("doc_id % 4 = query_id % 4").select("query_id", "doc_id"), retrieval.contexts(blocks, 1_000_000), 5)
+    took = queries(spark, d).select(F.col("id").alias("query_id"), F.when(F.col("id") % 5 == 0, "timeout").alias("error"), F.when(F.col("id") % 7 != 0, F.col("id") * 1.5 + 0.25).alias("latency_ms"))
+    done = evaluation.with_outcomes(full, took)
+    return evaluation.details_summary(done).crossJoin(done.agg(F.count("docs").alias("with_docs")))
+
+
+@query(f"WITH a AS ({SQL['e8_macro_average']}) SELECT 'shared' AS baseline, 'doc_mrr' AS metric, doc_mrr AS value, 0.5::DOUBLE AS base, round(doc_mrr - 0.5, 6) AS diff, NULL::VARCHAR AS error FROM a UNION ALL SELECT 'other', NULL, NULL, NULL, NULL, 'no metric in common with the baseline'")
+def e10_baseline_report(spark: SparkSession, d: str) -> DataFrame:
+    """Against a baseline of one metric and one unknown, and against one of unknown metrics alone."""
+    now = evaluation.long_form(evaluation.macro_average(evaluated(spark, d)))
+    base = lambda *names: spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("metric"), F.lit(0.5).alias("value"))
+    both = [evaluation.baseline_report(now, base(*names)).withColumn("baseline", F.lit(kind)) for kind, names in (("shared", ("doc_mrr", "hits@5")), ("other", ("hits@5", "recall")))]
+    return both[0].unionByName(both[1])
+
+
+GRID = f"""WITH {RERANK}, a AS (SELECT false AS rerank, false AS hybrid, query_id, chunk_id, rank FROM second WHERE rank <= 3 UNION ALL SELECT false, true, query_id, chunk_id, rank FROM ranked WHERE rank <= 3
+      UNION ALL SELECT true, true, query_id, chunk_id, rank FROM reranked),
+    s AS (SELECT a.*, c.doc_id, c.heading_path FROM a JOIN chunks c USING (chunk_id)),
+    g AS (SELECT rerank, hybrid, false AS parent, query_id, doc_id FROM s UNION ALL SELECT rerank, hybrid, true, query_id, doc_id FROM (SELECT DISTINCT rerank, hybrid, query_id, doc_id, heading_path FROM s)),
+    e AS (SELECT rerank, hybrid, parent, query_id, count(*) AS n, count(*) FILTER (WHERE contains(d.text, b.text)) AS good FROM g JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id GROUP BY ALL)
+    SELECT rerank, hybrid, parent, count(*) AS queries, sum(n)::BIGINT AS hits, round(avg(good / n), 6) AS precision FROM e GROUP BY ALL"""
+
+
+@query(GRID)
+def e12_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Rerank, hybrid and parent toggles; a document is right if it holds the question's text. Reranking comes with
+    hybrid recall alone here."""
+    c = chunks(spark, d)
+    lists = {(False, False): token_dense(spark, d).where("rank <= 3"), (False, True): weighted(spark, d).where("rank <= 3"), (True, True): reranked(spark, d)}
+    every = reduce(DataFrame.union, [h.select(F.lit(r).alias("rerank"), F.lit(y).alias("hybrid"), "query_id", "chunk_id", "rank", "score") for (r, y), h in lists.items()])
+    every = retrieve.written(every)  # used twice
+    own = every.join(c.select("chunk_id", "doc_id", "heading_path"), "chunk_id")
+    # one list of hits for each setting, its queries told apart by the setting's number
+    coded = every.select((F.col("query_id") * 4 + F.col("rerank").cast("int") * 2 + F.col("hybrid").cast("int")).alias("query_id"), "chunk_id", "rank", "score")
+    wide = retrieval.parents(coded, c, 1 << 30).select((F.col("query_id") % 4 >= 2).alias("rerank"), (F.col("query_id") % 2 == 1).alias("hybrid"), F.lit(True).alias("parent"), F.expr("query_id div 4").alias("query_id"), "doc_id")
+    marked = own.select("rerank", "hybrid", F.lit(False).alias("parent"), "query_id", "doc_id").union(wide)
+    texts = marked.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(queries(spark, d).select(F.col("id").alias("query_id"), F.col("text").alias("asked")), "query_id")
+    each = texts.groupBy("rerank", "hybrid", "parent", "query_id").agg(F.count("*").alias("n"), F.count_if(F.col("text").contains(F.col("asked"))).alias("good"))
+    return each.groupBy("rerank", "hybrid", "parent").agg(F.count("*").alias("queries"), F.sum("n").alias("hits"), F.round(F.avg(F.col("good") / F.col("n")), 6).alias("precision"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 ITEM = "id string, question string, gold_docs array<string>, gold_keywords array<string>, note string"
 
@@ -44,3 +44,14 @@ def export(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     counts = [spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in tables]
     reduce(DataFrame.union, counts).coalesce(1).write.json(f"{folder}/meta")
     return spark.read.schema("name string, n long").json(f"{folder}/meta")
+
+
+def read_export(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an export by name, as import_snapshot takes them. A table with other rows than `meta` counts, as after
+    an export that broke off, is an error."""
+    meta = spark.read.schema("name string, n long").json(f"{folder}/meta").collect()  # a row for each table
+    tables = {r["name"]: spark.read.parquet(f"{folder}/{r['name']}") for r in meta}
+    for r in meta:
+        if (n := tables[r["name"]].count()) != r["n"]:
+            raise ValueError(f"{r['name']} has {n} rows, the export says {r['n']}")
+    return tables

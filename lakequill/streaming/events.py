@@ -67,6 +67,11 @@ def request_figures(requests: DataFrame, latest: int = 200) -> DataFrame:
     return some.agg(F.count("*").alias("total"), F.count_if(F.col("status") >= 400).alias("errors"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.round(F.max("latency_ms"), 6).alias("max_ms"))
 
 
+def recent_requests(requests: DataFrame, most: int = 10) -> DataFrame:
+    """The last requests with their number, the oldest first."""
+    return requests.orderBy(F.desc("ts"), F.desc("event_id")).limit(most).withColumn("n", F.row_number().over(Window.orderBy("ts", "event_id")))
+
+
 def stage_timings(rows: DataFrame) -> DataFrame:
     """Calls, mean and greatest time of each stage (stage, ms)."""
     return rows.groupBy("stage").agg(F.count("*").alias("calls"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.max("ms"), 6).alias("max_ms"))
