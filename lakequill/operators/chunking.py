@@ -187,6 +187,7 @@ def render_tables(cells: DataFrame) -> DataFrame:
     return wide.withColumn("line", F.when(F.col("n") == 1, F.concat(line, rule)).otherwise(line)).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n").alias("content"))
 
 
+# The sentence's words below, and what goes from the front of a heading (pictures, then numbers).
 def tables_to_prose(docs: DataFrame, lead: str = "{subject}的全部{heading}如下：", blank_heading: str = "内容", between: str = "，", end: str = "。") -> DataFrame:
     """docs (doc_id, content, subject, heading) with each pipe table as a sentence: a lead, then its rows with cells
     joined by spaces. A block of pipe lines whose second line is no separator stays, without leading white space; a

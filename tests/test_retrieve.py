@@ -45,6 +45,20 @@ def test_stored_index_equals_plain_sums(spark, tmp_path, monkeypatch, filtered,
     assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in rows}
 
 
+def test_scores_strip_by_strip(spark):
+    """Strips of a few postings, chunks that cross them and ids that are strings."""
+    rng = np.random.default_rng(8)
+    contents = [(f"c{i:03}", " ".join(rng.choice(["a", "b", "c", "d", "e"], int(rng.integers(1, 9))))) for i in range(90)]
+    postings, terms, totals = retrieval.bm25_index(spark.createDataFrame(contents, "chunk_id string, content string"))
+    wanted = retrieval.asked_terms(spark.createDataFrame([("q1", "a b b"), ("q2", "e")], "id string, text string")).join(terms, "term")
+    avgdl = totals.first().avgdl
+    plain = {tuple(r) for r in retrieval.bm25_scores(wanted, postings, F.lit(avgdl), 6, 1.5, 0.75).collect()}
+    for strip in (1, 7, 1000):
+        scored = inverted.by_chunk(postings, wanted.select("query_id", "term", "times", "idf").collect(), avgdl, 6, 1.5, 0.75, strip)
+        got = retrieval.top(scored, 6, F.desc("score"), "chunk_id").select("query_id", "chunk_id", "rank", "score").collect()
+        assert {(r[0], r[1], r[2], round(r[3], 5)) for r in got} == {(a, b, c, round(d, 5)) for a, b, c, d in plain}
+
+
 def test_index_of_nothing(spark, tmp_path):
     inverted.build(spark.createDataFrame([], "chunk_id long, content string"), str(tmp_path / "i"))
     asked = spark.createDataFrame([(1, "a b")], "id long, text string")
