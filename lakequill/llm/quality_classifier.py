@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lakequill.llm.text import doc_bytes, fold, small_batches
+from lakequill.llm.text import doc_bytes, fold, with_bytes
 
 BITS = 16
 #: Classes of size, each a column of its own.
@@ -128,5 +128,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float, held_out: tup
             keep = [margin_of(t.as_buffer().to_pybytes(), w, square, bits) * a + b >= np.log(threshold / (1 - threshold)) for t in batch.column(batch.num_columns - 1)]
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
 
-    small_batches(docs.sparkSession)
-    return docs.select("*", F.coalesce("text", F.lit("")).cast("binary").alias("__bytes")).mapInArrow(run, docs.schema)
+    return with_bytes(docs).mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lakequill.llm.text import SPACES, doc_bytes, mix64, small_batches
+from lakequill.llm.text import SPACES, doc_bytes, mix64, with_bytes
 
 NOT_STARTS = bytes(range(0x80, 0xC0))
 SYMBOLS = b"#*$%&|<>"
@@ -163,5 +163,4 @@ def accepted(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE, *RULES), sample:
                 keep.append(not any(r.rejects(f) for r in order))
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
 
-    small_batches(docs.sparkSession)
-    return docs.select("*", F.coalesce("text", F.lit("")).cast("binary").alias("__bytes")).mapInArrow(run, docs.schema)
+    return with_bytes(docs).mapInArrow(run, docs.schema)

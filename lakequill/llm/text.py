@@ -23,6 +23,15 @@ def doc_bytes(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)
 
 
+def with_bytes(docs: DataFrame) -> DataFrame:
+    """docs with one column more, the last: the text as UTF-8 bytes (null text: empty), under a name that docs lacks."""
+    small_batches(docs.sparkSession)
+    name = "__bytes"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return docs.select("*", F.coalesce("text", F.lit("")).cast("binary").alias(name))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python 2,000 at a time (for the rest of the session), which bounds a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
