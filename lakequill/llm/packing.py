@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lakequill.llm.text import Memo, distinct, doc_bytes, pieces, word_spans
+from lakequill.llm.text import Memo, distinct, doc_bytes, give_back, pieces, word_spans
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -158,6 +158,7 @@ def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, window: int = 4096,
     ends = sentence_ends(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the worker's tasks of earlier stages have freed, before the tokenizer is read
         encode = encoder(tokenizer_path)
         eos, sequence = array("I", [eos_id]).tobytes(), TaskContext.get().partitionId() << 32
         ids, encoded, size = [], [], 0
