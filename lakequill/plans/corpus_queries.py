@@ -422,3 +422,38 @@ def e12_grid(spark: SparkSession, d: str) -> DataFrame:
     texts = marked.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(queries(spark, d).select(F.col("id").alias("query_id"), F.col("text").alias("asked")), "query_id")
     each = texts.groupBy("rerank", "hybrid", "parent", "query_id").agg(F.count("*").alias("n"), F.count_if(F.col("text").contains(F.col("asked"))).alias("good"))
     return each.groupBy("rerank", "hybrid", "parent").agg(F.count("*").alias("queries"), F.sum("n").alias("hits"), F.round(F.avg(F.col("good") / F.col("n")), 6).alias("precision"))
+
+
+@query(rf"""WITH {BM25}, s AS (SELECT query_id, rank, '[' || heading_path || ']' || chr(10) || content AS block FROM bm25 JOIN chunks USING (chunk_id)),
+    k AS (SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(block, '[A-Za-z0-9_]+'), lambda x: greatest(1, length(x) // 4))), 0) + (length(block) - coalesce(list_sum(list_transform(regexp_extract_all(block, '[A-Za-z0-9_]+'), lambda x: length(x))), 0)) // 3 + CASE WHEN rank > 1 THEN 2 ELSE 0 END AS tokens FROM s),
+    u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM k), o AS (SELECT *, min(rank) FILTER (WHERE used > 300) OVER (PARTITION BY query_id) AS over, 300 - (used - tokens) AS room FROM u),
+    c AS (SELECT *, greatest(1, floor(length(block) * room / greatest(1, tokens)))::INTEGER AS cut FROM o WHERE (over IS NULL OR rank <= over) AND (used <= 300 OR room >= 64)), h AS (SELECT *, substr(block, 1, cut) AS head FROM c),
+    l AS (SELECT *, length(head) - strpos(reverse(head), chr(10)) AS line FROM h),
+    p AS (SELECT query_id, rank, CASE WHEN used <= 300 THEN block ELSE regexp_replace(CASE WHEN strpos(head, chr(10)) > 0 AND line > cut / 2 THEN substr(head, 1, line) ELSE head END, '\s+$', '') END AS part FROM l)
+    SELECT query_id, count(*)::BIGINT AS blocks, md5(string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM p GROUP BY query_id""")
+def r13_cut_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """With a budget that the first hits use up."""
+    blocks = bm25(spark, d).join(chunks(spark, d), "chunk_id").select("query_id", "rank", F.col("heading_path").alias("label"), "content")
+    return retrieval.contexts(blocks, 300).select("query_id", "blocks", F.md5("context").alias("digest"))
+
+
+@query(f"""WITH {BM25}, r AS (SELECT item_id AS query_id, item_id % 3 AS question, item_id % 7 + 1 AS round FROM benchmark), f AS (SELECT question, chunk_id, min(round) AS round FROM r JOIN bm25 USING (query_id) WHERE round <> question + 2 GROUP BY ALL),
+    a AS (SELECT q.question, q.round, count(f.chunk_id) AS added FROM (SELECT DISTINCT question, round FROM r) q LEFT JOIN f USING (question, round) GROUP BY ALL),
+    z AS (SELECT question, min(round) AS stop FROM a WHERE round > 1 AND added = 0 GROUP BY question)
+    SELECT question, round, added FROM a LEFT JOIN z USING (question) WHERE round <= 5 AND (stop IS NULL OR round <= stop)""")
+def r17_stopped_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Each question has a round without hits, after which it stops."""
+    rounds = queries(spark, d).selectExpr("id as query_id", "id % 3 as question", "id % 7 + 1 as round")
+    hits = bm25(spark, d).join(rounds.where("round <> question + 2").select("query_id"), "query_id", "left_semi")
+    return retrieval.new_by_round(hits, rounds)
+
+
+#: Hosts by page_id % 16, the public ones last (fixed values: the reserved ranges they stand for).
+HOSTS = ("127.0.0.1", "10.1.2.3", "172.16.0.9", "172.31.255.1", "192.168.7.7", "169.254.0.3", "0.0.0.0", "localhost", "198.18.4.4", "192.0.2.5", "[::1]", "172.32.0.1", "8.8.8.8", "192.0.3.5", "198.20.0.1", "203.0.112.9")
+
+
+@query("SELECT page_id, page_id % 16 > 10 AS public FROM pages WHERE contains(url, '://')")
+def s8_reserved_hosts(spark: SparkSession, d: str) -> DataFrame:
+    host = F.get(F.array(*[F.lit(h) for h in HOSTS]), (F.col("page_id") % 16).cast("int"))
+    url = F.concat(F.regexp_extract("url", "^([^:]*://)", 1), host, F.regexp_extract("url", "://[^/?#]*(.*)$", 1))
+    return table(spark, d, "pages").where(F.contains("url", F.lit("://"))).select("page_id", T.public_url(url).alias("public"))
