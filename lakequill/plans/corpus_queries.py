@@ -191,9 +191,10 @@ def r19_prompts(spark: SparkSession, d: str) -> DataFrame:
     e AS (SELECT config, query_id, count(*) AS n, count(*) FILTER (WHERE chunk_id // 100000 % 4 = query_id % 4) AS good FROM a GROUP BY ALL)
     SELECT config, count(*) AS queries, sum(n)::BIGINT AS hits, round(avg(good / n), 6) AS precision FROM e GROUP BY config""")
 def e12_ablation(spark: SparkSession, d: str) -> DataFrame:
-    own = lambda h: h.withColumn("doc_id", F.expr("chunk_id div 100000"))
-    good = queries(spark, d).selectExpr("id as query_id", "id % 4 as part").join(table(spark, d, "documents").selectExpr("doc_id", "doc_id % 4 as part"), "part")
-    return evaluation.ablation({"sparse": own(bm25(spark, d)), "dense": own(token_dense(spark, d)), "hybrid": own(weighted(spark, d)), "hybrid+rerank": own(reranked(spark, d))}, good, 5)
+    lists = {"sparse": bm25(spark, d), "dense": token_dense(spark, d), "hybrid": weighted(spark, d), "hybrid+rerank": reranked(spark, d)}
+    own = {name: retrieve.written(h.withColumn("doc_id", F.expr("chunk_id div 100000")).select("query_id", "doc_id", "rank")) for name, h in lists.items()}  # used twice
+    good = reduce(DataFrame.union, [h.where("doc_id % 4 = query_id % 4").select("query_id", "doc_id") for h in own.values()])
+    return evaluation.ablation(own, good, 5)
 
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 4 <> 1 THEN text || chr(10) || 'changed' ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 9 <> 4)
@@ -235,7 +236,7 @@ def t3_stream_admission(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, ts AS last FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NULL OR epoch_us(next) - epoch_us(ts) > 86400000000")
 def t4_idle_keys(spark: SparkSession, d: str) -> DataFrame:
     """Each time that a user has been idle for more than a day."""
-    return keyed.written(keyed.stream_idle(closed_stream(spark, d), "user_id", 86400), folder(spark))
+    return keyed.written(keyed.stream_idle(closed_stream(spark, d), "user_id", 86400), folder(spark)).withColumn("last", F.col("last").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, max(ts) AS last, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) > 86400000000 AS expired FROM events GROUP BY user_id")
@@ -457,3 +458,11 @@ def s8_reserved_hosts(spark: SparkSession, d: str) -> DataFrame:
     host = F.get(F.array(*[F.lit(h) for h in HOSTS]), (F.col("page_id") % 16).cast("int"))
     url = F.concat(F.regexp_extract("url", "^([^:]*://)", 1), host, F.regexp_extract("url", "://[^/?#]*(.*)$", 1))
     return table(spark, d, "pages").where(F.contains("url", F.lit("://"))).select("page_id", T.public_url(url).alias("public"))
+
+
+@query(SQL["t1_bursts"])
+def t1_stream_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """The stream form; its last session, of the closing event alone, stays open."""
+    at, rows = folder(spark), events.stream_bursts(closed_stream(spark, d), "user_id", 3600)
+    rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows").select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "stop")], "n")

@@ -19,7 +19,7 @@ def bursts(events: DataFrame, by: str, gap_seconds: int) -> DataFrame:
 
 def stream_bursts(events: DataFrame, by: str, gap_seconds: int, late: str = "10 minutes") -> DataFrame:
     """The same over a stream: a session window that fires when it closes; rows later than `late` are dropped."""
-    return events.withWatermark("ts", late).groupBy(by, F.session_window("ts", f"{gap_seconds} seconds").alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count("*").alias("n")).drop("w")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(by, F.session_window("ts", f"{gap_seconds} seconds").alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count("*").alias("n")).drop("w")
 
 
 def in_order(events: DataFrame, by: str) -> DataFrame:
