@@ -170,10 +170,13 @@ def scanned_pages(pages: DataFrame, least: int = 16, most: int = 30) -> DataFram
     return few.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))).where(F.col("n") <= most).drop("n")
 
 
-def appended(docs: DataFrame, blocks: DataFrame, most: int = 20) -> DataFrame:
-    """docs (doc_id, content) with up to `most` blocks (doc_id, seq, label, text) after the body; blank ones are skipped."""
-    some = blocks.where(F.col("text").rlike(r"(?U)\S")).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))).where(F.col("n") <= most)
-    joined = some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("["), F.col("label"), F.lit("]\n"), F.col("text")).alias("t")))), lambda s: s["t"]), "\n\n").alias("extra"))
+def appended(docs: DataFrame, blocks: DataFrame, most: int | None = 20, blank: bool = False) -> DataFrame:
+    """docs (doc_id, content) with up to `most` blocks (doc_id, seq, label, text; None: all) after the body; blank ones
+    are skipped unless `blank`."""
+    some = blocks if blank else blocks.where(F.col("text").rlike(r"(?U)\S"))
+    if most is not None:
+        some = some.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))).where(F.col("n") <= most)
+    joined = some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("["), F.col("label"), F.lit("]\n"), F.col("text")).alias("t")))), lambda s: s["t"]), "\n\n").alias("extra"))
     return docs.join(joined, "doc_id", "left").select("doc_id", F.concat_ws("\n\n", "content", "extra").alias("content"))
 
 
