@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,9 +18,11 @@ Embedder = Callable[[list[str]], list[list[float]]]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, in the shared checkpoint folder: what stands before it runs once, however often df is used."""
-    scratch(df.sparkSession)
-    return df.checkpoint()
+    """df, as files under the shared checkpoint folder: what stands before it runs once, however often df is used, and
+    Spark knows how small it is when it joins it."""
+    at = f"{scratch(df.sparkSession)}/lakequill-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def rerank_batches(hits: DataFrame, queries: DataFrame, chunks: DataFrame, pool: int, scorer: Scorer) -> DataFrame:
