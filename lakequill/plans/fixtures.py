@@ -60,7 +60,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document, misread by rule; each character beyond ASCII is a question mark (DuckDB's levenshtein counts bytes).
-    Dealt over all cores first, as the work on a line grows with the square of its length."""
+    Dealt over all cores first, as lines differ much in length."""
     ref = F.regexp_replace("line", r"[^\x00-\x7F]", "?")
     got = F.when(F.col("doc_id") % 17 == 0, "").when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# "), ref)).when(F.col("doc_id") % 2 == 0, F.replace(ref, F.lit("e"), F.lit("c"))).otherwise(ref)
     return lines(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism).select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), ref.alias("reference"), got.alias("got"))
