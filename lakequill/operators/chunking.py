@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FENCE, HEADING = r"^\s*(```|~~~)", r"^(#{1,6})\s+(.+)$"
@@ -59,22 +60,24 @@ def packed(content: Column, size: int, overlap: int, separator: str = "\n\n") ->
     """Parts of a text packed greedily up to `size` characters; each piece after the first starts with the last
     `overlap` characters of the one before. A part longer than size stays whole. One pass over a text's parts."""
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[str] | None:
-            if text is None:
-                return None
-            out, now, length = [], [], 0
-            for part in text.split(separator):
-                if length and length + len(part) > size:
-                    out.append("".join(now))
-                    now = [out[-1][-overlap:]] if overlap else []
-                    length = len(now[0]) if now else 0
-                now += [part, separator]
-                length += len(part) + len(separator)
-            return [*out, "".join(now)]
-
-        return texts.map(one)
+    def one(text: str | None) -> list[str] | None:
+        if text is None:
+            return None
+        out, now, length = [], [], 0
+        for part in text.split(separator):
+            if length and length + len(part) > size:
+                out.append("".join(now))
+                now = [out[-1][-overlap:]] if overlap else []
+                length = len(now[0]) if now else 0
+            now += [part, separator]
+            length += len(part) + len(separator)
+        return [*out, "".join(now)]
+
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        # a few texts at a time are Python strings, all else stays in Arrow's buffers
+        done = [pa.array([one(x.as_py()) for x in texts[i : i + 64]], pa.list_(pa.string())) for i in range(0, len(texts), 64)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
 
     return F.filter(F.transform(pack(content), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: F.length(x) > 0)
 
