@@ -184,13 +184,66 @@ def appended(docs: DataFrame, blocks: DataFrame, most: int | None = 20, blank: b
 
 
 def render_tables(cells: DataFrame) -> DataFrame:
-    """Markdown tables from cells (doc_id, row, col, text): padded to the widest row, blank rows dropped."""
+    """Markdown tables from cells (doc_id, row, col, text): padded to the widest row, blank rows dropped.
+
+    Neighbouring cells are joined where they stand, so that each text is shuffled once and not as a row of its own; the
+    rows of a document stream by in order, and one document's are held."""
+    # a cleaned text has no newline, so that one can stand between cells
     clean = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    rows = cells.withColumn("t", clean).groupBy("doc_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "t"))), lambda s: s["t"]).alias("c")).where(F.exists("c", lambda x: F.length(F.trim(x)) > 0))
-    wide = rows.withColumn("w", F.max(F.size("c")).over(Window.partitionBy("doc_id"))).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("row")))
-    line = F.concat(F.lit("| "), F.array_join(F.concat("c", F.array_repeat(F.lit(""), F.col("w") - F.size("c"))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("w")), " | "), F.lit(" |"))
-    return wide.withColumn("line", F.when(F.col("n") == 1, F.concat(line, rule)).otherwise(line)).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n").alias("content"))
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in ("doc_id", "row", "col")}
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last, now = batch.slice(0, batch.num_rows - 1), batch.slice(1)
+            follows = pc.equal(pc.subtract(now.column("col"), last.column("col")), 1)
+            for c in ("doc_id", "row"):
+                follows = pc.and_(follows, pc.equal(now.column(c), last.column(c)))
+            first = np.concatenate(([0], 1 + np.flatnonzero(~pc.fill_null(follows, False).to_numpy(zero_copy_only=False))))
+            runs = pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), batch.column("t"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(first)) for c in kinds], pc.binary_join(runs, "\n")], [*kinds, "t"])
+
+    runs = cells.select(*kinds, clean.alias("t")).mapInArrow(join, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", t string")
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, row, rows, parts = object(), None, [], []
+        kind = None
+
+        def end_row() -> None:
+            if len(parts) == 1:
+                rows.append(parts[0][1].split("\n"))
+            elif parts:
+                every = [(col is not None, (col or 0) + i, t) for col, text in parts for i, t in enumerate(text.split("\n"))]
+                rows.append([t for *_, t in sorted(every)])
+            parts.clear()
+
+        def table() -> str | None:
+            filled = [c for c in rows if any(t.strip(" ") for t in c)]
+            width = max(map(len, filled), default=0)
+            lines = ["| " + " | ".join(c + [""] * (width - len(c))) + " |" for c in filled]
+            return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) if lines else None
+
+        for batch in batches:
+            kind, done = batch.schema.field("doc_id").type, []
+            for now, at, col, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now != doc or at != row:
+                    end_row()
+                if now != doc:
+                    done.append((doc, table()))
+                    rows.clear()
+                doc, row = now, at
+                parts.append((col, text))
+            yield out(done, kind)
+        end_row()
+        if kind is not None:
+            yield out([(doc, table())], kind)
+
+    def out(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        some = [x for x in done if x[1] is not None]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], kind), pa.array([x[1] for x in some], pa.string())], ["doc_id", "content"])
+
+    return runs.repartition("doc_id").sortWithinPartitions("doc_id", "row", "col").mapInArrow(render, f"doc_id {kinds['doc_id']}, content string")
 
 
 # The sentence's words below, and what goes from the front of a heading (pictures, then numbers).
