@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
@@ -54,7 +53,8 @@ def terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def by_chunk(postings: DataFrame, wanted: list[Row], avgdl: float, k: int, k1: float, b: float, strip: int = 1_000_000) -> DataFrame:
-    """query_id, chunk_id, score: of each task the k best chunks of each query. Postings are shuffled once, by chunk,
+    """query_id, chunk_id, score: of each task the k best chunks of each query. Postings are shuffled once, by chunk and
+    with a number for the term,
     whatever the number of queries that want a term; a task scores about `strip` postings of whole chunks at a time."""
     kind = postings.schema["chunk_id"].dataType.simpleString()
     terms = sorted({r.term for r in wanted})
@@ -68,10 +68,9 @@ def by_chunk(postings: DataFrame, wanted: list[Row], avgdl: float, k: int, k1: f
         best: dict = {}
         held: list[pa.RecordBatch] = []
         size = 0
-        names = pa.array(terms, pa.string())
 
         def score(table: pa.Table) -> None:
-            found = pc.index_in(table["term"].combine_chunks(), names).to_numpy(zero_copy_only=False)
+            found = table["code"].to_numpy()
             tf, dl = table["tf"].to_numpy().astype(float), table["dl"].to_numpy()
             weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
             chunk = table["chunk_id"].combine_chunks().dictionary_encode()
@@ -112,7 +111,8 @@ def by_chunk(postings: DataFrame, wanted: list[Row], avgdl: float, k: int, k1: f
     chunk_type = to_arrow_type(postings.schema["chunk_id"].dataType)
     id_type = pa.array([wanted[0].query_id]).type if wanted else pa.int64()
     query_kind = from_arrow_type(id_type).simpleString()
-    return postings.repartition("chunk_id").sortWithinPartitions("chunk_id").mapInArrow(run, f"query_id {query_kind}, chunk_id {kind}, score double")
+    coded = postings.join(F.broadcast(postings.sparkSession.createDataFrame([*code.items()], "term string, code int")), "term").select("chunk_id", "dl", "code", "tf")
+    return coded.repartition("chunk_id").sortWithinPartitions("chunk_id").mapInArrow(run, f"query_id {query_kind}, chunk_id {kind}, score double")
 
 
 def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

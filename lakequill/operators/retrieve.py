@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lakequill.operators.retrieval import dense_topk, down_weight, hybrid, top
-from lakequill.sources.files import scratch
+from lakequill.operators.retrieval import dense_topk, down_weight, hybrid, top, written
 
 #: Scores of the contents for a query, one each and in their order.
 Scorer = Callable[[str, list[str]], list[float]]
@@ -17,14 +15,6 @@ Scorer = Callable[[str, list[str]], list[float]]
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, as files under the shared checkpoint folder: what stands before it runs once, however often df is used, and
-    Spark knows how small it is when it joins it."""
-    at = f"{scratch(df.sparkSession)}/lakequill-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def rerank_batches(hits: DataFrame, queries: DataFrame, chunks: DataFrame, pool: int, scorer: Scorer) -> DataFrame:
     """query_id, chunk_id, rank, score, failed: the first `pool` candidates of each query (query_id, chunk_id, rank,
     score) in the order of the scorer's scores, ties by the earlier rank.
