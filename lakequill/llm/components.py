@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakequill.llm.text import kept
 
+#: Links of a partition, where there are few: a small table needs no shuffle in each step of a round.
+FEW = 50_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of (a, b) links reaches. Null ends are left out.
 
     Each round hangs a node's greater neighbours, then its lesser ones, on the least neighbour (two grouped
-    minima and joins), and is checkpointed; rounds grow with the logarithm of the longest chain.
+    minima and joins), and is checkpointed; rounds grow with the logarithm of the longest chain. A table of at most FEW
+    links is one partition; any other is dealt over all of them.
     """
     edges = kept(links.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
     size = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while size[0]:
+        if size[0] <= FEW:
+            edges = edges.coalesce(1)
         both = edges.union(edges.selectExpr("v as u", "u as v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").selectExpr("v as u", "m as v").where("u <> v").distinct()

@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lakequill.llm.components import components
-from lakequill.llm.text import bitmap, doc_bytes, hashed_words, in_bitmap, kept, mix64, pieces, shingle_hashes
+from lakequill.llm.text import bitmap, doc_bytes, give_back, hashed_words, in_bitmap, kept, mix64, pieces, shingle_hashes
 
-#: Bits of the signatures of sets below and from LARGE shingles.
-NARROW, WIDE, LARGE = 512, 2048, 700
+#: Bits of the signatures of sets below LONG shingles, below LARGE and from there. Sets from LONG also have one of their
+#: own width, of two to four bits a shingle.
+NARROW, MIDDLE, WIDE, LONG, LARGE = 512, 1024, 2048, 256, 700
 #: Shingles counted at once; those in less than one document of OFTEN there count as rare.
 COUNTED, OFTEN = 1_500_000, 1024
 #: Two sets must share one key, or one for each so many shingles of the smaller.
@@ -34,6 +35,8 @@ EACH = 50
 DRAWN = 16
 #: Nodes of a tile's side, and pairs compared at once.
 TILE, PAIRS = 4096, 1 << 20
+#: Keys that a task counts at once, and the bits by which their names are dealt.
+HELD, DEALT = 1_000_000, 12
 NO_ID = -(1 << 63)
 
 
@@ -62,8 +65,7 @@ def shared_keys(n: str, num: int, den: int) -> str:
     return f"least(greatest(1, {n} div {EACH}), ceil({n} * {num} / {den}))"
 
 
-def signature(s: np.ndarray) -> bytes:
-    width = NARROW if len(s) < LARGE else WIDE
+def signature(s: np.ndarray, width: int) -> bytes:
     bits = np.zeros(width, bool)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -122,7 +124,8 @@ def filter_bits(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def with_keys(rows: DataFrame, k: int, num: int, den: int, order: Order, wanted: np.ndarray) -> DataFrame:
-    """node, n, sig and keys of the rows whose place the bitmap `wanted` may hold, once for each task."""
+    """node, n, sig, full (a signature as wide as the set asks for; null for small sets) and keys of the rows whose
+    place the bitmap `wanted` may hold, once for each task."""
     shared = rows.sparkSession.sparkContext.broadcast((order, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +143,101 @@ def with_keys(rows: DataFrame, k: int, num: int, den: int, order: Order, wanted:
                 most = np.minimum(sizes, sizes - -(-sizes * num // den) + np.maximum(1, sizes // EACH)).tolist()
                 keys = [s[np.argpartition(r, p - 1)[:p]] if p < len(s) else s for s, r, p in zip(found, ranks, most, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)), pa.array(np.concatenate(keys).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(names(found)), pa.array(sizes), pa.array([signature(s) for s in found], pa.binary()), lists], ["node", "n", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(names(found)), pa.array(sizes), pa.array([signature(s, NARROW if len(s) < LONG else MIDDLE if len(s) < LARGE else WIDE) for s in found], pa.binary()), pa.array([signature(s, 1 << (2 * len(s) - 1).bit_length()) if len(s) >= LONG else None for s in found], pa.binary()), lists], ["node", "n", "sig", "full", "keys"])
 
-    return rows.mapInArrow(run, "node long, n long, sig binary, keys array<long>")
+    return rows.mapInArrow(run, "node long, n long, sig binary, full binary, keys array<long>")
+
+
+def recurring(nodes: DataFrame) -> np.ndarray:
+    """A bitmap by the first bits of a key's name (mix64), 64 KB at least and 128 MB at most, that holds all keys that
+    several nodes have. Names go through the shuffle in 4 bytes a key; two keys of one name count as one that recurs."""
+    keys = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    bits = min(max(math.ceil(math.log2(4 * keys + 1)), 19), 30)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def sent() -> pa.RecordBatch:
+            names = np.sort(np.concatenate(held))
+            spots = np.flatnonzero(np.bincount(names >> np.uint64(64 - DEALT), minlength=1 << DEALT))
+            at = np.searchsorted(names, (spots.astype(np.uint64)) << np.uint64(64 - DEALT)).tolist() + [len(names)]
+            low = (names >> np.uint64(32 - DEALT)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(spots), pa.array([low[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["spot", "names"])
+
+        for batch in batches:
+            held.append(mix64(batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
+            if sum(map(len, held)) > HELD:
+                yield sent()
+                held = []
+        if sum(map(len, held)):
+            yield sent()
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spot, held = None, []
+
+        def marked() -> pa.RecordBatch:
+            names = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in held]))
+            some = names[1:][names[1:] == names[:-1]] >> np.uint32(32 - (bits - DEALT))
+            here = np.zeros(1 << (bits - DEALT), bool)
+            here[some] = True
+            return pa.RecordBatch.from_arrays([pa.array([spot]), pa.array([np.packbits(here, bitorder="little").tobytes()], pa.binary())], ["spot", "bits"])
+
+        for batch in batches:
+            for s, x in zip(batch.column("spot").to_pylist(), batch.column("names").to_pylist(), strict=True):
+                if s != spot and held:
+                    yield marked()
+                    held = []
+                spot = s
+                held.append(x)
+        if held:
+            yield marked()
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = len(out) >> DEALT
+    found = nodes.select("keys").mapInArrow(dealt, "spot long, names binary").repartition("spot").sortWithinPartitions("spot").mapInArrow(twice, "spot long, bits binary").toArrow()
+    for spot, part in zip(found["spot"].to_pylist(), found["bits"], strict=True):
+        out[spot * size : (spot + 1) * size] = np.frombuffer(part.as_buffer(), np.uint8)
+    return out
+
+
+def shared_alone(nodes: DataFrame) -> DataFrame:
+    """nodes with `total` (how many keys each has) and only those keys that other nodes may have too."""
+    shared = nodes.sparkSession.sparkContext.broadcast(recurring(nodes))
+    rest = [c for c in nodes.columns if c != "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        back = np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+        for batch in batches:
+            lists = batch.column("keys")
+            keys, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            some = in_bitmap((mix64(keys.view(np.uint64)) >> back).astype(np.int64), bits)
+            ends = np.concatenate(([0], np.cumsum(some)))[at - at[0]]
+            left = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[some]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(np.diff(at).astype(np.int64)), left], [*rest, "total", "keys"])
+
+    return nodes.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in nodes.dtypes if c != "keys") + ", total long, keys array<long>")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs that may link by their full signatures (all, where one of the sets is small)."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.ones(batch.num_rows, bool)
+            for i, (x, y, n, m) in enumerate(zip(batch.column("fa"), batch.column("fb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)):
+                if x.is_valid and y.is_valid:
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                    least = min(len(x), len(y))  # slots are the last bits of a shingle, so the wider one folds
+                    x, y = (np.bitwise_or.reduce(v.reshape(-1, least), 0) for v in (x, y))
+                    up = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+                    good[i] = up * (num + den) >= num * (n + m)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+
+    pairs = kept(pairs)
+    full = nodes.select("node", "n", "full")
+    both = pairs.join(full.toDF("a", "na", "fa"), "a").join(full.toDF("b", "nb", "fb"), "b")
+    return both.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(bounded, "a long, b long")
 
 
 def contents(rows: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
@@ -213,6 +308,25 @@ def tiles(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     rows = dealt.select(F.xxhash64("key", "s.band", "s.i", "s.j").alias("tile"), "s.role", "main", "node", "n", "component", "pivot", "o", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for some in opened(batches):
+            waiting.append(some)
+            if sum(x.num_rows for x in waiting) > PAIRS // 4:
+                yield summed(waiting)
+                waiting = []
+        if waiting:
+            yield summed(waiting)
+        give_back()
+
+    def summed(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Each pair once, with the number of its keys."""
+        a, b, n = (np.concatenate([x.column(c).to_numpy() for x in some]) for c in ("a", "b", "n"))
+        turn = np.lexsort((b, a))
+        a, b, n = a[turn], b[turn], n[turn]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(n[first]), pa.array(np.diff(np.append(first, len(a))))], ["a", "b", "n", "c"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -228,9 +342,9 @@ def tiles(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             return
         tile, role, main, node, n, own, pivot, o = (table.column(c).to_numpy() for c in ("tile", "role", "main", "node", "n", "component", "pivot", "o"))
         sigs = table.column("sig").to_pylist()
-        wide = np.array([len(s) * 8 == WIDE for s in sigs])
-        packed = np.frombuffer(b"".join([s if len(s) * 8 == WIDE else s * (WIDE // NARROW) for s in sigs]), np.uint64).reshape(len(sigs), -1)
-        narrow = np.bitwise_or.reduce(packed.reshape(len(sigs), WIDE // NARROW, -1), 1)
+        width = np.array([len(s) * 8 for s in sigs])
+        packed = np.frombuffer(b"".join([s * (WIDE // (len(s) * 8)) for s in sigs]), np.uint64).reshape(len(sigs), -1)
+        narrow, middle = (np.bitwise_or.reduce(packed.reshape(len(sigs), WIDE // w, -1), 1) for w in (NARROW, MIDDLE))
         other = own != main
         # the second side of each tile with the nodes outside the main component first: those inside meet no others
         start = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
@@ -258,7 +372,8 @@ def tiles(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
                 most = np.where(pivot[l] == pivot[r], np.minimum(o[l], o[r]) + np.minimum(n[l] - o[l], n[r] - o[r]), n[l])
                 good = most * (num + den) >= need
                 l, r, need = l[good], r[good], need[good]
-                for bits, some in ((narrow, ~(wide[l] & wide[r])), (packed, wide[l] & wide[r])):
+                both = np.minimum(width[l], width[r])
+                for bits, some in ((narrow, both == NARROW), (middle, both == MIDDLE), (packed, both == WIDE)):
                     a, b, least = l[some], r[some], need[some]
                     for at in range(0, len(a), 1 << 16):
                         i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
@@ -273,10 +388,10 @@ def tiles(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
                                 i, j = i[one], j[one]
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(n[i], n[j]))], ["a", "b", "n"])
 
-    pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, n long")
+    pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, n long, c long")
     if best:
         return pairs.select("a", "b").distinct()
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("a", "b")
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 1, tries_each: int = 3) -> DataFrame:
@@ -288,15 +403,15 @@ def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 1, tr
     often = every.where("node is null").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("times"))
     heavy = often.where(F.col("times") >= max(3, base.count() // 2000)).toArrow()  # at most 2,000 times the mean size of a set
     order = Order(heavy["often"].to_numpy().astype(np.uint64), heavy["times"].to_numpy().astype(float))
-    nodes = kept(with_keys(rows, k, num, den, order, filter_bits(first, "place")))
+    nodes = kept(shared_alone(kept(with_keys(rows, k, num, den, order, filter_bits(first, "place")))))
     links = first.limit(0).selectExpr("node as a", "node as b")
     near, named = [], links.toDF("node", "component")
 
     for turn in range(hub_rounds):
         # every 2**i-th key; what a node with more keys draws, one with fewer keys draws too
-        each = F.expr(f"shiftleft(1L, cast(log2(greatest(size(keys) div {DRAWN}, 1)) as int))")
-        some = nodes.select("node", "n", F.filter("keys", lambda x: F.pmod(F.shiftright(x, 16 * turn), each) == 0).alias("some")).join(named, "node", "left")
-        some = some.select("node", "n", F.coalesce("component", "node").alias("component"), F.size("some").alias("all"), F.explode("some").alias("key"))
+        each = F.expr(f"shiftleft(1L, cast(log2(greatest(total div {DRAWN}, 1)) as int))")
+        some = nodes.select("node", "n", (F.col("total") / each).alias("all"), F.filter("keys", lambda x: F.pmod(F.shiftright(x, 16 * turn), each) == 0).alias("some")).join(named, "node", "left")
+        some = some.select("node", "n", F.coalesce("component", "node").alias("component"), "all", F.explode("some").alias("key"))
         apart = kept(some.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
         found = kept(some.join(apart, "key"))
         share = found.groupBy("node").agg((F.count("*") / F.first("all")).alias("share"))
@@ -324,7 +439,7 @@ def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 1, tr
     members = kept(keyed(known, filter_bits(apart, "key")).join(apart, "key"))
     for best in (True, False):  # each node's likeliest partners first; of what they leave apart, every pair
         enough = members.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("node").join(nodes.select("node", "sig"), "node").dropDuplicates(["node"])
-        got = overlaps(tiles(members.join(enough, "node"), num, den, best), rows, first, k, num, den)
+        got = overlaps(likely(tiles(members.join(enough, "node"), num, den, best), nodes, num, den), rows, first, k, num, den)
         links = links.union(got.where("links").select("a", "b"))
         named = kept(components(links))
         if best:
