@@ -29,7 +29,7 @@ GAP = max(WIDTHS) - 1
 #: Places whose filters are worked out at once.
 STRIP = 1 << 16
 #: Labelled documents of a shard, rows of the net that are averaged together, steps of a logit.
-SHARD, DEALT, STEP = 1500, 1024, 64
+SHARD, DEALT, STEP = 6000, 1024, 64
 #: Where rows that are not the table's begin.
 DENSE = (PAD // DEALT + 1) * DEALT
 
@@ -149,10 +149,10 @@ class Teacher:
         return np.append(every, np.zeros(-len(every) % (SIZE + 1))).reshape(-1, SIZE + 1)
 
     def changes(self, before: Teacher) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that differ from an earlier state and by how much, as whole numbers, so that no order of sums matters."""
+        """Rows that differ from an earlier state and by how much."""
         ids, more = np.flatnonzero(self.sums != before.sums), self.flat() - before.flat()
         change = np.concatenate((self.net.table[ids] - before.net.table[ids], (self.sums[ids] - before.sums[ids])[:, None]), axis=1)
-        return np.concatenate((ids, DENSE + np.arange(len(more)))), np.round(np.concatenate((change, more)) * 2.0**32).astype(np.int64)
+        return np.concatenate((ids, DENSE + np.arange(len(more)))).astype(np.int32), np.concatenate((change, more)).astype(np.float32)
 
     def take(self, ids: np.ndarray, change: np.ndarray) -> None:
         rows, flat = ids < DENSE, self.flat()
@@ -205,7 +205,7 @@ def taught(rows: DataFrame, rounds: int = 8, steps: int = 700, batch: int = 16,
                 now, y = copy.deepcopy(sent.value), np.array(labels)
                 now.learn(ready, y, np.array([heavy[k] for k in labels]), paces, np.random.default_rng([seed, turn, shard]), batch)
                 ids, change = now.changes(sent.value)
-                part = ids // DEALT
+                part = (ids // DEALT).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 ends = [*cuts[1:], len(ids)]
                 return pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([ids[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), pa.array([change[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], ["part", "ids", "change"])
@@ -233,7 +233,8 @@ def taught(rows: DataFrame, rounds: int = 8, steps: int = 700, batch: int = 16,
 
 
 def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's mean change over the shards that changed it, from rows sorted by part."""
+    """Each row's mean change over the shards that changed it, from rows sorted by part; summed as whole numbers, so that
+    no order matters."""
     part, total, many = None, np.zeros((DEALT, SIZE + 1), np.int64), np.zeros(DEALT, np.int64)
 
     def out() -> pa.RecordBatch:
@@ -247,8 +248,8 @@ def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out()
                 total[:], many[:] = 0, 0
             part = p
-            at = np.frombuffer(ids.as_buffer(), np.int64) - p * DEALT
-            total[at] += np.frombuffer(change.as_buffer(), np.int64).reshape(-1, SIZE + 1)
+            at = np.frombuffer(ids.as_buffer(), np.int32) - p * DEALT
+            total[at] += np.round(np.frombuffer(change.as_buffer(), np.float32).reshape(-1, SIZE + 1) * 2.0**32).astype(np.int64)
             many[at] += 1
     if part is not None:
         yield out()
