@@ -17,6 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     minima and joins), and is checkpointed; rounds grow with the logarithm of the longest chain. A table of at most FEW
     links is one partition; any other is dealt over all of them.
     """
+    links = links.coalesce(1) if links.count() <= FEW else links
     edges = kept(links.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
     size = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while size[0]:

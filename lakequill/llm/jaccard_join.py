@@ -37,6 +37,8 @@ DRAWN = 16
 TILE, PAIRS = 4096, 1 << 20
 #: Keys that a task counts at once, and the bits by which their names are dealt.
 HELD, DEALT = 1_000_000, 12
+#: Documents of a partition at least: fewer don't pay for a task and its files.
+EVEN = 4000
 NO_ID = -(1 << 63)
 
 
@@ -219,7 +221,7 @@ def shared_alone(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in nodes.dtypes if c != "keys") + ", total long, keys array<long>")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int, parts: int = 1 << 20) -> DataFrame:
     """(a, b) of the pairs that may link by their full signatures (all, where one of the sets is small)."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +236,10 @@ def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
                     good[i] = up * (num + den) >= num * (n + m)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    pairs = kept(pairs)
+    pairs = kept(pairs.coalesce(parts))
     full = nodes.select("node", "n", "full")
     both = pairs.join(full.toDF("a", "na", "fa"), "a").join(full.toDF("b", "nb", "fb"), "b")
-    return both.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(bounded, "a long, b long")
+    return both.select("a", "b", "na", "nb", "fa", "fb").coalesce(parts).mapInArrow(bounded, "a long, b long")
 
 
 def contents(rows: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
@@ -256,7 +258,7 @@ def contents(rows: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "node long, items binary")
 
 
-def overlaps(pairs: DataFrame, rows: DataFrame, first: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def overlaps(pairs: DataFrame, rows: DataFrame, first: DataFrame, k: int, num: int, den: int, parts: int = 1 << 20) -> DataFrame:
     """(a, b, o, links) of pairs: the size of the intersection and whether the sets link."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,42 +272,66 @@ def overlaps(pairs: DataFrame, rows: DataFrame, first: DataFrame, k: int, num: i
                 links.append(den * common[-1] >= num * (len(both) - common[-1]))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(links, pa.bool_())], ["a", "b", "o", "links"])
 
-    pairs = kept(pairs)
-    ends = kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("place"))
-    items = contents(rows, k, filter_bits(ends, "place"))
-    both = pairs.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
+    pairs = kept(pairs.coalesce(parts))
+    ends = kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("place").coalesce(parts))
+    items = contents(rows, k, filter_bits(ends, "place")).coalesce(parts)
+    both = pairs.join(items.toDF("a", "ia"), "a").coalesce(parts).join(items.toDF("b", "ib"), "b").coalesce(parts)
     return kept(both.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long, o long, links boolean"))
 
 
-def keyed(nodes: DataFrame, met: np.ndarray) -> DataFrame:
-    """The nodes' rows, once for each key that the bitmap `met` may hold."""
-    shared = nodes.sparkSession.sparkContext.broadcast(met)
+def bands(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Sets that link have one band or neighbouring ones."""
+    return np.floor(np.log(n) / math.log(den / num) + 1e-9).astype(np.int64) if num < den else n
+
+
+def members(nodes: DataFrame, apart: DataFrame, num: int, den: int) -> DataFrame:
+    """A node's row for each of its keys in `apart` (key, blocks) and some others, if there are as many as a link asks
+    for; no join and no shuffle. A key of one block is a tile (role 0); one of several is dealt over tiles by band and
+    block, where a node is at home (bit 1: the tile's first side, 2: its second) and a visitor (4) in the next band."""
+    heavy = apart.where("blocks > 1").toArrow().sort_by("key")  # at most one for TILE rows of members
+    shared = nodes.sparkSession.sparkContext.broadcast((filter_bits(apart, "key"), heavy["key"].to_numpy(), heavy["blocks"].to_numpy()))
     rest = [c for c in nodes.columns if c != "keys"]
 
+    def spread(keys: np.ndarray, row: np.ndarray, node: np.ndarray, band: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, ...]:
+        x = (mix64(node.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(keys)), blocks)
+        each = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        x, less = x[at], each < x[at]
+        sides = [(at, band[at], x, each, np.where(each == x, 3, 1)), (at[less], band[at[less]], each[less], x[less], np.full(less.sum(), 2)), (at, band[at] + 1, each, x, np.full(len(at), 4))]
+        at, band, i, j, role = (np.concatenate(c) for c in zip(*sides))
+        tile = keys[at].view(np.uint64)
+        for c in (band, i, j):
+            tile = mix64(tile + mix64(c.astype(np.uint64) + np.uint64(1)))
+        return tile.view(np.int64), role, row[at]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hot, many = shared.value
         for batch in batches:
-            lists = batch.column("keys")
+            lists, n = batch.column("keys"), batch.column("n").to_numpy()
             keys = lists.flatten().to_numpy(zero_copy_only=False)
+            if not len(keys):
+                continue
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            some = np.flatnonzero(in_bitmap(keys, shared.value)) if len(keys) else np.zeros(0, np.int64)
-            for at in range(0, len(some), 50_000):
-                part = some[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *[batch.column(c).take(pa.array(row[part])) for c in rest]], ["key", *rest])
-
-    return nodes.mapInArrow(run, "key long, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes if c != "keys"))
-
-
-def tiles(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """(a, b) of the pairs that may link, by their bounds in tiles and by the keys that they share. members: key, blocks
-    (over which the key's nodes are dealt), main (component), node, n, sig, component, pivot and o (what the node
-    shares with its pivot). best: only the partner of the greatest bound for each node of a tile, whatever they share."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
-    # a node is at home in its band (bit 1: the tile's first side, 2: its second) and a visitor (4) in the next
-    spots = """concat(transform(sequence(0L, blocks - 1), j -> struct(band as band, x as i, j as j, if(j = x, 3, 1) as role)),
-        transform(filter(sequence(0L, blocks - 1), i -> i < x), i -> struct(band as band, i as i, x as j, 2 as role)),
-        transform(sequence(0L, blocks - 1), i -> struct(band + 1 as band, i as i, x as j, 4 as role)))"""
-    dealt = members.withColumn("band", band.cast("long")).withColumn("x", F.expr("pmod(xxhash64(node), blocks)")).withColumn("s", F.explode(F.expr(spots)))
-    rows = dealt.select(F.xxhash64("key", "s.band", "s.i", "s.j").alias("tile"), "s.role", "main", "node", "n", "component", "pivot", "o", "sig")
+            some = in_bitmap(keys, bits)
+            need = np.minimum(np.maximum(1, n // EACH), -(-n * num // den))  # as shared_keys()
+            some &= (np.bincount(row, some, batch.num_rows) >= need)[row]
+            keys, row = keys[some], row[some]
+            wide = np.isin(keys, hot)
+            tile, role = keys[~wide], np.zeros(int((~wide).sum()), np.int64)
+            if wide.any():
+                dealt = spread(keys[wide], row[wide], batch.column("node").to_numpy()[row[wide]], bands(n, num, den)[row[wide]], many[np.searchsorted(hot, keys[wide])])
+                tile, role, row = (np.concatenate(c) for c in zip((tile, role, row[~wide]), dealt))
+            for at in range(0, len(tile), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(tile[part]), pa.array(role[part].astype(np.int32)), *[batch.column(c).take(pa.array(row[part])) for c in rest]], ["tile", "role", *rest])
+
+    return nodes.mapInArrow(run, "tile long, role int, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes if c != "keys"))
+
+
+def tiles(rows: DataFrame, num: int, den: int, best: bool, parts: int) -> DataFrame:
+    """(a, b) of the pairs that may link, by their bounds in tiles and by the keys that they share. rows: as members()
+    gives them, of node, n, sig, component, size (of the component), pivot and o (what the node shares with its pivot).
+    best: only the partner of the greatest bound for each node of a tile, whatever they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -340,14 +366,28 @@ def tiles(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
-        tile, role, main, node, n, own, pivot, o = (table.column(c).to_numpy() for c in ("tile", "role", "main", "node", "n", "component", "pivot", "o"))
-        sigs = table.column("sig").to_pylist()
+        tile, role, node, n, own, size, pivot, o = (table.column(c).to_numpy() for c in ("tile", "role", "node", "n", "component", "size", "pivot", "o"))
+        # keys that are one tile: those that one component alone has go, the rest stand in their band and as visitors in the next
+        begin = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(tile))))
+        here = np.flatnonzero((np.minimum.reduceat(own, begin) < np.maximum.reduceat(own, begin))[group])
+        if not len(here):
+            return
+        last = np.lexsort((own, size, group))[np.append(begin[1:], len(tile)) - 1]
+        main, band = own[last][group], np.where(role == 0, bands(n, num, den), 0)
+        away = here[role[here] == 0]
+        spot, at = np.concatenate((band[here], band[away] + 1)), np.concatenate((here, away))
+        as_ = np.concatenate((np.where(role[here] == 0, 3, role[here]), np.full(len(away), 4)))
+        turn = np.lexsort((spot, group[at]))
+        at, spot, role = at[turn], spot[turn], as_[turn]
+        tile, main, node, n, own, pivot, o = (x[at] for x in (group, main, node, n, own, pivot, o))
+        sigs = table.column("sig").take(pa.array(at)).to_pylist()
         width = np.array([len(s) * 8 for s in sigs])
         packed = np.frombuffer(b"".join([s * (WIDE // (len(s) * 8)) for s in sigs]), np.uint64).reshape(len(sigs), -1)
         narrow, middle = (np.bitwise_or.reduce(packed.reshape(len(sigs), WIDE // w, -1), 1) for w in (NARROW, MIDDLE))
         other = own != main
         # the second side of each tile with the nodes outside the main component first: those inside meet no others
-        start = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        start = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (spot[1:] != spot[:-1]))))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(tile))))
         right = np.flatnonzero(role & 6)
         right = right[np.lexsort((~other[right], group[right]))]
@@ -388,66 +428,63 @@ def tiles(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
                                 i, j = i[one], j[one]
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(n[i], n[j]))], ["a", "b", "n"])
 
-    pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, n long, c long")
+    pairs = rows.repartition("tile").coalesce(parts).sortWithinPartitions("tile").mapInArrow(run, "a long, b long, n long, c long")
     if best:
         return pairs.select("a", "b").distinct()
-    return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("a", "b")
+    return pairs.coalesce(parts).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("a", "b")
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 1, tries_each: int = 3) -> DataFrame:
     """doc (NO_ID for null), name (a hash of the text), n and component (a node; null without shingles) of every row."""
     rows = doc_bytes(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("name"), "text").withColumn("place", F.xxhash64("doc", "name"))
     every = kept(measured(rows, k))
-    base = every.where("node is not null").select("doc", "name", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    first = kept(base.where("n > 0").groupBy("node").agg(F.min(F.xxhash64("doc", "name")).alias("place")))
-    often = every.where("node is null").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("times"))
-    heavy = often.where(F.col("times") >= max(3, base.count() // 2000)).toArrow()  # at most 2,000 times the mean size of a set
+    count = every.where("node is not null").count()
+    parts = max(1, -(-count // EVEN))
+
+    def few(df: DataFrame) -> DataFrame:
+        return kept(df.coalesce(parts))
+
+    base = every.coalesce(parts).where("node is not null").select("doc", "name", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    first = few(base.where("n > 0").groupBy("node").agg(F.min(F.xxhash64("doc", "name")).alias("place")))
+    often = every.coalesce(parts).where("node is null").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("times"))
+    heavy = often.where(F.col("times") >= max(3, count // 2000)).toArrow()  # at most 2,000 times the mean size of a set
     order = Order(heavy["often"].to_numpy().astype(np.uint64), heavy["times"].to_numpy().astype(float))
-    nodes = kept(shared_alone(kept(with_keys(rows, k, num, den, order, filter_bits(first, "place")))))
+    nodes = few(shared_alone(kept(with_keys(rows, k, num, den, order, filter_bits(first, "place"))).coalesce(parts)))
     links = first.limit(0).selectExpr("node as a", "node as b")
     near, named = [], links.toDF("node", "component")
 
     for turn in range(hub_rounds):
         # every 2**i-th key; what a node with more keys draws, one with fewer keys draws too
         each = F.expr(f"shiftleft(1L, cast(log2(greatest(total div {DRAWN}, 1)) as int))")
-        some = nodes.select("node", "n", (F.col("total") / each).alias("all"), F.filter("keys", lambda x: F.pmod(F.shiftright(x, 16 * turn), each) == 0).alias("some")).join(named, "node", "left")
+        some = nodes.select("node", "n", (F.col("total") / each).alias("all"), F.filter("keys", lambda x: F.pmod(F.shiftright(x, 16 * turn), each) == 0).alias("some"))
+        some = some.join(named, "node", "left") if turn else some.withColumn("component", F.col("node"))
         some = some.select("node", "n", F.coalesce("component", "node").alias("component"), "all", F.explode("some").alias("key"))
-        apart = kept(some.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
-        found = kept(some.join(apart, "key"))
+        apart = few(some.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
+        found = few(some.join(apart, "key"))
         share = found.groupBy("node").agg((F.count("*") / F.first("all")).alias("share"))
         # the first hubs have the largest share of shared keys, as originals have among their edited copies; later ones any
         by = F.struct(F.col("share") if turn == 0 else F.lit(0.0), F.xxhash64("node", F.lit(turn)), "node", "n", "component")
-        hubs = kept(found.join(share, "node").groupBy("key").agg(F.max(by).alias("h")).selectExpr("key", "h.node as hub", "h.n as hub_n", "h.component as main"))
-        tries = found.join(hubs, "key").where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").groupBy("node", "hub").agg(F.count("*").alias("count"), F.first("all").alias("all")).where("count >= 2 or all < 4")
-        best = tries.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "hub")), False), 1, tries_each).alias("h"))
-        got = overlaps(best.select(F.col("node").alias("a"), F.explode("h.hub").alias("b")), rows, first, k, num, den)
+        hubs = few(found.join(share, "node").coalesce(parts).groupBy("key").agg(F.max(by).alias("h")).selectExpr("key", "h.node as hub", "h.n as hub_n", "h.component as main"))
+        tries = found.join(hubs, "key").where(f"component <> main and least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}").coalesce(parts).groupBy("node", "hub").agg(F.count("*").alias("count"), F.first("all").alias("all")).where("count >= 2 or all < 4")
+        best = tries.coalesce(parts).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "hub")), False), 1, tries_each).alias("h"))
+        got = overlaps(best.select(F.col("node").alias("a"), F.explode("h.hub").alias("b")), rows, first, k, num, den, parts)
         near.append(got.select("a", "b", "o"))
         links = links.union(got.where("links").select("a", "b"))
-        named = kept(components(links))
+        named = few(components(links))
     hub = near[0].select(F.col("b").alias("node")).distinct().join(nodes.select("node", "n"), "node").selectExpr("node", "node as pivot", "n as o")
-    pivots = near[0].selectExpr("a as node", "b as pivot", "o").union(hub).groupBy("node").agg(F.max(F.struct("o", "pivot")).alias("p")).selectExpr("node", "p.pivot", "p.o")
-    sizes = named.groupBy("component").agg(F.count("*").alias("size"))
-    labels = kept(named.join(sizes, "component").join(pivots, "node", "full_outer"))
-    known = kept(nodes.select("node", "n", "keys").join(labels, "node", "left").selectExpr("node", "n", "coalesce(component, node) as component", "coalesce(size, 1) as size", "coalesce(pivot, node) as pivot", "coalesce(o, n) as o", "keys"))
-
-    def mixed(keys: DataFrame) -> DataFrame:
-        """Keys of several components, with the largest one and the blocks that the key's nodes are dealt over."""
-        every = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("many"))
-        return kept(every.where("lo < hi").selectExpr("key", "m.component as main", f"(many + {TILE - 1}) div {TILE} as blocks"))
-
-    apart = mixed(known.select("component", "size", F.explode("keys").alias("key")))
-    members = kept(keyed(known, filter_bits(apart, "key")).join(apart, "key"))
+    pivots = few(near[0].selectExpr("a as node", "b as pivot", "o").union(hub.coalesce(parts)).groupBy("node").agg(F.max(F.struct("o", "pivot")).alias("p")).selectExpr("node", "p.pivot", "p.o"))
+    known = few(nodes.select("node", "n", "sig", "keys").join(pivots, "node", "left").selectExpr("node", "n", "sig", "coalesce(pivot, node) as pivot", "coalesce(o, n) as o", "keys"))
+
     for best in (True, False):  # each node's likeliest partners first; of what they leave apart, every pair
-        enough = members.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {shared_keys('n', num, den)}").select("node").join(nodes.select("node", "sig"), "node").dropDuplicates(["node"])
-        got = overlaps(likely(tiles(members.join(enough, "node"), num, den, best), nodes, num, den), rows, first, k, num, den)
+        sizes = few(named.join(named.groupBy("component").agg(F.count("*").alias("size")), "component"))
+        now = few(known.join(sizes, "node", "left").withColumns({"component": F.coalesce("component", "node"), "size": F.coalesce("size", F.lit(1))}))
+        # keys of several components, and the blocks that a key's nodes are dealt over
+        every_key = now.select("component", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"))
+        apart = few(every_key.where("lo < hi").selectExpr("key", f"(many + {TILE - 1}) div {TILE} as blocks"))
+        got = overlaps(likely(tiles(members(now, apart, num, den), num, den, best, parts), nodes, num, den, parts), rows, first, k, num, den, parts)
         links = links.union(got.where("links").select("a", "b"))
-        named = kept(components(links))
-        if best:
-            sizes = named.groupBy("component").agg(F.count("*").alias("size"))
-            now = members.drop("component", "size", "main", "blocks").join(named.join(sizes, "component"), "node", "left").withColumns({"component": F.coalesce("component", "node"), "size": F.coalesce("size", F.lit(1))})
-            now = kept(now)
-            members = kept(now.join(mixed(now), "key"))
-    return base.join(named, "node", "left").select("doc", "name", "n", F.coalesce("component", "node").alias("component"))
+        named = few(components(links))
+    return base.join(named, "node", "left").select("doc", "name", "n", F.coalesce("component", "node").alias("component")).coalesce(parts)
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
