@@ -3,8 +3,8 @@
 Each document is the set of its distinct shingles (64-bit hashes); documents with one set are one node. In one order of
 all shingles (rare ones first) two sets that link share c at least of the first n - ceil(n * threshold) + c of each
 (see shared_keys): the keys under which nodes can meet. Nodes of a key and of neighbouring size bands meet in a tile of
-bounded size. A pair's overlap is bounded from above by what both share with one hub and by the bit counts of two
-bitmap signatures; what passes under c keys is settled by intersecting the sorted sets.
+bounded size. A pair's overlap is bounded from above by what both share with one hub and by the bits in which two
+parity signatures differ; what passes under c keys is settled by intersecting the sorted sets.
 
 Nodes that links have joined need no further links among themselves. So a share of the keys first holds each node
 against the hubs of its keys, and then only keys that still hold several components go into tiles, where only pairs
@@ -68,9 +68,9 @@ def shared_keys(n: str, num: int, den: int) -> str:
 
 
 def signature(s: np.ndarray, width: int) -> bytes:
-    bits = np.zeros(width, bool)
-    bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+    """Whether the shingles of each slot are odd in number. What two sets share cancels out, so that they differ in as
+    many shingles at least as their signatures in bits."""
+    return np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(bool)).tobytes()
 
 
 def measured(rows: DataFrame, k: int) -> DataFrame:
@@ -231,9 +231,8 @@ def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int, parts: int =
                 if x.is_valid and y.is_valid:
                     x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                     least = min(len(x), len(y))  # slots are the last bits of a shingle, so the wider one folds
-                    x, y = (np.bitwise_or.reduce(v.reshape(-1, least), 0) for v in (x, y))
-                    up = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
-                    good[i] = up * (num + den) >= num * (n + m)
+                    x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), 0) for v in (x, y))
+                    good[i] = (n + m - int(np.bitwise_count(x ^ y).sum())) * (num + den) >= 2 * num * (n + m)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
     pairs = kept(pairs.coalesce(parts))
@@ -383,8 +382,9 @@ def tiles(rows: DataFrame, num: int, den: int, best: bool, parts: int) -> DataFr
         tile, main, node, n, own, pivot, o = (x[at] for x in (group, main, node, n, own, pivot, o))
         sigs = table.column("sig").take(pa.array(at)).to_pylist()
         width = np.array([len(s) * 8 for s in sigs])
-        packed = np.frombuffer(b"".join([s * (WIDE // (len(s) * 8)) for s in sigs]), np.uint64).reshape(len(sigs), -1)
-        narrow, middle = (np.bitwise_or.reduce(packed.reshape(len(sigs), WIDE // w, -1), 1) for w in (NARROW, MIDDLE))
+        # in as many bits as the narrower of two has: a signature folds, its parts added without carry
+        packed = np.frombuffer(b"".join([s + bytes(WIDE // 8 - len(s)) for s in sigs]), np.uint64).reshape(len(sigs), -1)
+        narrow, middle = (np.bitwise_xor.reduce(packed.reshape(len(sigs), WIDE // w, -1), 1) for w in (NARROW, MIDDLE))
         other = own != main
         # the second side of each tile with the nodes outside the main component first: those inside meet no others
         start = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (spot[1:] != spot[:-1]))))
@@ -417,8 +417,7 @@ def tiles(rows: DataFrame, num: int, den: int, best: bool, parts: int) -> DataFr
                     a, b, least = l[some], r[some], need[some]
                     for at in range(0, len(a), 1 << 16):
                         i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                        x, y = bits[i], bits[j]
-                        up = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                        up = (n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)) // 2
                         open_ = up * (num + den) >= least[at : at + (1 << 16)]
                         if open_.any():
                             i, j, up = i[open_], j[open_], up[open_]
