@@ -150,10 +150,22 @@ def with_keys(rows: DataFrame, k: int, num: int, den: int, order: Order, wanted:
     return rows.mapInArrow(run, "node long, n long, sig binary, full binary, keys array<long>")
 
 
-def recurring(nodes: DataFrame) -> np.ndarray:
-    """A bitmap by the first bits of a key's name (mix64), 64 KB at least and 128 MB at most, that holds all keys that
-    several nodes have. Names go through the shuffle in 4 bytes a key; two keys of one name count as one that recurs."""
-    keys = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+def key_names(batch: pa.RecordBatch, num: int, den: int) -> list[np.ndarray]:
+    """Two names of each key of a batch: among sets of the node's band and the one below, and of its band and the one
+    above. Where nodes have no size n, one name among all sets."""
+    lists = batch.column("keys")
+    keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    if "n" not in batch.schema.names:
+        return [mix64(keys)]
+    band = np.repeat(bands(batch.column("n").to_numpy(), num, den), np.diff(lists.offsets.to_numpy())).astype(np.uint64)
+    return [mix64(keys ^ mix64(b + np.uint64(1))) for b in (band, band + np.uint64(1))]
+
+
+def recurring(nodes: DataFrame, num: int, den: int) -> np.ndarray:
+    """A bitmap by the first bits of a key's names, 64 KB at least and 128 MB at most, that holds all keys that
+    several nodes of sizes that may link have (see key_names). Names go through the shuffle in 4 bytes each; two keys
+    of one name count as one that recurs."""
+    keys = 2 * nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     bits = min(max(math.ceil(math.log2(4 * keys + 1)), 19), 30)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +179,7 @@ def recurring(nodes: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(spots), pa.array([low[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["spot", "names"])
 
         for batch in batches:
-            held.append(mix64(batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
+            held += key_names(batch, num, den)
             if sum(map(len, held)) > HELD:
                 yield sent()
                 held = []
@@ -196,15 +208,15 @@ def recurring(nodes: DataFrame) -> np.ndarray:
 
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = len(out) >> DEALT
-    found = nodes.select("keys").mapInArrow(dealt, "spot long, names binary").repartition("spot").sortWithinPartitions("spot").mapInArrow(twice, "spot long, bits binary").toArrow()
+    found = nodes.select(*[c for c in nodes.columns if c in ("n", "keys")]).mapInArrow(dealt, "spot long, names binary").repartition("spot").sortWithinPartitions("spot").mapInArrow(twice, "spot long, bits binary").toArrow()
     for spot, part in zip(found["spot"].to_pylist(), found["bits"], strict=True):
         out[spot * size : (spot + 1) * size] = np.frombuffer(part.as_buffer(), np.uint8)
     return out
 
 
-def shared_alone(nodes: DataFrame) -> DataFrame:
-    """nodes with `total` (how many keys each has) and only those keys that other nodes may have too."""
-    shared = nodes.sparkSession.sparkContext.broadcast(recurring(nodes))
+def shared_alone(nodes: DataFrame, num: int = 1, den: int = 1) -> DataFrame:
+    """nodes with `total` (how many keys each has) and only those keys that other nodes of a size to link with may have."""
+    shared = nodes.sparkSession.sparkContext.broadcast(recurring(nodes, num, den))
     rest = [c for c in nodes.columns if c != "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +225,7 @@ def shared_alone(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column("keys")
             keys, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            some = in_bitmap((mix64(keys.view(np.uint64)) >> back).astype(np.int64), bits)
+            some = np.logical_or.reduce([in_bitmap((x >> back).astype(np.int64), bits) for x in key_names(batch, num, den)])
             ends = np.concatenate(([0], np.cumsum(some)))[at - at[0]]
             left = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[some]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(np.diff(at).astype(np.int64)), left], [*rest, "total", "keys"])
@@ -448,7 +460,7 @@ def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 1, tr
     often = every.coalesce(parts).where("node is null").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("times"))
     heavy = often.where(F.col("times") >= max(3, count // 2000)).toArrow()  # at most 2,000 times the mean size of a set
     order = Order(heavy["often"].to_numpy().astype(np.uint64), heavy["times"].to_numpy().astype(float))
-    nodes = few(shared_alone(kept(with_keys(rows, k, num, den, order, filter_bits(first, "place"))).coalesce(parts)))
+    nodes = few(shared_alone(kept(with_keys(rows, k, num, den, order, filter_bits(first, "place"))).coalesce(parts), num, den))
     links = first.limit(0).selectExpr("node as a", "node as b")
     near, named = [], links.toDF("node", "component")
 
@@ -479,7 +491,8 @@ def classes(docs: DataFrame, k: int, num: int, den: int, hub_rounds: int = 1, tr
         now = few(known.join(sizes, "node", "left").withColumns({"component": F.coalesce("component", "node"), "size": F.coalesce("size", F.lit(1))}))
         # keys of several components, and the blocks that a key's nodes are dealt over
         every_key = now.select("component", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"))
-        apart = few(every_key.where("lo < hi").selectExpr("key", f"(many + {TILE - 1}) div {TILE} as blocks"))
+        # two nodes alone with a key have been each other's likeliest partner there, so their pair is settled
+        apart = few(every_key.where("lo < hi" if best else "lo < hi and many > 2").selectExpr("key", f"(many + {TILE - 1}) div {TILE} as blocks"))
         got = overlaps(likely(tiles(members(now, apart, num, den), num, den, best, parts), nodes, num, den, parts), rows, first, k, num, den, parts)
         links = links.union(got.where("links").select("a", "b"))
         named = few(components(links))
